@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earmark.functions.columns import value_bin
+from earmark.session import cut_lineage
 
 ROWS_PER_BLOCK = 65536
 
@@ -47,9 +48,10 @@ def rank_within(
 ) -> DataFrame:
     """Exact `row_number` by `value` descending, then `then_by`, inside each group of `keys`.
 
-    `value` must not be NULL. With `total` the group size is added as well.
+    `value` must not be NULL. With `total` the group size is added as well. The input is counted
+    and then ordered, so it is written once first.
     """
-    binned = df.withColumn("_bin", value_bin(F.col(value)))
+    binned = cut_lineage(df).withColumn("_bin", value_bin(F.col(value)))
     offsets = _offsets(binned, keys, ["_bin"], [F.col("_bin").desc()])
     inside = W.partitionBy(*keys, "_bin").orderBy(F.col(value).desc(), *then_by)
     ranked = binned.join(offsets, [*keys, "_bin"]).withColumn(
@@ -87,52 +89,50 @@ def number_rows(
 def runs(
     df: DataFrame,
     keys: Sequence[str],
-    pos: str,
+    order: Sequence[str],
     label: str,
     block: int = ROWS_PER_BLOCK,
+    gaps_end_runs: bool = False,
 ) -> DataFrame:
-    """Maximal runs of neighbouring positions with one label: `(keys, label, first, last, length)`.
+    """Maximal runs of one label among neighbouring rows: `(keys, label, length)`.
 
-    Positions must be unique in a group and may have gaps; a gap ends a run. Runs are found inside
-    blocks of positions. Only the pieces that touch a block edge, at most two for each block, are
-    merged over the whole group.
+    The last column of `order` is a whole number, unique in a group for equal leading columns. With
+    `gaps_end_runs` a missing number ends a run. Runs are found inside blocks of that number. Only
+    the first and the last run of each block are compared over the whole group.
     """
-    inside = W.partitionBy(*keys, "_blk").orderBy(pos)
-    starts = F.coalesce(
-        (F.lag(label).over(inside) != F.col(label)) | (F.lag(pos).over(inside) != F.col(pos) - 1),
-        F.lit(True),
-    )
+    *outer, pos = order
+    block_key = [*keys, *outer, "_blk"]
+    inside = W.partitionBy(*block_key).orderBy(pos)
+    breaks = F.lag(label).over(inside) != F.col(label)
+    if gaps_end_runs:
+        breaks = breaks | (F.lag(pos).over(inside) != F.col(pos) - 1)
     pieces = (
-        df.select(*keys, pos, label)
+        df.select(*keys, *order, label)
         .withColumn("_blk", F.expr(f"{pos} div {block}"))
-        .withColumn("_new", starts.cast("int"))
+        .withColumns({"_new": F.coalesce(breaks, F.lit(True)).cast("int"), "_end": F.lead(pos).over(inside).isNull()})
         .withColumn("_run", F.sum("_new").over(inside))
-        .groupBy(*keys, "_blk", "_run")
+        .groupBy(*block_key, "_run", label)
         .agg(
-            F.min(label).alias(label),
-            F.min(pos).alias("first"),
-            F.max(pos).alias("last"),
+            F.min(pos).alias("_first"),
+            F.max(pos).alias("_last"),
             F.count(F.lit(1)).alias("length"),
+            F.max("_end").alias("_end"),
         )
-        .drop("_run", "_blk")
     )
-    at_edge = (F.col("first") % block == 0) | (F.col("last") % block == block - 1)
-    across = W.partitionBy(*keys).orderBy("first")
-    joins_previous = (F.lag(label).over(across) == F.col(label)) & (F.lag("last").over(across) == F.col("first") - 1)
+    at_edge = (F.col("_run") == 1) | F.col("_end")
+    across = W.partitionBy(*keys).orderBy(*outer, "_first")
+    joins_previous = (F.lag(label).over(across) == F.col(label)) & (F.col("_run") == 1)
+    if gaps_end_runs:
+        joins_previous = joins_previous & (F.lag("_last").over(across) == F.col("_first") - 1)
     merged = (
         pieces.where(at_edge)
         .withColumn("_new", F.when(joins_previous, 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(across))
-        .groupBy(*keys, "_run")
-        .agg(
-            F.min(label).alias(label),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.sum("length").alias("length"),
-        )
-        .drop("_run")
+        .withColumn("_merged", F.sum("_new").over(across))
+        .groupBy(*keys, "_merged", label)
+        .agg(F.sum("length").alias("length"))
     )
-    return pieces.where(~at_edge).unionByName(merged)
+    columns = [*keys, label, "length"]
+    return pieces.where(~at_edge).select(*columns).unionByName(merged.select(*columns))
 
 
 def exact_quantiles(
@@ -146,7 +146,7 @@ def exact_quantiles(
     Equal values are counted before anything is shuffled on. A histogram of bins then says which
     bin holds each wanted position, and only those bins are sorted.
     """
-    values = (
+    values = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,30 @@ def local_session(cpus: int = 8, app: str = "earmark", shuffle_partitions: int |
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one named in `spark.checkpoint.dir`.
+
+    Only a session that names none, which means a local test session, gets a temporary one.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="earmark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's reliable checkpoint folder and continue from the files.
+    """Write `df` once to the shared folder and go on from the files.
 
-    The folder is the one named in `spark.checkpoint.dir`. Only a session that names none, which
-    means a local test session, gets a temporary one.
+    For tables that a plan reads more than once: the work behind them is not repeated, and a lost
+    executor costs the tasks it held and not the whole history.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="earmark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/earmark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
