@@ -1 +1,9 @@
+"""Registered queries and their SQL twins, by family."""
 
+from earmark.checks import vectors
+
+QUERIES = {}
+ORACLES = {}
+for family in (vectors,):
+    QUERIES.update(family.QUERIES)
+    ORACLES.update(family.ORACLES)

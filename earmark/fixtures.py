@@ -121,3 +121,30 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(
         F.col("user_id").alias("track_id"), "idx", (F.col("value") / 500.0 - 0.5).alias("value")
     )
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored and ranked tracks of each query, from all hits."""
+    from earmark.operators import fusion as Q
+
+    def build() -> DataFrame:
+        found = hits(spark, sf_dir)
+        return Q.combined_score(Q.aggregate_candidates(found), Q.temporal_runs(found))
+
+    return _once(spark, sf_dir, "candidates", build)
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each query with its best track and latency."""
+    from earmark.operators import fusion as Q
+
+    named = truth(spark, sf_dir).join(latency(spark, sf_dir), "query_id")
+    return _once(spark, sf_dir, "summary", lambda: Q.top_match_summary(named, candidates(spark, sf_dir)))
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of each label, used as given cells."""
+    labelled = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("int").alias("track_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    return V.pool_vectors(labelled).withColumnRenamed("track_id", "cell_id")

@@ -334,7 +334,7 @@ def fuse(hits: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
     kept = cut_lineage(select_segments(hits, config.threshold, config.min_keep, config.keep_ratio, config.keep_floor))
     scored = combined_score(aggregate_candidates(kept), temporal_runs(kept), config.weights)
     if config.rerank_top:
-        scored = second_stage_rerank(scored, kept, config.rerank_top)
+        scored = cut_lineage(second_stage_rerank(scored, kept, config.rerank_top))
     judged = confidence(quality_score(scored, config.min_quality))
     return min_confidence_filter(confidence_rerank(judged), config.min_confidence)
 

@@ -31,8 +31,8 @@ BROADCAST_ROWS = 20_000
 BLOCK_ROWS = 8_192
 # Query rows multiplied at a time, which bounds the score matrix in a task.
 QUERY_CHUNK = 1_024
-# Scores are compared on this grain, so equal vectors tie and the tie goes to the smaller id.
-SCORE_DIGITS = 9
+# Scores are compared on a grid of 2^-30, so equal vectors tie and the tie goes to the smaller id.
+SCORE_GRID = float(2**30)
 
 # Send the block product to workers with the task, so they need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,7 +87,7 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         squares = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * product
         product = -np.maximum(squares, 0.0)
-    return np.round(product, SCORE_DIGITS)
+    return np.round(product * SCORE_GRID) / SCORE_GRID
 
 
 class _Best:
@@ -477,7 +477,7 @@ def pair_similarity_matrix(
     t = corpus.select("track_id", F.expr(f"bigint(segment_idx div {block})").alias("_tb"), F.col("segment_idx").alias("track_segment"), F.col("vector").alias("_tv"))
     sims = (
         blocks.join(q, ["query_id", "_qb"]).join(t, ["track_id", "_tb"])
-        .select(*key, "query_segment", "track_segment", F.round(dot(F.col("_qv"), F.col("_tv")), SCORE_DIGITS).alias("s"))
+        .select(*key, "query_segment", "track_segment", (F.round(dot(F.col("_qv"), F.col("_tv")) * SCORE_GRID) / SCORE_GRID).alias("s"))
         .withColumn("_bin", value_bin(F.col("s")))
     )
     weight = F.exp(F.col("s") * 2)
