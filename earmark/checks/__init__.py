@@ -1,9 +1,9 @@
 """Registered queries and their SQL twins, by family."""
 
-from earmark.checks import vectors
+from earmark.checks import evaluation, fusion, vectors
 
 QUERIES = {}
 ORACLES = {}
-for family in (vectors,):
+for family in (vectors, fusion, evaluation):
     QUERIES.update(family.QUERIES)
     ORACLES.update(family.ORACLES)

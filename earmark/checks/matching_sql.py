@@ -61,7 +61,7 @@ P.add(
     + " ".join(f"WHEN {m} THEN '{s}'" for m, s in MASKS.items())
     + " END AS severity FROM mask WHERE segment_idx = 0",
 )
-P.add("lat", "SELECT query_id, 200.0 + (CAST(substr(track_id, 6) AS BIGINT) * 37) % 900 AS latency_ms FROM truth")
+P.add("lat", "SELECT query_id, CAST(200 + (CAST(substr(track_id, 6) AS BIGINT) * 37) % 900 AS DOUBLE) AS latency_ms FROM truth")
 
 _t = 0.45
 P.add(

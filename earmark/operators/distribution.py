@@ -161,17 +161,17 @@ def exact_quantiles(
     )
     wanted = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("at"))
+            F.struct(F.lit(name).alias("_q"), ((F.col("_n") - 1) * F.lit(float(p))).alias("_at"))
             for name, p in probabilities.items()
         ]
     )
     positions = (
-        histogram.select(*keys, "_bin", "_end", (F.col("_end") - F.col("_c")).alias("_start"), F.explode(wanted).alias("w"))
+        histogram.select(*keys, "_bin", "_end", (F.col("_end") - F.col("_c")).alias("_start"), F.explode(wanted).alias("_w"))
         .select(
-            *keys, "_bin", "_start", "_end", "w.name", "w.at",
+            *keys, "_bin", "_start", "_end", "_w._q", "_w._at",
             F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"),
         )
-        .withColumn("_pos", F.when(F.col("_side") == 0, F.floor("at")).otherwise(F.ceil("at")))
+        .withColumn("_pos", F.when(F.col("_side") == 0, F.floor("_at")).otherwise(F.ceil("_at")))
         .where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_end")))
     )
     in_bin = W.partitionBy(*keys, "_bin").orderBy("_v")
@@ -186,9 +186,9 @@ def exact_quantiles(
     )
     columns = []
     for name in probabilities:
-        here = F.col("name") == name
+        here = F.col("_q") == name
         low = F.max(F.when(here & (F.col("_side") == 0), F.col("_v")))
         high = F.max(F.when(here & (F.col("_side") == 1), F.col("_v")))
-        share = F.max(F.when(here, F.col("at") - F.floor("at")))
+        share = F.max(F.when(here, F.col("_at") - F.floor("_at")))
         columns.append((low + (high - low) * share).alias(name))
     return found.groupBy(*keys).agg(*columns) if keys else found.agg(*columns)
