@@ -1,9 +1,9 @@
 """Registered queries and their SQL twins, by family."""
 
-from earmark.checks import evaluation, fusion, vectors
+from earmark.checks import evaluation, fusion, manifest, plans, vectors
 
 QUERIES = {}
 ORACLES = {}
-for family in (vectors, fusion, evaluation):
+for family in (vectors, fusion, evaluation, manifest, plans):
     QUERIES.update(family.QUERIES)
     ORACLES.update(family.ORACLES)

@@ -192,3 +192,33 @@ def exact_quantiles(
         share = F.max(F.when(here, F.col("_at") - F.floor("_at")))
         columns.append((low + (high - low) * share).alias(name))
     return found.groupBy(*keys).agg(*columns) if keys else found.agg(*columns)
+
+
+def number_all(df: DataFrame, order: Sequence[Column], out: str, start: int = 0) -> DataFrame:
+    """Number all rows in `order` without a gap and without one task that sees them all.
+
+    The rows are sorted across partitions and written once. Only the partition sizes are added up
+    over the whole table.
+    """
+    sorted_rows = cut_lineage(
+        df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    )
+    sizes = sorted_rows.groupBy("_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    # One row for each partition.
+    earlier = F.sum("_rows").over(W.orderBy("_part").rowsBetween(*_before()))
+    offsets = sizes.select("_part", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return (
+        sorted_rows.join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_before") + F.col("_id") - F.col("_first") + start)
+        .drop("_part", "_id", "_first", "_before")
+    )
+
+
+def join_hot(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread_by: Column, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join one row of `stats` for each group to `rows`, where single groups may be very large.
+
+    Rows of a group go to `salts` tasks by the hash of `spread_by`; the row of statistics goes to all.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    copies = stats.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
