@@ -110,7 +110,10 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of a user, in order of time, as one signal: `(track_id, idx, value)`."""
+    """The events of a user, in order of time, as one signal: `(track_id, idx, value)`.
+
+    The divisor is a prime, so results are no short decimals that sit between two rounded values.
+    """
     numbered = number_rows(
         table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"),
         ["user_id"],
@@ -119,7 +122,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "idx",
     )
     return numbered.select(
-        F.col("user_id").alias("track_id"), "idx", (F.col("value") / 500.0 - 0.5).alias("value")
+        F.col("user_id").alias("track_id"), "idx", (F.col("value") / 509.0 - 0.5).alias("value")
     )
 
 
