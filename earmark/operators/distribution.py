@@ -45,21 +45,40 @@ def rank_within(
     then_by: Sequence[Column],
     out: str = "rank",
     total: str | None = None,
+    tie_bins: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact `row_number` by `value` descending, then `then_by`, inside each group of `keys`.
 
-    `value` must not be NULL. With `total` the group size is added as well. The input is counted
-    and then ordered, so it is written once first.
+    `value` must not be NULL. With `total` the group size is added as well. Where many rows of a
+    group may have one and the same value, `tie_bins` are coarse columns that agree with `then_by`;
+    a bin that holds a single value is cut further by them. The input is counted and then ordered,
+    so it is written once first.
     """
-    binned = cut_lineage(df).withColumn("_bin", value_bin(F.col(value)))
-    offsets = _offsets(binned, keys, ["_bin"], [F.col("_bin").desc()])
-    inside = W.partitionBy(*keys, "_bin").orderBy(F.col(value).desc(), *then_by)
-    ranked = binned.join(offsets, [*keys, "_bin"]).withColumn(
+    ties = [f"_tie{i}" for i in range(len(tie_bins))]
+    binned = cut_lineage(df).withColumns({"_bin": value_bin(F.col(value)), **dict(zip(ties, tie_bins))})
+    in_bin, group = W.partitionBy(*keys, "_bin"), W.partitionBy(*keys)
+    in_order = group.orderBy(F.col("_bin").desc(), *ties).rowsBetween(*_before())
+    counts = (
+        binned.groupBy(*keys, "_bin", *ties)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_rows").over(in_order), F.lit(0)),
+                "_group_rows": F.sum("_rows").over(group),
+                "_uniform": F.min("_low").over(in_bin) == F.max("_high").over(in_bin),
+            }
+        )
+        .withColumn("_before", F.when(F.col("_uniform"), F.col("_before")).otherwise(F.min("_before").over(in_bin)))
+        .drop("_rows", "_low", "_high")
+    )
+    cuts = [F.when(F.col("_uniform"), F.col(t)) for t in ties]
+    inside = W.partitionBy(*keys, "_bin", *cuts).orderBy(F.col(value).desc(), *then_by)
+    ranked = binned.join(counts, [*keys, "_bin", *ties]).withColumn(
         out, (F.col("_before") + F.row_number().over(inside)).cast("int")
     )
     if total:
         ranked = ranked.withColumn(total, F.col("_group_rows"))
-    return ranked.drop("_bin", "_before", "_group_rows")
+    return ranked.drop("_bin", "_before", "_group_rows", "_uniform", *ties)
 
 
 def number_rows(
@@ -140,8 +159,12 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
+    interpolate: bool = True,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row for each group that has a value.
+    """Exact quantiles, one row for each group that has a value.
+
+    They lie at `(n - 1) * p` with linear interpolation. Without, the element at `n * p`, counted
+    from 0 and rounded down, is taken: the upper median for 0.5.
 
     Equal values are counted before anything is shuffled on. A histogram of bins then says which
     bin holds each wanted position, and only those bins are sorted.
@@ -159,12 +182,12 @@ def exact_quantiles(
         .withColumn("_end", F.sum("_c").over(group.orderBy("_bin")))
         .withColumn("_n", F.sum("_c").over(group))
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("_q"), ((F.col("_n") - 1) * F.lit(float(p))).alias("_at"))
-            for name, p in probabilities.items()
-        ]
-    )
+    def place(p: float) -> Column:
+        if interpolate:
+            return (F.col("_n") - 1) * F.lit(float(p))
+        return F.least(F.floor(F.col("_n") * F.lit(float(p))), F.col("_n") - 1).cast("double")
+
+    wanted = F.array(*[F.struct(F.lit(name).alias("_q"), place(p).alias("_at")) for name, p in probabilities.items()])
     positions = (
         histogram.select(*keys, "_bin", "_end", (F.col("_end") - F.col("_c")).alias("_start"), F.explode(wanted).alias("_w"))
         .select(
@@ -222,3 +245,9 @@ def join_hot(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread_by:
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     copies = stats.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_one_row(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Put the columns of a table of one row next to every row."""
+    one = F.lit(0).alias("_one")
+    return df.select("*", one).join(F.broadcast(single.select("*", one)), "_one").drop("_one")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earmark.functions.columns import track_of_segment
-from earmark.operators.distribution import exact_quantiles, rank_within
+from earmark.operators.distribution import exact_quantiles, join_one_row, rank_within
 from earmark.session import cut_lineage
 
 # Pass limits by severity, and the overall latency limits.
@@ -71,7 +71,7 @@ def _correct(summary: DataFrame, truth: DataFrame) -> DataFrame:
 def _with_quantiles(stats: DataFrame, source: DataFrame, group: Sequence[str], value: str, names: Mapping[str, float]) -> DataFrame:
     quantiles = exact_quantiles(source, group, value, names)
     if not group:
-        return stats.crossJoin(F.broadcast(quantiles))  # one row each
+        return join_one_row(stats, quantiles)
     return stats.join(quantiles, list(group), "left")
 
 
@@ -341,7 +341,7 @@ def bottlenecks(summary: DataFrame, value: str = "latency_ms") -> tuple[DataFram
         {"median": 0.5, "p95": 0.95, "p99": 0.99},
     )
     limit = stats.select(F.col("p95").alias("_p95"))
-    slow = summary.join(F.broadcast(limit), F.col(value) > F.col("_p95")).drop("_p95")  # limit has one row
+    slow = join_one_row(summary, limit).where(F.col(value) > F.col("_p95")).drop("_p95")
     return stats, slow
 
 
@@ -419,7 +419,7 @@ def run_summary(summary: DataFrame, variants: DataFrame, config_name: str) -> Da
         F.array_sort(F.collect_set("severity")).alias("severities"),
     )
     planned = variants.agg(F.count(F.lit(1)).alias("total_transforms"))
-    return totals.crossJoin(F.broadcast(planned)).withColumn("phase", phase_of_config(F.lit(config_name)))  # one row each
+    return join_one_row(totals, planned).withColumn("phase", phase_of_config(F.lit(config_name)))
 
 
 def sla_flags(summary: DataFrame, target_ms: float = 600.0, warning_ms: float = 650.0) -> DataFrame:
@@ -452,14 +452,9 @@ def scenario_metrics(verdicts: DataFrame) -> DataFrame:
         F.avg("similarity").alias("mean_similarity"),
         F.count("rank").alias("_ranks"),
     )
-    upper = lambda value, out: (
-        rank_within(verdicts.where(F.col(value).isNotNull()).select(F.lit(0).alias("_g"), F.col(value).cast("double").alias(out)), ["_g"], out, [], "_place", "_n")
-        .where(F.col("_place") == F.col("_n") - F.floor(F.col("_n") / 2))
-        .agg(F.max(out).alias(out))
-    )
+    upper = lambda value, out: exact_quantiles(verdicts, (), value, {out: 0.5}, interpolate=False)
     return (
-        stats.crossJoin(F.broadcast(upper("rank", "median_rank")))  # one row each
-        .crossJoin(F.broadcast(upper("similarity", "median_similarity")))
+        join_one_row(join_one_row(stats, upper("rank", "median_rank")), upper("similarity", "median_similarity"))
         .withColumn("median_rank", F.coalesce("median_rank", F.lit(1.0)))
         .drop("_ranks")
     )

@@ -102,7 +102,10 @@ def _pass_threshold(tops: DataFrame, threshold: float | DataFrame, min_keep: flo
 def _best_share(tops: DataFrame, ratio: float, floor: int) -> DataFrame:
     if ratio >= 1.0:
         return tops
-    ranked = rank_within(tops, ["query_id"], "top_similarity", [F.col("scale"), F.col("segment_idx")], "_place", "_n")
+    # Exact copies give long queries the same top similarity in very many segments.
+    tie_bins = [F.col("scale"), F.expr(f"segment_idx div {SEGMENT_BLOCK}")]
+    order = [F.col("scale"), F.col("segment_idx")]
+    ranked = rank_within(tops, ["query_id"], "top_similarity", order, "_place", "_n", tie_bins)
     share = F.greatest(F.lit(floor), (F.col("_n") * F.lit(ratio)).cast("int"))
     keep = F.when(F.col("_n") > floor, share).otherwise(F.col("_n"))
     return ranked.where(F.col("_place") <= keep).drop("_place", "_n")

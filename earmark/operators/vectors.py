@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from earmark.functions.columns import track_of_segment, value_bin
 from earmark.operators.distribution import exact_quantiles
+from earmark.session import cut_lineage
 
 # Most query rows (or centroids) that may be sent to every task. Larger sides are split into blocks.
 BROADCAST_ROWS = 20_000
@@ -297,9 +298,10 @@ def ivf_search(
     keys = _query_keys(queries)
     schema = _hit_schema(queries, keys, corpus)
     centroids = train_cells(corpus, nlist) if centroids is None else centroids
-    cells = corpus if "cell_id" in corpus.columns else assign_cells(corpus.select("cand_id", "vector"), centroids)
+    # Both sides are counted by cell and then sent to their cells, so the assignment is written once.
+    cells = corpus if "cell_id" in corpus.columns else cut_lineage(assign_cells(corpus.select("cand_id", "vector"), centroids))
     found = _blocked_topk(
-        assign_cells(queries, centroids, nprobe).withColumnRenamed("cell_id", "_bucket"),
+        cut_lineage(assign_cells(queries, centroids, nprobe)).withColumnRenamed("cell_id", "_bucket"),
         keys,
         cells.withColumnRenamed("cell_id", "_bucket"),
         schema,
@@ -502,11 +504,14 @@ def pair_similarity_matrix(
         F.coalesce(F.sum(F.when(whole, F.col("_ws"))), F.lit(0.0)).alias("_ws"),
     )
     cut = ranked.where((F.col("_take") > 0) & ~whole).select(*key, "_bin", "_take")
-    in_bin = W.partitionBy(*key, "_bin").orderBy(F.col("s").desc(), "query_segment", "track_segment")
+    # Equal scores are counted, so a bin full of ties stays one row.
+    upto = W.partitionBy(*key, "_bin").orderBy(F.col("s").desc())
+    used = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_take") - F.col("_upto") + F.col("_c")))
     border = (
         sims.join(cut, [*key, "_bin"])
-        .withColumn("_rn", F.row_number().over(in_bin)).where(F.col("_rn") <= F.col("_take"))
-        .groupBy(*key).agg(F.sum(weight).alias("_bw"), F.sum(weight * F.col("s")).alias("_bws"))
+        .groupBy(*key, "_bin", "_take", "s").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(upto))
+        .groupBy(*key).agg(F.sum(weight * used).alias("_bw"), F.sum(weight * F.col("s") * used).alias("_bws"))
     )
     p95 = exact_quantiles(sims, key, "s", {"p95_similarity": 0.95})
     joined = base.join(border, key, "left").join(p95, key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earmark.functions.columns import blank_to_null, zero_pad
-from earmark.operators.distribution import join_hot, number_all
+from earmark.operators.distribution import join_hot, join_one_row, number_all
 from earmark.operators.evaluate import phase_of_config
 
 # Places a locator may be given, in order of preference.
@@ -168,8 +168,7 @@ def manifest_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
         .join(existing.select("file_path"), "file_path", "left_anti")
     )
     named = (
-        number_all(fresh, [F.col("file_path")], "_n", 1)
-        .crossJoin(F.broadcast(size))  # one row
+        join_one_row(number_all(fresh, [F.col("file_path")], "_n", 1), size)
         .withColumn("id", F.concat(F.lit("track"), (F.col("_size") + F.col("_n")).cast("string")))
         .drop("_n", "_size")
     )
