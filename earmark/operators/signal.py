@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from earmark.functions import registry
 from earmark.functions.columns import segment_id
 from earmark.operators.vectors import l2_normalize
 from earmark.session import cut_lineage
@@ -493,7 +494,7 @@ def song_in_song(
 
 
 def apply_chain(samples: DataFrame, steps: Sequence[Mapping[str, object]], sample_rate: int = SAMPLE_RATE, block: int = BLOCK) -> DataFrame:
-    """Apply `{type, params}` steps in order. Unknown types are skipped."""
+    """Apply `{type, params}` steps in order. Registered transforms are known too, other types are skipped."""
     rate = {"sample_rate": sample_rate, "block": block}
     known: dict[str, Callable[..., DataFrame]] = {
         "gain": lambda s, db: gain_db(s, db),
@@ -510,6 +511,7 @@ def apply_chain(samples: DataFrame, steps: Sequence[Mapping[str, object]], sampl
         "apply_compression": lambda s, threshold_db, ratio: compress_envelope(s, threshold_db, ratio, **rate),
         "apply_limiting": lambda s, ceiling_db: limit(s, ceiling_db, block),
         "apply_multiband_compression": lambda s: multiband_compress(s, **rate),
+        **registry.transforms(),
     }
     out, applied = samples, 0
     for step in steps:
