@@ -9,6 +9,7 @@ from earmark.functions.columns import segment_id
 from earmark.operators import vectors as V
 from earmark.operators.distribution import number_rows
 from earmark.operators.fusion import to_track_grain
+from earmark.session import cut_lineage
 
 # Dimensions that survive in each kind of masked copy, and how hard it makes the search.
 MASKS = {16: "mild", 10: "moderate", 6: "severe"}
@@ -24,17 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Keep a table that many queries of one application start from, so it is built once."""
+    """Write a table that many queries of one application start from, so it is built once."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _shared:
-        _shared[key] = build().persist()
+        _shared[key] = cut_lineage(build())
     return _shared[key]
 
 
 def forget() -> None:
-    """Release the shared tables."""
-    while _shared:
-        _shared.popitem()[1].unpersist()
+    """Build the shared tables anew from here on."""
+    _shared.clear()
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,26 +150,36 @@ def _broadcast_topk(
     return corpus.select("cand_id", "vector").mapInArrow(search, schema)
 
 
-def _blocked_topk(
-    queries: DataFrame, keys: Sequence[str], corpus: DataFrame, schema: T.StructType, k: int, metric: str, block_rows: int
-) -> DataFrame:
-    """Search inside equal values of `_bucket`, cutting hot buckets into blocks on both sides."""
+def _into_blocks(df: DataFrame, ids: Sequence[str], own: str, other: str, own_blocks: Column, other_blocks: Column) -> DataFrame:
+    """Give each row its own block and one copy for each block of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(*ids), own_blocks.cast("bigint"))).withColumn(
+        other, F.explode(F.sequence(F.lit(0).cast("bigint"), other_blocks.cast("bigint") - 1))
+    )
+
+
+def _flat_blocks(queries: DataFrame, keys: Sequence[str], corpus: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides in blocks that all meet each other."""
+    q_blocks = F.lit(-(-max(1, queries.count()) // block_rows))
+    c_blocks = F.lit(-(-max(1, corpus.count()) // block_rows))
+    q = _into_blocks(queries.withColumn("_bucket", F.lit(0)), keys, "_q", "_c", q_blocks, c_blocks)
+    c = _into_blocks(corpus.select("cand_id", "vector", F.lit(0).alias("_bucket")), ["cand_id"], "_c", "_q", c_blocks, q_blocks)
+    return q, c
 
+
+def _bucket_blocks(queries: DataFrame, keys: Sequence[str], corpus: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides in blocks that meet inside equal values of `_bucket`; hot buckets get more blocks."""
     def splits(df: DataFrame, out: str) -> DataFrame:
-        return df.groupBy("_bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(out))
+        return df.groupBy("_bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(out))
 
-    plan = splits(queries, "_q_blocks").join(splits(corpus, "_c_blocks"), "_bucket")
+    plan = splits(queries, "_nq").join(splits(corpus, "_nc"), "_bucket")
+    q = _into_blocks(queries.join(plan, "_bucket"), keys, "_q", "_c", F.col("_nq"), F.col("_nc"))
+    placed = corpus.select("cand_id", "vector", "_bucket").join(plan, "_bucket")
+    c = _into_blocks(placed, ["cand_id"], "_c", "_q", F.col("_nc"), F.col("_nq"))
+    return q.drop("_nq", "_nc"), c.drop("_nq", "_nc")
 
-    def place(df: DataFrame, id_cols: Sequence[str], own: str, other: str, own_blocks: str, other_blocks: str) -> DataFrame:
-        return (
-            df.join(plan, "_bucket")
-            .withColumn(own, F.pmod(F.xxhash64(*id_cols), F.col(own_blocks)))
-            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_blocks).cast("bigint") - 1)))
-            .drop("_q_blocks", "_c_blocks")
-        )
 
-    q = place(queries, keys, "_q", "_c", "_q_blocks", "_c_blocks")
-    c = place(corpus.select("cand_id", "vector", "_bucket"), ["cand_id"], "_c", "_q", "_c_blocks", "_q_blocks")
+def _blocked_topk(q: DataFrame, keys: Sequence[str], c: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
+    """Top `k` of each pair of blocks; a block holds a bounded number of vectors on each side."""
     names = schema.fieldNames()
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -185,7 +195,10 @@ def _blocked_topk(
 
 
 def _finish(found: DataFrame, keys: Sequence[str], k: int, metric: str) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy(F.col("score").desc(), "cand_id")
+    """Best `k` over all tasks. Rows of a query vector stay together for what follows."""
+    floating = {f.name for f in found.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    identity = [key for key in keys if key not in floating] or list(keys)
+    order = W.partitionBy(*identity).orderBy(F.col("score").desc(), "cand_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if metric == "l2":
         distance = F.when(F.col("score") == 0, 0.0).otherwise(-F.col("score"))
@@ -210,8 +223,8 @@ def knn(
 ) -> DataFrame:
     """Exact top `k` of `corpus(cand_id, vector)` for each query row.
 
-    Every column of `queries` other than `vector` identifies the query row and is returned. With
-    more than `broadcast_rows` queries both sides are cut into blocks; use `ivf_search` when the
+    Every column of `queries` other than `vector` is returned, and those that are no floating-point
+    numbers identify the query row. With more than `broadcast_rows` queries both sides are cut into blocks; use `ivf_search` when the
     product of both sizes is out of reach.
     """
     if metric not in METRICS:
@@ -222,10 +235,8 @@ def knn(
     if head is not None and head.num_rows <= broadcast_rows:
         found = _broadcast_topk(queries.sparkSession, head, keys, corpus, schema, k, metric)
     else:
-        one = F.lit(0)
-        found = _blocked_topk(
-            queries.withColumn("_bucket", one), keys, corpus.withColumn("_bucket", one), schema, k, metric, block_rows
-        )
+        q, c = _flat_blocks(queries, keys, corpus, block_rows)
+        found = _blocked_topk(q, keys, c, schema, k, metric)
     return _finish(found, keys, k, metric)
 
 
@@ -300,15 +311,9 @@ def ivf_search(
     centroids = train_cells(corpus, nlist) if centroids is None else centroids
     # Both sides are counted by cell and then sent to their cells, so the assignment is written once.
     cells = corpus if "cell_id" in corpus.columns else cut_lineage(assign_cells(corpus.select("cand_id", "vector"), centroids))
-    found = _blocked_topk(
-        cut_lineage(assign_cells(queries, centroids, nprobe)).withColumnRenamed("cell_id", "_bucket"),
-        keys,
-        cells.withColumnRenamed("cell_id", "_bucket"),
-        schema,
-        k,
-        metric,
-        block_rows,
-    )
+    probes = cut_lineage(assign_cells(queries, centroids, nprobe)).withColumnRenamed("cell_id", "_bucket")
+    q, c = _bucket_blocks(probes, keys, cells.withColumnRenamed("cell_id", "_bucket"), block_rows)
+    found = _blocked_topk(q, keys, c, schema, k, metric)
     return _finish(found, keys, k, metric)
 
 
@@ -347,7 +352,8 @@ def ann_search(
         )
         return unit.withColumn("_bucket", F.explode(buckets))
 
-    found = _blocked_topk(hashed(queries), keys, hashed(corpus.select("cand_id", "vector")), schema, k, metric, block_rows)
+    q, c = _bucket_blocks(hashed(queries), keys, hashed(corpus.select("cand_id", "vector")), block_rows)
+    found = _blocked_topk(q, keys, c, schema, k, metric)
     return _finish(found.groupBy(*keys, "cand_id").agg(F.max("score").alias("score")), keys, k, metric)
 
 
