@@ -91,6 +91,11 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.round(product * SCORE_GRID) / SCORE_GRID
 
 
+def _places(rows: np.ndarray) -> np.ndarray:
+    """Position inside each run of equal numbers."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+
+
 class _Best:
     """The best `k` candidates seen so far for each query row of one task."""
 
@@ -116,11 +121,15 @@ class _Best:
         order = pc.sort_indices(merged, [("row", "ascending"), ("score", "descending"), ("id", "ascending")])
         merged = merged.take(order)
         rows = merged["row"].to_numpy()
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        place = _places(rows)
         self.found = merged.filter(pa.array(place < self.k)).combine_chunks()
         at_k = place == self.k - 1
         self.floor[rows[at_k]] = merged["score"].to_numpy()[at_k]
 
+    def places(self) -> np.ndarray:
+        """Place of each hit among those of its query, from 0."""
+        return _places(self.found["row"].to_numpy())
+
     def table(self, keys: pa.Table, id_name: str) -> pa.Table:
         rows = self.found["row"]
         out = {name: keys[name].take(rows) for name in keys.column_names}
@@ -150,6 +159,26 @@ def _broadcast_topk(
     return corpus.select("cand_id", "vector").mapInArrow(search, schema)
 
 
+def _broadcast_corpus(
+    spark: SparkSession, queries: DataFrame, keys: Sequence[str], corpus_rows: pa.Table, schema: T.StructType, k: int, metric: str
+) -> DataFrame:
+    """Search a corpus that every task holds; each batch of queries is answered in full where it is."""
+    shared = spark.sparkContext.broadcast((corpus_rows["cand_id"].combine_chunks(), _matrix(corpus_rows["vector"])))
+    names = schema.fieldNames()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = shared.value
+        for batch in batches:
+            if batch.num_rows and len(c):
+                best = _Best(_matrix(batch.column("vector")), k, metric)
+                best.offer(ids, c)
+                hits = best.table(pa.Table.from_batches([batch.select(list(keys))]), "cand_id").select(names)
+                yield from hits.append_column("rank", pa.array(best.places() + 1, pa.int32())).to_batches()
+
+    ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+    return queries.select(*keys, "vector").mapInArrow(search, ranked)
+
+
 def _into_blocks(df: DataFrame, ids: Sequence[str], own: str, other: str, own_blocks: Column, other_blocks: Column) -> DataFrame:
     """Give each row its own block and one copy for each block of the other side."""
     return df.withColumn(own, F.pmod(F.xxhash64(*ids), own_blocks.cast("bigint"))).withColumn(
@@ -199,13 +228,23 @@ def _finish(found: DataFrame, keys: Sequence[str], k: int, metric: str) -> DataF
     floating = {f.name for f in found.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     identity = [key for key in keys if key not in floating] or list(keys)
     order = W.partitionBy(*identity).orderBy(F.col("score").desc(), "cand_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _similarity(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), metric)
+
+
+def _similarity(ranked: DataFrame, metric: str) -> DataFrame:
+    """Scores as similarities, and as distances where those were asked for."""
     if metric == "l2":
         distance = F.when(F.col("score") == 0, 0.0).otherwise(-F.col("score"))
         return ranked.withColumn("distance", distance).withColumn("similarity", 1.0 / (1.0 + F.col("distance"))).drop("score")
     return ranked.withColumnRenamed("score", "similarity")
 
 
+def _bounded(df: DataFrame, rows: int) -> pa.Table | None:
+    """All rows of a table, if it has no more than `rows`."""
+    head = df.limit(rows + 1).toArrow() if rows > 0 else None
+    return head if head is not None and head.num_rows <= rows else None
+
+
 def _query_keys(queries: DataFrame) -> list[str]:
     return [c for c in queries.columns if c not in ("vector", "_bucket")]
 
@@ -224,16 +263,19 @@ def knn(
     """Exact top `k` of `corpus(cand_id, vector)` for each query row.
 
     Every column of `queries` other than `vector` is returned, and those that are no floating-point
-    numbers identify the query row. With more than `broadcast_rows` queries both sides are cut into blocks; use `ivf_search` when the
-    product of both sizes is out of reach.
+    numbers identify the query row. A side of at most `broadcast_rows` rows goes to every task.
+    When both are larger they are cut into blocks; use `ivf_search` when the product of both sizes
+    is out of reach.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     keys = _query_keys(queries)
     schema = _hit_schema(queries, keys, corpus)
-    head = queries.select(*keys, "vector").limit(broadcast_rows + 1).toArrow() if broadcast_rows else None
-    if head is not None and head.num_rows <= broadcast_rows:
-        found = _broadcast_topk(queries.sparkSession, head, keys, corpus, schema, k, metric)
+    spark = queries.sparkSession
+    if (few := _bounded(queries.select(*keys, "vector"), broadcast_rows)) is not None:
+        found = _broadcast_topk(spark, few, keys, corpus, schema, k, metric)
+    elif (few := _bounded(corpus.select("cand_id", "vector"), broadcast_rows)) is not None:
+        return _similarity(_broadcast_corpus(spark, queries, keys, few, schema, k, metric), metric)
     else:
         q, c = _flat_blocks(queries, keys, corpus, block_rows)
         found = _blocked_topk(q, keys, c, schema, k, metric)
@@ -568,6 +610,33 @@ def search_depth(segments: int, corpus_rows: int) -> int:
 # ---------------------------------------------------------------- V12
 
 
+def _partial_sums(vectors: DataFrame) -> DataFrame:
+    """Sum and count of the vectors of each track in each Arrow batch."""
+    schema = T.StructType(
+        [
+            vectors.schema["track_id"],
+            T.StructField("n", T.LongType()),
+            T.StructField("total", T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tracks = batch.column("track_id").dictionary_encode()
+            codes = tracks.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            sums = np.add.reduceat(_matrix(batch.column("vector"))[order], starts, axis=0)
+            dim = sums.shape[1]
+            total = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, dim), pa.int32()), pa.array(sums.ravel()))
+            counts = pa.array(np.diff(np.r_[starts, len(codes)]), pa.int64())
+            yield pa.RecordBatch.from_arrays([tracks.dictionary.take(pa.array(codes[order][starts])), counts, total], ["track_id", "n", "total"])
+
+    return vectors.select("track_id", "vector").mapInArrow(add_up, schema)
+
+
 def pool_vectors(vectors: DataFrame, width: int | None = None, stride: int = 1) -> DataFrame:
     """Mean vector of each track, or of every full window of `width` segments each `stride` apart.
 
@@ -575,8 +644,9 @@ def pool_vectors(vectors: DataFrame, width: int | None = None, stride: int = 1)
     """
     if width is None:
         means = (
-            vectors.select("track_id", F.posexplode("vector").alias("_d", "_x"))
-            .groupBy("track_id", "_d").agg(F.avg("_x").alias("_x"))
+            _partial_sums(vectors)
+            .select("track_id", "n", F.posexplode("total").alias("_d", "_x"))
+            .groupBy("track_id", "_d").agg((F.sum("_x") / F.sum("n")).alias("_x"))
         )
         ordered = F.array_sort(F.collect_list(F.struct("_d", "_x")))
         return means.groupBy("track_id").agg(F.transform(ordered, lambda e: e["_x"]).alias("vector"))

@@ -43,11 +43,20 @@ def grouped(hits):
 
 
 @pytest.mark.parametrize("metric", V.METRICS)
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 3, "block_rows": 7}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 3, "block_rows": 7}, {"broadcast_rows": 14}])
 def test_knn_is_exact(data, metric, options):
     assert grouped(V.knn(*data, 6, metric, **options)) == brute(*data, 6, metric)
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_knn_of_many_queries_in_a_small_corpus(data, metric):
+    queries, corpus = data
+    few = corpus.where("cand_id < 'track2'").cache()
+    assert few.count() < 60 < corpus.count()
+    turned = corpus.select(corpus.cand_id.alias("query_id"), "vector")
+    assert grouped(V.knn(turned, few, 6, metric, broadcast_rows=60)) == brute(turned, few, 6, metric)
+
+
 def test_knn_with_more_hits_than_corpus(data):
     queries, corpus = data
     assert V.knn(queries, corpus.limit(3), 10).count() == queries.count() * 3
