@@ -10,4 +10,4 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from earmark.session import local_session
 
-    return local_session(8, "earmark-tests")
+    return local_session(8, "earmark-tests", 4)
