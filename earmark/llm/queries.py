@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import simhash, substrings
+from earmark.llm import decontaminate, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The public tokenizer of the registered queries; a file that Spark need not reach."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -22,8 +33,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
     "op7_simhash": op7_simhash,
+    "op8_elias_fano": op8_elias_fano,
 }
 ORACLES: dict[str, str] = {}
