@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import decontaminate, simhash, substrings, tokens
+from earmark.llm import decontaminate, quality, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,17 @@ def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*shown, *[f"{m}_limit" for m in quality.METRICS])
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
     "op7_simhash": op7_simhash,
     "op8_elias_fano": op8_elias_fano,
+    "op9_adaptive_quality": op9_adaptive_quality,
 }
 ORACLES: dict[str, str] = {}
