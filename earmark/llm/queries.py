@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import decontaminate, mixing, quality, sharding, simhash, substrings, tokens
+from earmark.llm import decontaminate, licenses, mixing, quality, sharding, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_entropy_balancing": op3_entropy_balancing,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
     "op5_hash_tree": op5_hash_tree,
+    "op6_conditional_compression": op6_conditional_compression,
     "op7_simhash": op7_simhash,
     "op8_elias_fano": op8_elias_fano,
     "op9_adaptive_quality": op9_adaptive_quality,
