@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import decontaminate, licenses, mixing, quality, sharding, simhash, substrings, tokens
+from earmark.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -58,6 +62,7 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_semi_markov_pii": op2_semi_markov_pii,
     "op3_entropy_balancing": op3_entropy_balancing,
     "op4_fixed_block_anchors": op4_fixed_block_anchors,
     "op5_hash_tree": op5_hash_tree,
