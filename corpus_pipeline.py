@@ -6,8 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earmark.llm import simhash
+from earmark.llm import decontaminate, mixing, quality, simhash, tokens
 from earmark.llm.jobs import shared_folder
+from earmark.llm.queries import table, vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.passing(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +21,27 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix of sources takes them."""
+    return mixing.repeat_rows(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared folder, and a row for each document read back from them."""
+    return tokens.token_table(docs, vocabulary())
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("simhash near-dedup", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("token-id output", token_output),
 ]
 
 # Quality verdicts, fingerprints and token ids can't be stated in SQL; tests compare with brute force.

@@ -184,3 +184,20 @@ def mix(
     return final.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("rate") / POINT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def repeat_rows(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Documents as often as `mix` takes them, with all columns; those it takes 0 times go.
+
+    Rows are matched by id, source and size; rows equal in these share out their copies in any order.
+    """
+    order = Window.partitionBy("_id", "_source", "_size").orderBy("_size")
+    mixed = mix(documents, doc_id, text, source).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+    ).withColumn("_row", F.row_number().over(order.orderBy("_copies")))
+    n = F.expr(f"cast(regexp_count(coalesce(`{text}`, ''), '{WORD}') as bigint)")
+    keyed = documents.withColumns({"_id": F.col(f"`{doc_id}`").cast("long"), "_source": F.col(f"`{source}`").cast("string"), "_size": n})
+    keyed = keyed.withColumn("_row", F.row_number().over(order))
+    same = [keyed[c].eqNullSafe(mixed[c]) for c in ("_id", "_source")] + [keyed[c] == mixed[c] for c in ("_size", "_row")]
+    joined = keyed.join(mixed.where("_copies > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return joined.select(*[F.col(f"`{c}`") for c in documents.columns])

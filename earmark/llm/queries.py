@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, substrings, tokens
+from earmark.llm import decontaminate, html, licenses, mixing, pii, quality, sharding, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*shown, *[f"{m}_limit" for m in quality.METRICS])
 
 
+def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_semi_markov_pii": op2_semi_markov_pii,
@@ -70,5 +74,6 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_elias_fano": op8_elias_fano,
     "op9_adaptive_quality": op9_adaptive_quality,
+    "op10_block_labeller": op10_block_labeller,
 }
 ORACLES: dict[str, str] = {}
