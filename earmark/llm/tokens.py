@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ FILE_TOKENS = 1 << 22
 FILE_DOCUMENTS = 1 << 16
 PARTITION_BYTES = 32 << 20
 # Above so many words or ids a worker forgets its words and begins anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 21
 CACHE_IDS = 1 << 24
 
 
@@ -108,11 +109,23 @@ class EliasFano:
         return out
 
 
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_STOPS = np.array([chr(b) in ".,;:!?" for b in range(256)])
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Stretches of a text that the tokenizer never joins: words, parted before stops that follow an ASCII letter or digit."""
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _STOPS[data[1:]] & _ALNUM[data[:-1]]
+    return Words(data, offsets, cut=cut)
+
+
 class WordCache:
     """Token ids of words already seen, so each is tokenized once for a worker.
 
-    The tokenizer never joins characters across ASCII white space, so the ids of a text are those
-    of its words one after another. Words are told apart by a 64-bit hash.
+    The tokenizer never joins characters across ASCII white space, nor letters or digits with stops,
+    so the ids of a text are those of its pieces one after another. Pieces are told apart by a 64-bit
+    hash.
     """
 
     def __init__(self, tokenizer):
@@ -121,24 +134,25 @@ class WordCache:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids = np.zeros(0, np.uint32)
 
     def add(self, keys: np.ndarray, texts: list[bytes]) -> None:
         if len(self.keys) + len(keys) > CACHE_WORDS:
             self.clear()
-        made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        size = np.array([len(m) for m in made], np.int64)
-        self.keys = np.append(self.keys, keys)
-        self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.concatenate([self.ids, *made])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.at, self.size = self.keys[order], self.at[order], self.size[order]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        size = np.fromiter(map(len, made), np.uint32, len(made))
+        at = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())))
+        # Both sides are sorted: new keys go in where they belong.
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, at)
+        self.size = np.insert(self.size, place, size)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some whole texts, each with the end id, and where each text ends."""
-        words = Words(data, offsets)
+        words = pieces(data, offsets)
         text = data.tobytes()
         h, first, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
         missing = np.flatnonzero(~np.isin(h, self.keys, assume_unique=True))
@@ -149,7 +163,7 @@ class WordCache:
                 missing = np.arange(len(h))
             self.add(h[missing], [text[words.start[i] : words.end[i]] for i in first[missing].tolist()])
         k = np.searchsorted(self.keys, h)
-        at, size = self.at[k][where], self.size[k][where]
+        at, size = self.at[k][where].astype(np.int64), self.size[k][where].astype(np.int64)
         ends = np.cumsum(size)
         out = np.full(int(size.sum()) + len(offsets) - 1, end_id, np.uint32)
         step = np.arange(int(size.sum()))

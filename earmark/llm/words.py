@@ -80,15 +80,18 @@ class Words:
     """The words of some whole texts.
 
     `start` and `end` are byte offsets of words in `data`, `doc` is the number of a word's text and
-    `first[i]:first[i + 1]` are the words of text i.
+    `first[i]:first[i + 1]` are the words of text i. `cut` marks bytes where a new word begins without
+    white space before it.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES, cut: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
         inside = ~spaces[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         begins, ends = inside.copy(), inside.copy()
+        if cut is not None:
+            edge[:-1] |= cut
         begins[1:] &= ~inside[:-1] | edge[1:-1]
         ends[:-1] &= ~inside[1:] | edge[1:-1]
         self.inside, self.begins = inside, begins
