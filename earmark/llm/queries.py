@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import decontaminate, html, licenses, mixing, pii, quality, sharding, simhash, substrings, tokens
+from earmark.llm import decontaminate, html, licenses, mixing, pii, quality, sharding, simhash, sql, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged.select(*shown, *[f"{m}_limit" for m in quality.METRICS])
+    return judged.select(*shown, *[F.round(f"{m}_limit", 6).alias(f"{m}_limit") for m in quality.METRICS])
 
 
 def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ QUERIES = {
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_block_labeller": op10_block_labeller,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_fixed_block_anchors": sql.REPEATS, "op9_adaptive_quality": sql.QUALITY}
