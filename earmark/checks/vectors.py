@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from earmark import fixtures as X
@@ -9,6 +11,7 @@ from earmark.checks.matching_sql import P, unit
 from earmark.checks.support import Query, r6, tidy
 from earmark.functions.columns import index_of_segment, segment_id, track_of_segment
 from earmark.operators import vectors as V
+from earmark.session import shared_folder
 
 K = 10
 PROBES = 3
@@ -78,7 +81,7 @@ def knn_l2(spark, sf):
 @register("knn_l2_blocked", _L2)
 def knn_l2_blocked(spark, sf):
     """The way taken when the queries are too many to broadcast."""
-    return V.knn_l2(_single(spark, sf), X.corpus(spark, sf), K, broadcast_rows=0, block_rows=256)
+    return V.knn_l2(_single(spark, sf), X.corpus(spark, sf), K, broadcast_bytes=0, block_rows=256)
 
 
 P.add(
@@ -96,19 +99,71 @@ P.add("uq", f"SELECT query_id, segment_idx, {unit('vector')} AS vector FROM mask
 P.add("q_cell", _near.format(key="query_id, segment_idx", table="uq", n=PROBES))
 
 
-@register(
-    "ivf_search",
+_IVF = (
     f"SELECT query_id, segment_idx, cand_id, rank, {r6('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, segment_idx ORDER BY s DESC, cand_id) AS rank FROM ("
     "SELECT q.query_id, q.segment_idx, c.cand_id, (round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824) AS s FROM uq q JOIN q_cell USING (query_id, segment_idx) "
-    f"JOIN cat_cell x USING (cell_id) JOIN cat c ON c.cand_id = x.cand_id)) WHERE rank <= {K}",
+    f"JOIN cat_cell x USING (cell_id) JOIN cat c ON c.cand_id = x.cand_id)) WHERE rank <= {K}"
 )
+
+
+@register("ivf_search", _IVF)
 def ivf_search(spark, sf):
     return V.ivf_search(_single(spark, sf), X.corpus(spark, sf), K, PROBES, X.label_centroids(spark, sf))
 
 
-@register("ivf_search_trained")
+_COSINE = (
+    f"SELECT query_id, segment_idx, cand_id, rank, {r6('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, segment_idx ORDER BY s DESC, cand_id) AS rank "
+    "FROM (SELECT q.query_id, q.segment_idx, c.cand_id, (round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824) AS s FROM uq q, cat c)) "
+    f"WHERE rank <= {K}"
+)
+
+
+@register("ivf_search_trained", _COSINE)
 def ivf_search_trained(spark, sf):
-    return V.ivf_search(_single(spark, sf), X.corpus(spark, sf), K, PROBES, nlist=16)
+    """Trained cells, all of them probed: the exact result, whatever the training came to."""
+    return V.ivf_search(_single(spark, sf), X.corpus(spark, sf), K, 16, nlist=16)
+
+
+@register("ivf_search_stored", _IVF)
+def ivf_search_stored(spark, sf):
+    """Build, write, read and search an index; the stored centroids choose the probes."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    V.write_index(V.build_index(_named(spark, sf), {**INDEX_CONFIG, "index_type": "ivf"}, X.label_centroids(spark, sf)), path)
+    stored = V.read_index(spark, path)
+    return V.ivf_search(_single(spark, sf), stored.table, K, PROBES, stored.centroids)
+
+
+# Queries whose rows share their keys: each row keeps its own best.
+P.add("sk", "SELECT *, segment_idx % 2 AS part FROM uq")
+_REPEATED = (
+    f"SELECT query_id, part, cand_id, rank, {r6('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, segment_idx ORDER BY s DESC, cand_id) AS rank FROM ("
+    "SELECT q.query_id, q.segment_idx, q.part, c.cand_id, (round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824) AS s FROM sk q, cat c)) "
+    "WHERE rank <= 3"
+)
+
+
+def _repeated(spark, sf, **options):
+    rows = _single(spark, sf).select("query_id", (F.col("segment_idx") % 2).alias("part"), "vector")
+    return V.knn_cosine(rows, X.corpus(spark, sf), 3, **options)
+
+
+@register("knn_cosine_repeated_keys", _REPEATED)
+def knn_cosine_repeated_keys(spark, sf):
+    """Small query set, sent to every task."""
+    return _repeated(spark, sf)
+
+
+@register("knn_cosine_repeated_keys_corpus", _REPEATED)
+def knn_cosine_repeated_keys_corpus(spark, sf):
+    """More queries than may be sent, so the corpus is."""
+    n = X.corpus(spark, sf).count()
+    return _repeated(spark, sf, broadcast_bytes=n * 64 * 8)
+
+
+@register("knn_cosine_repeated_keys_blocked", _REPEATED)
+def knn_cosine_repeated_keys_blocked(spark, sf):
+    """Neither side may be sent."""
+    return _repeated(spark, sf, broadcast_bytes=0, block_rows=512)
 
 
 def _slots(vector: str) -> str:
@@ -139,7 +194,7 @@ def ann_search(spark, sf):
     f"{r6('vector[1]')} AS x1, {r6('vector[64]')} AS x64, cell_id FROM cat JOIN cat_cell USING (cand_id)",
 )
 def build_index(spark, sf):
-    table, _ = V.build_index(_named(spark, sf), {**INDEX_CONFIG, "index_type": "ivf"}, X.label_centroids(spark, sf))
+    table, *_ = V.build_index(_named(spark, sf), {**INDEX_CONFIG, "index_type": "ivf"}, X.label_centroids(spark, sf))
     v = F.col("vector")
     return table.select(
         "cand_id", "track_id", F.size(v).alias("dimension"), V.dot(v, v).alias("squared_norm"), v[0].alias("x1"), v[63].alias("x64"), "cell_id"
@@ -152,21 +207,27 @@ def build_index(spark, sf):
     """'{"index_type": "flat", "metric": "cosine", "normalize": true}' AS config FROM embeddings""",
 )
 def build_index_meta(spark, sf):
-    return V.build_index(_named(spark, sf), INDEX_CONFIG)[1]
+    return V.build_index(_named(spark, sf), INDEX_CONFIG).meta
 
 
 P.add("half", "SELECT DISTINCT 'track' || (vec_id // 5) AS track_id FROM embeddings WHERE label = 0")
 
 
 def _known(spark, sf):
-    """An index that holds the tracks with a segment of label 0."""
+    """An index in cells that holds the tracks with a segment of label 0."""
     some = X.table(spark, sf, "embeddings").where("label = 0").select(F.concat(F.lit("track"), F.expr("vec_id div 5")).alias("track_id")).distinct()
-    return X.segments(spark, sf).join(some, "track_id", "left_semi").select(segment_id(F.col("track_id"), F.col("segment_idx")).alias("cand_id"), "vector")
+    rows = X.segments(spark, sf).join(some, "track_id", "left_semi").select(segment_id(F.col("track_id"), F.col("segment_idx")).alias("cand_id"), "vector")
+    return V.build_index(rows, {**INDEX_CONFIG, "index_type": "ivf"}, X.label_centroids(spark, sf))
 
 
-@register("update_index", "SELECT cand_id, split_part(cand_id, '_seg_', 1) AS track_id FROM cat WHERE split_part(cand_id, '_seg_', 1) NOT IN (SELECT track_id FROM half)")
+@register(
+    "update_index",
+    f"SELECT cand_id, split_part(cand_id, '_seg_', 1) AS track_id, cell_id, {r6('list_dot_product(vector, vector)')} AS squared_norm "
+    "FROM cat JOIN cat_cell USING (cand_id) WHERE split_part(cand_id, '_seg_', 1) NOT IN (SELECT track_id FROM half)",
+)
 def update_index(spark, sf):
-    return V.update_index(_known(spark, sf), _named(spark, sf))[0].select("cand_id", "track_id")
+    fresh = V.update_index(_known(spark, sf), _named(spark, sf))[0]
+    return fresh.select("cand_id", "track_id", "cell_id", V.dot(F.col("vector"), F.col("vector")).alias("squared_norm"))
 
 
 @register(

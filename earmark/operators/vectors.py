@@ -3,7 +3,9 @@
 Scores are computed as matrix products over Arrow batches inside tasks. Spark decides where the
 rows go: a query set that is small enough, which is checked, is broadcast and the corpus is read
 once without a shuffle; beyond that both sides are split into blocks that meet by an equi-join key.
-A task never returns more than `k` hits for a query vector, so pairs are never materialised.
+The result is the same either way: each query row gets its own best `k`, also where several rows
+carry equal keys. A task never returns more than `k` hits for a query row, so pairs are never
+materialised. Vectors must be of one length and without nulls; anything else raises an error.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import hashlib
 import json
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from earmark.functions.columns import track_of_segment, value_bin
 from earmark.operators.distribution import exact_quantiles
 from earmark.session import cut_lineage
 
-# Most query rows (or centroids) that may be sent to every task. Larger sides are split into blocks.
-BROADCAST_ROWS = 20_000
+# Most bytes of vectors that may be sent to every task. Larger sides are split into blocks.
+BROADCAST_BYTES = 32 << 20
+# Most hits that a task may hold for the queries it was sent.
+TASK_HITS = 4_000_000
 # Vectors on each side of one block product.
 BLOCK_ROWS = 8_192
 # Query rows multiplied at a time, which bounds the score matrix in a task.
@@ -38,6 +43,9 @@ SCORE_GRID = float(2**30)
 # Send the block product to workers with the task, so they need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Column with the number of a query row.
+ROW = "_query_row"
+
 METRICS = ("cosine", "ip", "l2")
 INDEX_TYPES = ("flat", "ivf", "lsh")
 
@@ -71,10 +79,19 @@ def l2_normalize(vectors: DataFrame, mode: str = "l2", column: str = "vector") -
 # ---------------------------------------------------------------- block products
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> np.ndarray:
+    """Vectors as rows of a matrix. All must have the first one's length, or `dim` where it is given."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(array.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    return flat.reshape(len(array), -1) if len(array) else np.zeros((0, 0))
+    if not len(array):
+        return np.zeros((0, dim or 0))
+    flat = array.flatten()
+    if array.null_count or flat.null_count:
+        raise ValueError("a vector, or an element of one, is null")
+    lengths = pc.list_value_length(array).to_numpy()
+    dim = int(lengths[0]) if dim is None else dim
+    if (lengths != dim).any():
+        raise ValueError(f"vectors of {sorted(set(lengths.tolist()))[:3]} elements where {dim} are expected")
+    return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(array), dim)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -152,7 +169,7 @@ def _broadcast_topk(
         key_rows, q = shared.value
         best = _Best(q, k, metric)
         for batch in batches:
-            best.offer(batch.column("cand_id"), _matrix(batch.column("vector")))
+            best.offer(batch.column("cand_id"), _matrix(batch.column("vector"), q.shape[1] if len(q) else None))
         if best.found is not None:
             yield from best.table(key_rows, "cand_id").select(names).to_batches()
 
@@ -170,7 +187,7 @@ def _broadcast_corpus(
         ids, c = shared.value
         for batch in batches:
             if batch.num_rows and len(c):
-                best = _Best(_matrix(batch.column("vector")), k, metric)
+                best = _Best(_matrix(batch.column("vector"), c.shape[1]), k, metric)
                 best.offer(ids, c)
                 hits = best.table(pa.Table.from_batches([batch.select(list(keys))]), "cand_id").select(names)
                 yield from hits.append_column("rank", pa.array(best.places() + 1, pa.int32())).to_batches()
@@ -190,7 +207,7 @@ def _flat_blocks(queries: DataFrame, keys: Sequence[str], corpus: DataFrame, blo
     """Both sides in blocks that all meet each other."""
     q_blocks = F.lit(-(-max(1, queries.count()) // block_rows))
     c_blocks = F.lit(-(-max(1, corpus.count()) // block_rows))
-    q = _into_blocks(queries.withColumn("_bucket", F.lit(0)), keys, "_q", "_c", q_blocks, c_blocks)
+    q = _into_blocks(queries.withColumn("_bucket", F.lit(0)), [ROW], "_q", "_c", q_blocks, c_blocks)
     c = _into_blocks(corpus.select("cand_id", "vector", F.lit(0).alias("_bucket")), ["cand_id"], "_c", "_q", c_blocks, q_blocks)
     return q, c
 
@@ -201,7 +218,7 @@ def _bucket_blocks(queries: DataFrame, keys: Sequence[str], corpus: DataFrame, b
         return df.groupBy("_bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(out))
 
     plan = splits(queries, "_nq").join(splits(corpus, "_nc"), "_bucket")
-    q = _into_blocks(queries.join(plan, "_bucket"), keys, "_q", "_c", F.col("_nq"), F.col("_nc"))
+    q = _into_blocks(queries.join(plan, "_bucket"), [ROW], "_q", "_c", F.col("_nq"), F.col("_nc"))
     placed = corpus.select("cand_id", "vector", "_bucket").join(plan, "_bucket")
     c = _into_blocks(placed, ["cand_id"], "_c", "_q", F.col("_nc"), F.col("_nq"))
     return q.drop("_nq", "_nc"), c.drop("_nq", "_nc")
@@ -214,7 +231,7 @@ def _blocked_topk(q: DataFrame, keys: Sequence[str], c: DataFrame, schema: T.Str
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         best = _Best(_matrix(left["vector"]), k, metric)
         if left.num_rows and right.num_rows:
-            best.offer(right["cand_id"].combine_chunks(), _matrix(right["vector"]))
+            best.offer(right["cand_id"].combine_chunks(), _matrix(right["vector"], best.q.shape[1]))
             return best.table(left.select(list(keys)), "cand_id").select(names)
         empty = {name: left[name].slice(0, 0) for name in keys}
         return pa.table({**empty, "cand_id": right["cand_id"].slice(0, 0), "score": pa.array([], pa.float64())})
@@ -223,12 +240,10 @@ def _blocked_topk(q: DataFrame, keys: Sequence[str], c: DataFrame, schema: T.Str
     return q.groupBy(*group).cogroup(c.groupBy(*group)).applyInArrow(search, schema)
 
 
-def _finish(found: DataFrame, keys: Sequence[str], k: int, metric: str) -> DataFrame:
-    """Best `k` over all tasks. Rows of a query vector stay together for what follows."""
-    floating = {f.name for f in found.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    identity = [key for key in keys if key not in floating] or list(keys)
-    order = W.partitionBy(*identity).orderBy(F.col("score").desc(), "cand_id")
-    return _similarity(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), metric)
+def _finish(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """Best `k` of each query row over all tasks, as numbered by `_number`."""
+    order = W.partitionBy(ROW).orderBy(F.col("score").desc(), "cand_id")
+    return _similarity(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(ROW), metric)
 
 
 def _similarity(ranked: DataFrame, metric: str) -> DataFrame:
@@ -245,8 +260,19 @@ def _bounded(df: DataFrame, rows: int) -> pa.Table | None:
     return head if head is not None and head.num_rows <= rows else None
 
 
+def _rows_within(df: DataFrame, limit: int) -> int:
+    """Vectors of this length that fit in `limit` bytes; the first one tells the length."""
+    first = df.select(F.size("vector").alias("n")).first()
+    return limit // (8 * max(1, first.n)) if first else 1
+
+
+def _number(queries: DataFrame) -> DataFrame:
+    """Give each query row a number of its own. Numbers depend on partitions, so they are written once."""
+    return cut_lineage(queries.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def _query_keys(queries: DataFrame) -> list[str]:
-    return [c for c in queries.columns if c not in ("vector", "_bucket")]
+    return [c for c in queries.columns if c not in ("vector", "_bucket", ROW)]
 
 
 # ---------------------------------------------------------------- V2, V3
@@ -257,29 +283,35 @@ def knn(
     corpus: DataFrame,
     k: int,
     metric: str = "cosine",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact top `k` of `corpus(cand_id, vector)` for each query row.
 
-    Every column of `queries` other than `vector` is returned, and those that are no floating-point
-    numbers identify the query row. A side of at most `broadcast_rows` rows goes to every task.
-    When both are larger they are cut into blocks; use `ivf_search` when the product of both sizes
-    is out of reach.
+    Every column of `queries` other than `vector` is returned. Rows with equal keys, or equal
+    altogether, are queries of their own with `k` hits each; equal scores go to the smaller id. A side
+    whose vectors take at most `broadcast_bytes` goes to every task. When both are larger they are
+    cut into blocks; use `ivf_search` when the product of both sizes is out of reach. Which way is
+    taken doesn't show in the result.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     keys = _query_keys(queries)
-    schema = _hit_schema(queries, keys, corpus)
     spark = queries.sparkSession
-    if (few := _bounded(queries.select(*keys, "vector"), broadcast_rows)) is not None:
-        found = _broadcast_topk(spark, few, keys, corpus, schema, k, metric)
-    elif (few := _bounded(corpus.select("cand_id", "vector"), broadcast_rows)) is not None:
-        return _similarity(_broadcast_corpus(spark, queries, keys, few, schema, k, metric), metric)
-    else:
-        q, c = _flat_blocks(queries, keys, corpus, block_rows)
-        found = _blocked_topk(q, keys, c, schema, k, metric)
-    return _finish(found, keys, k, metric)
+    taken, stored = queries.select(*keys, "vector"), corpus.select("cand_id", "vector")
+    few = _bounded(taken, min(_rows_within(taken, broadcast_bytes), TASK_HITS // k))
+    if few is not None:
+        few = few.append_column(ROW, pa.array(range(few.num_rows), pa.int64()))
+        schema = _hit_schema(taken.withColumn(ROW, F.lit(0).cast("bigint")), [*keys, ROW], corpus)
+        return _finish(_broadcast_topk(spark, few, [*keys, ROW], corpus, schema, k, metric), k, metric)
+    few = _bounded(stored, _rows_within(stored, broadcast_bytes))
+    if few is not None:
+        schema = _hit_schema(taken, keys, corpus)
+        return _similarity(_broadcast_corpus(spark, taken, keys, few, schema, k, metric), metric)
+    numbered = _number(taken)
+    schema = _hit_schema(numbered, [*keys, ROW], corpus)
+    q, c = _flat_blocks(numbered, [*keys, ROW], corpus, block_rows)
+    return _finish(_blocked_topk(q, [*keys, ROW], c, schema, k, metric), k, metric)
 
 
 def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int, **options) -> DataFrame:
@@ -298,22 +330,32 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int, **options) -> DataFram
 # ---------------------------------------------------------------- V4
 
 
-def train_cells(corpus: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int = 20) -> DataFrame:
-    """K-means centroids of unit vectors: `(cell_id, vector)`."""
+def cell_count(rows: int) -> int:
+    """Cells for a corpus: their number and their size both grow with the root of the corpus."""
+    return max(1, round(rows**0.5))
+
+
+def train_cells(corpus: DataFrame, nlist: int | None = None, seed: int = 7, max_iter: int = 20) -> DataFrame:
+    """K-means centroids of unit vectors: `(cell_id, vector)`. Without `nlist` the corpus size decides."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    nlist = cell_count(corpus.count()) if nlist is None else nlist
     features = l2_normalize(corpus.select("vector")).select(array_to_vector("vector").alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(features)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return corpus.sparkSession.createDataFrame(rows, "cell_id int, vector array<double>")
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame, n: int = 1, max_cells: int = BROADCAST_ROWS) -> DataFrame:
-    """Add the `n` nearest cells to each vector as `cell_id`, one row for each cell."""
-    cells = centroids.select("cell_id", "vector").limit(max_cells + 1).toArrow()
-    if cells.num_rows > max_cells:
-        raise ValueError(f"more than {max_cells} cells cannot be sent to every task")
+def assign_cells(vectors: DataFrame, centroids: DataFrame, n: int = 1, broadcast_bytes: int = 8 * BROADCAST_BYTES) -> DataFrame:
+    """Add the `n` nearest cells to each vector as `cell_id`, one row for each cell.
+
+    Every task holds the centroids, whose size is checked, and compares its vectors with them in blocks.
+    """
+    most = _rows_within(centroids, broadcast_bytes)
+    cells = _bounded(centroids.select("cell_id", "vector"), most)
+    if cells is None:
+        raise ValueError(f"more than {most} cells cannot be sent to every task; use fewer cells")
     cells = cells.sort_by("cell_id")
     ids, centres = cells["cell_id"].combine_chunks(), _matrix(cells["vector"])
     n = min(n, cells.num_rows)
@@ -323,13 +365,13 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, n: int = 1, max_cells
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_ids, c = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = _scores(_unit(_matrix(batch.column("vector"))), c, "l2")
-            picks = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            rows = np.repeat(np.arange(batch.num_rows), n)
-            out = pa.Table.from_batches([batch]).take(pa.array(rows))
-            yield from out.append_column("cell_id", cell_ids.take(pa.array(picks.ravel()))).to_batches()
+            for at in range(0, batch.num_rows, QUERY_CHUNK):
+                part = batch.slice(at, QUERY_CHUNK)
+                s = _scores(_unit(_matrix(part.column("vector"), c.shape[1])), c, "l2")
+                picks = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                rows = np.repeat(np.arange(part.num_rows), n)
+                out = pa.Table.from_batches([part]).take(pa.array(rows))
+                yield from out.append_column("cell_id", cell_ids.take(pa.array(picks.ravel()))).to_batches()
 
     return vectors.mapInArrow(nearest, schema)
 
@@ -340,23 +382,27 @@ def ivf_search(
     k: int,
     nprobe: int,
     centroids: DataFrame | None = None,
-    nlist: int = 100,
+    nlist: int | None = None,
     metric: str = "cosine",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Top `k` among the vectors of the `nprobe` cells nearest to each query; exact inside them.
 
-    A `corpus` that has a `cell_id` column already, as `build_index` writes it, is used as it is.
+    A `corpus` with a `cell_id` column, as `build_index` makes it, needs the centroids that its cells
+    are from. Without centroids the cells are trained here. Rows with equal keys are queries of their
+    own, as in `knn`.
     """
-    keys = _query_keys(queries)
-    schema = _hit_schema(queries, keys, corpus)
+    if "cell_id" in corpus.columns and centroids is None:
+        raise ValueError("a corpus with cells needs the centroids of these cells")
+    keys = [*_query_keys(queries), ROW]
     centroids = train_cells(corpus, nlist) if centroids is None else centroids
     # Both sides are counted by cell and then sent to their cells, so the assignment is written once.
     cells = corpus if "cell_id" in corpus.columns else cut_lineage(assign_cells(corpus.select("cand_id", "vector"), centroids))
-    probes = cut_lineage(assign_cells(queries, centroids, nprobe)).withColumnRenamed("cell_id", "_bucket")
+    numbered = queries.withColumn(ROW, F.monotonically_increasing_id())
+    probes = cut_lineage(assign_cells(numbered, centroids, nprobe)).withColumnRenamed("cell_id", "_bucket")
+    schema = _hit_schema(probes, keys, corpus)
     q, c = _bucket_blocks(probes, keys, cells.withColumnRenamed("cell_id", "_bucket"), block_rows)
-    found = _blocked_topk(q, keys, c, schema, k, metric)
-    return _finish(found, keys, k, metric)
+    return _finish(_blocked_topk(q, keys, c, schema, k, metric), k, metric)
 
 
 # ---------------------------------------------------------------- V5
@@ -378,8 +424,9 @@ def ann_search(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate top `k`: candidates share a random-projection bucket with the query in at least one table."""
-    keys = _query_keys(queries)
-    schema = _hit_schema(queries, keys, corpus)
+    numbered = _number(queries)
+    keys = [*_query_keys(queries), ROW]
+    schema = _hit_schema(numbered, keys, corpus)
 
     def hashed(df: DataFrame) -> DataFrame:
         unit = l2_normalize(df)
@@ -394,18 +441,25 @@ def ann_search(
         )
         return unit.withColumn("_bucket", F.explode(buckets))
 
-    q, c = _bucket_blocks(hashed(queries), keys, hashed(corpus.select("cand_id", "vector")), block_rows)
+    q, c = _bucket_blocks(hashed(numbered), keys, hashed(corpus.select("cand_id", "vector")), block_rows)
     found = _blocked_topk(q, keys, c, schema, k, metric)
-    return _finish(found.groupBy(*keys, "cand_id").agg(F.max("score").alias("score")), keys, k, metric)
+    # A pair that met in several tables counts once.
+    return _finish(found.groupBy(*keys, "cand_id").agg(F.max("score").alias("score")), k, metric)
 
 
 # ---------------------------------------------------------------- V6, V7
 
 
-def build_index(
-    vectors: DataFrame, config: Mapping[str, object], centroids: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Index table and a one-row description from `vectors(cand_id, vector)`."""
+class Index(NamedTuple):
+    """Vectors, a one-row description, and the centroids of the cells where there are any."""
+
+    table: DataFrame
+    meta: DataFrame
+    centroids: DataFrame | None = None
+
+
+def build_index(vectors: DataFrame, config: Mapping[str, object], centroids: DataFrame | None = None) -> Index:
+    """Index of `vectors(cand_id, vector)`. Cells are trained unless their centroids are given."""
     kind = str(config.get("index_type", "flat"))
     metric = str(config.get("metric", "cosine"))
     if kind not in INDEX_TYPES:
@@ -415,7 +469,8 @@ def build_index(
     table = l2_normalize(vectors, "l2" if config.get("normalize", True) else "none")
     table = table.withColumn("track_id", track_of_segment(F.col("cand_id")))
     if kind == "ivf":
-        centroids = train_cells(table, int(config.get("nlist", 100))) if centroids is None else centroids
+        nlist = config.get("nlist")
+        centroids = train_cells(table, int(nlist) if nlist else None) if centroids is None else centroids
         table = assign_cells(table, centroids)
     meta = table.agg(
         F.count(F.lit(1)).alias("num_vectors"),
@@ -427,26 +482,37 @@ def build_index(
         F.lit(metric).alias("metric"),
         F.lit(json.dumps(dict(config), sort_keys=True)).alias("config"),
     )
-    return table, meta
+    return Index(table, meta, centroids if kind == "ivf" else None)
 
 
-def write_index(table: DataFrame, meta: DataFrame, path: str, mode: str = "error") -> None:
-    """Vectors as Parquet, one folder for each cell when the table has cells, beside the description."""
-    writer = table.write.mode(mode)
-    if "cell_id" in table.columns:
-        writer = writer.partitionBy("cell_id")
-    writer.parquet(f"{path}/vectors")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+def write_index(index: Index, path: str, mode: str = "error") -> None:
+    """Vectors as Parquet, one folder for each cell when there are cells, beside description and centroids.
 
+    Rows of a cell are brought together first and large cells are split, so a cell has few files.
+    """
+    if index.centroids is not None:
+        index.table.hint("rebalance", "cell_id").write.mode(mode).partitionBy("cell_id").parquet(f"{path}/vectors")
+        index.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    else:
+        index.table.write.mode(mode).parquet(f"{path}/vectors")
+    index.meta.write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    meta = spark.read.parquet(f"{path}/meta")
+    cells = meta.where("index_type = 'ivf'").isEmpty()
+    return Index(spark.read.parquet(f"{path}/vectors"), meta, None if cells else spark.read.parquet(f"{path}/centroids"))
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/meta")
 
+def update_index(index: Index, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `new` whose track is not in the index, ready to append, and counts of tracks and rows.
 
-def update_index(index: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of `new` whose track is not in `index`, and counts of added and skipped rows and tracks."""
+    New rows are normalised and get the cell of the index's centroids, as `build_index` does. Tracks
+    are known by their id: changed segments of a known track are not taken in.
+    """
+    config = json.loads(index.meta.select("config").first().config)
     incoming = new.withColumn("track_id", track_of_segment(F.col("cand_id")))
-    known = index.select(track_of_segment(F.col("cand_id")).alias("track_id")).distinct().withColumn("_known", F.lit(True))
+    known = index.table.select(track_of_segment(F.col("cand_id")).alias("track_id")).distinct().withColumn("_known", F.lit(True))
     marked = incoming.groupBy("track_id").agg(F.count(F.lit(1)).alias("vectors")).join(known, "track_id", "left")
     is_new = F.col("_known").isNull()
     counts = marked.agg(
@@ -455,7 +521,25 @@ def update_index(index: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
         F.coalesce(F.sum(F.when(is_new, F.col("vectors"))), F.lit(0)).alias("added_vectors"),
         F.coalesce(F.sum(F.when(~is_new, F.col("vectors"))), F.lit(0)).alias("skipped_vectors"),
     )
-    return incoming.join(known, "track_id", "left_anti"), counts
+    fresh = incoming.join(known, "track_id", "left_anti").select("cand_id", "vector", "track_id")
+    fresh = l2_normalize(fresh, "l2" if config.get("normalize", True) else "none")
+    if index.centroids is not None:
+        fresh = assign_cells(fresh, index.centroids)
+    return fresh, counts
+
+
+def append_to_index(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Take the new tracks into a stored index and return the counts. Doing so again adds nothing."""
+    index = read_index(spark, path)
+    fresh, counts = update_index(index, new)
+    # Counts look at the index as it was, so they are settled before the rows are added.
+    counts = cut_lineage(counts)
+    fresh = cut_lineage(fresh)
+    writer = fresh.hint("rebalance", "cell_id").write.partitionBy("cell_id") if index.centroids is not None else fresh.write
+    writer.mode("append").parquet(f"{path}/vectors")
+    meta = cut_lineage(index.meta.withColumn("num_vectors", F.col("num_vectors") + F.lit(counts.first().added_vectors)))
+    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    return counts
 
 
 # ---------------------------------------------------------------- V9
@@ -583,14 +667,28 @@ def pair_similarity_matrix(
 # ---------------------------------------------------------------- V11
 
 
+def search_depth(segments: int, corpus_rows: int) -> int:
+    """Depth of a restricted search: 20 hits a segment, at most 20,000 and never more than the corpus."""
+    return max(1, min(20 * segments, 20_000, corpus_rows))
+
+
 def restricted_search(
-    queries: DataFrame, corpus: DataFrame, allow: DataFrame, k: int, **options
+    queries: DataFrame, corpus: DataFrame, allow: DataFrame, k: int | None = None, **options
 ) -> DataFrame:
-    """Top `k` among the segments of the allowed tracks, then the best hit of each query and track."""
+    """Top `k` among the segments of the allowed tracks, then the best hit of each query and track.
+
+    Without `k` each query is searched to the depth of `search_depth` for its number of segments.
+    """
     inside = corpus.withColumn("track_id", track_of_segment(F.col("cand_id"))).join(
         allow.select("track_id").distinct(), "track_id", "left_semi"
-    )
-    hits = knn(queries, inside.select("cand_id", "vector"), k, **options)
+    ).select("cand_id", "vector")
+    if k is None:
+        rows = inside.count()
+        depth = queries.groupBy("query_id").agg(F.least(20 * F.count(F.lit(1)), F.lit(20_000), F.lit(max(1, rows))).alias("_depth"))
+        deepest = depth.agg(F.max("_depth")).first()[0] or 1
+        hits = knn(queries, inside, int(deepest), **options).join(depth, "query_id").where(F.col("rank") <= F.col("_depth")).drop("_depth")
+    else:
+        hits = knn(queries, inside, k, **options)
     return (
         hits.withColumn("track_id", track_of_segment(F.col("cand_id")))
         .groupBy("query_id", "track_id")
@@ -602,11 +700,6 @@ def restricted_search(
     )
 
 
-def search_depth(segments: int, corpus_rows: int) -> int:
-    """Depth of a restricted search: 20 hits a segment, at most 20,000 and never more than the corpus."""
-    return max(1, min(20 * segments, 20_000, corpus_rows))
-
-
 # ---------------------------------------------------------------- V12
 
 

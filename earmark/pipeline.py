@@ -23,7 +23,7 @@ class MatchConfig:
     k: int = 20
     search: str = "exact"
     nprobe: int = 8
-    nlist: int = 100
+    nlist: int | None = None
     fusion: str = "votes"
     grain: str = "track"
     rrf_threshold: float = 0.2

@@ -43,7 +43,7 @@ def grouped(hits):
 
 
 @pytest.mark.parametrize("metric", V.METRICS)
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 3, "block_rows": 7}, {"broadcast_rows": 14}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 7}, {"broadcast_bytes": 200}])
 def test_knn_is_exact(data, metric, options):
     assert grouped(V.knn(*data, 6, metric, **options)) == brute(*data, 6, metric)
 
@@ -54,7 +54,7 @@ def test_knn_of_many_queries_in_a_small_corpus(data, metric):
     few = corpus.where("cand_id < 'track2'").cache()
     assert few.count() < 60 < corpus.count()
     turned = corpus.select(corpus.cand_id.alias("query_id"), "vector")
-    assert grouped(V.knn(turned, few, 6, metric, broadcast_rows=60)) == brute(turned, few, 6, metric)
+    assert grouped(V.knn(turned, few, 6, metric, broadcast_bytes=60 * 8 * len(corpus.first().vector))) == brute(turned, few, 6, metric)
 
 
 def test_knn_with_more_hits_than_corpus(data):
@@ -98,14 +98,14 @@ def test_normalisation(spark):
 
 def test_index_round_trip_and_update(spark, data, tmp_path):
     _, corpus = data
-    table, meta = V.build_index(corpus.where("cand_id < 'track2'"), {"index_type": "flat"})
-    V.write_index(table, meta, str(tmp_path / "index"))
-    stored, described = V.read_index(spark, str(tmp_path / "index"))
-    assert described.first().num_vectors == stored.count()
+    path = str(tmp_path / "index")
+    V.write_index(V.build_index(corpus.where("cand_id < 'track2'"), {"index_type": "flat"}), path)
+    stored = V.read_index(spark, path)
+    assert stored.meta.first().num_vectors == stored.table.count() and stored.centroids is None
     fresh, counts = V.update_index(stored, corpus)
     c = counts.first()
     assert c.added_vectors == fresh.count() and c.added_vectors + c.skipped_vectors == corpus.count()
-    assert fresh.join(stored, "track_id", "left_semi").count() == 0
+    assert fresh.join(stored.table, "track_id", "left_semi").count() == 0
     with pytest.raises(ValueError):
         V.build_index(corpus, {"index_type": "hnsw"})
 
@@ -139,3 +139,48 @@ def test_cache_misses_after_changed_content_or_model(spark):
 
 def test_search_depth():
     assert V.search_depth(3, 10**9) == 60 and V.search_depth(5000, 10**9) == 20000 and V.search_depth(3, 7) == 7
+
+
+def test_stored_cells_are_searched_with_their_centroids(spark, data, tmp_path):
+    _, corpus = data
+    path = str(tmp_path / "cells")
+    rows = corpus.count()
+    V.write_index(V.build_index(corpus.where("cand_id < 'track2'"), {"index_type": "ivf", "nlist": 6}), path)
+    first = V.append_to_index(spark, path, corpus).first()
+    again = V.append_to_index(spark, path, corpus).first()
+    assert first.added_vectors > 0 and again.added_vectors == 0
+    index = V.read_index(spark, path)
+    assert index.table.count() == index.meta.first().num_vectors == rows
+    assert sum(1 for _ in (tmp_path / "cells/vectors").rglob("*.parquet")) <= 3 * 6
+    # Every vector finds itself in the one nearest cell.
+    turned = corpus.select(corpus.cand_id.alias("query_id"), "vector")
+    own = V.ivf_search(turned, index.table, 1, 1, index.centroids)
+    assert own.where("similarity > 0.999999").count() == rows
+    with pytest.raises(ValueError):
+        V.ivf_search(turned, index.table, 1, 1)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 5}, {"broadcast_bytes": 300}])
+def test_rows_with_equal_keys_are_queries_of_their_own(spark, options):
+    corpus = spark.createDataFrame([(f"c{i}", [float(i == j) for j in range(4)]) for i in range(4)], "cand_id string, vector array<double>")
+    rows = [("a", [1.0, 0.5, 0.0, 0.0])] * 2 + [("a", [0.0, 0.0, 1.0, 0.5])] + [("b", [0.0, 0.0, 0.0, 1.0])] * 17
+    found = V.knn(spark.createDataFrame(rows, "query_id string, vector array<double>"), corpus, 2, **options)
+    got = sorted((r.query_id, r.cand_id, r["rank"]) for r in found.collect())
+    assert got == sorted([("a", "c0", 1), ("a", "c1", 2)] * 2 + [("a", "c2", 1), ("a", "c3", 2)] + [("b", "c3", 1), ("b", "c0", 2)] * 17)
+
+
+@pytest.mark.parametrize("bad", [[1.0, 0.0, 5.0], None, [1.0, None]])
+def test_ragged_and_null_vectors_raise(spark, bad):
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    corpus = spark.createDataFrame([("a", [0.0, 1.0]), ("b", bad)], "cand_id string, vector array<double>")
+    with pytest.raises(Exception, match="expected|null"):
+        V.knn(query, corpus, 1).collect()
+
+
+def test_depth_of_restricted_search(data):
+    queries, corpus = data
+    tracks = corpus.selectExpr("split_part(cand_id, '_seg_', 1) AS track_id").distinct()
+    deep = V.restricted_search(queries, corpus, tracks)
+    segments = {r.query_id: r["count"] for r in queries.groupBy("query_id").count().collect()}
+    assert all(r["rank"] <= V.search_depth(segments[r.query_id], corpus.count()) for r in deep.collect())
+    assert deep.count() >= V.restricted_search(queries, corpus, tracks, 5).count()
