@@ -72,7 +72,7 @@ def temporal_runs(spark, sf):
 
 _VOTE = (
     "query_id, cand_id, num_segments, match_count, rank_1_count, rank_5_count, "
-    + ", ".join(f"{r6(c)} AS {c}" for c in ("weighted_similarity", "geometric_similarity", "avg_similarity", "max_similarity", "avg_rank"))
+    + ", ".join(f"{r6(c)} AS {c}" for c in ("weighted_similarity", "geometric_similarity", "avg_similarity", "max_similarity", "avg_rank", "own_similarity"))
     + f", min_rank, {r6('match_ratio')} AS match_ratio"
 )
 _SCORE = _VOTE + ", " + ", ".join(f"{r6(c)} AS {c}" for c in ("temporal_score", "mean_similarity", "combined_score"))
@@ -130,14 +130,12 @@ def min_confidence_filter(spark, sf):
 
 @register(
     "similarity_gate",
-    f"SELECT c.query_id, c.cand_id, t.severity, {r6('c.mean_similarity')} AS mean_similarity FROM (SELECT *, least(1.0, mean_similarity * 2) AS gated FROM cands) c JOIN truth t USING (query_id) "
-    "WHERE gated >= CASE severity WHEN 'severe' THEN 0.85 WHEN 'moderate' THEN 0.90 ELSE 0.95 END",
+    f"SELECT c.query_id, c.cand_id, t.severity, {r6('c.own_similarity')} AS own_similarity FROM cands c LEFT JOIN truth t USING (query_id) "
+    "WHERE own_similarity >= CASE severity WHEN 'severe' THEN 0.85 WHEN 'moderate' THEN 0.90 ELSE 0.95 END",
 )
 def similarity_gate(spark, sf):
-    """Similarities are doubled first: the scale weights keep those of the fixture below the limits."""
-    found = X.candidates(spark, sf).withColumn("_plain", F.col("mean_similarity")).withColumn("mean_similarity", F.least(F.lit(1.0), F.col("mean_similarity") * 2))
     severities = X.truth(spark, sf).select("query_id", "severity")
-    return Q.similarity_gate(found, severities).select("query_id", "cand_id", "severity", F.col("_plain").alias("mean_similarity"))
+    return Q.similarity_gate(X.candidates(spark, sf), severities).select("query_id", "cand_id", "severity", "own_similarity")
 
 
 P.add("k_tempo", run_parts("best_tops", "k_tempo"))
@@ -255,11 +253,12 @@ def scale_decision(spark, sf):
     "confident_match",
     f"SELECT query_id, cand_id, {r6('r1')} AS rank_1_ratio, {r6('mx')} AS max_similarity, {r6('mean')} AS mean_similarity, {r6('least(1.0, mean * r1)')} AS confidence, "
     "((r1 >= 0.8 AND mx >= 0.9) OR mx >= 0.95 OR (mean >= 0.92 AND r1 >= 0.7)) AND least(1.0, mean * r1) >= 0.95 AS confident FROM ("
-    "SELECT query_id, top_id AS cand_id, count(*) / max(num_segments) AS r1, max(least(1.0, top_similarity * 1.7)) AS mx, avg(least(1.0, top_similarity * 1.7)) AS mean FROM tops JOIN nseg USING (query_id) GROUP BY ALL)",
+    "SELECT query_id, top_id AS cand_id, count(*) / max(n) AS r1, max(top_similarity) AS mx, avg(top_similarity) AS mean FROM "
+    "(SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tops WHERE scale = 1000) GROUP BY ALL)",
 )
 def confident_match(spark, sf):
-    """Similarities are stretched so that some of the masked copies reach the limits."""
-    return Q.confident_match(X.hits(spark, sf).withColumn("similarity", F.least(F.lit(1.0), F.col("similarity") * 1.7)))
+    """On the first scale, whose segments are those of the catalogue."""
+    return Q.confident_match(X.hits(spark, sf).where("scale = 1000"))
 
 
 P.add("seg_tops", "SELECT query_id, scale, segment_idx, cand_id AS top_id FROM seg_hits WHERE rank = 1")
@@ -275,9 +274,9 @@ def _segment_candidates(spark, sf):
 
 @register(
     "rollup_to_track",
-    f"SELECT query_id, cand_id, {r6('combined_score')} AS combined_score, {r6('mean_similarity')} AS mean_similarity, rank_1_count, match_count, "
+    f"SELECT query_id, cand_id, {r6('combined_score')} AS combined_score, {r6('mean_similarity')} AS mean_similarity, {r6('own_similarity')} AS own_similarity, rank_1_count, match_count, "
     "row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, mean_similarity DESC, cand_id) AS rank FROM ("
-    "SELECT query_id, split_part(cand_id, '_seg_', 1) AS cand_id, max(combined_score) AS combined_score, max(mean_similarity) AS mean_similarity, "
+    "SELECT query_id, split_part(cand_id, '_seg_', 1) AS cand_id, max(combined_score) AS combined_score, max(mean_similarity) AS mean_similarity, max(own_similarity) AS own_similarity, "
     "CAST(sum(rank_1_count) AS BIGINT) AS rank_1_count, CAST(sum(match_count) AS BIGINT) AS match_count FROM seg_scores GROUP BY ALL)",
 )
 def rollup_to_track(spark, sf):
@@ -318,7 +317,7 @@ def project_filter(spark, sf):
 
 @register(
     "top_match_summary",
-    f"SELECT t.query_id, t.track_id, t.transform_type, t.severity, c.cand_id AS top_match_id, {r6('coalesce(c.mean_similarity, 0.0)')} AS top_match_similarity, coalesce(c.rank, -1) AS top_match_rank, "
+    f"SELECT t.query_id, t.track_id, t.transform_type, t.severity, c.cand_id AS top_match_id, {r6('coalesce(c.own_similarity, 0.0)')} AS top_match_similarity, coalesce(c.rank, -1) AS top_match_rank, "
     "CAST(NULL AS VARCHAR) AS error FROM truth t LEFT JOIN (SELECT * FROM cands WHERE rank = 1 AND mean_similarity >= 0.4) c USING (query_id)",
 )
 def top_match_summary(spark, sf):
@@ -328,7 +327,7 @@ def top_match_summary(spark, sf):
 
 @register(
     "store_limit",
-    f"SELECT query_id, rank, cand_id, {r6('mean_similarity')} AS mean_similarity, {r6('combined_score')} AS combined_score FROM cands WHERE rank <= 300",
+    f"SELECT query_id, rank, cand_id, {r6('mean_similarity')} AS mean_similarity, {r6('combined_score')} AS combined_score FROM cands WHERE rank <= 20",
 )
 def store_limit(spark, sf):
-    return Q.store_limit(X.candidates(spark, sf), 100).select("query_id", F.inline("top_candidates"))
+    return Q.store_limit(X.candidates(spark, sf), 20).select("query_id", F.inline("top_candidates"))

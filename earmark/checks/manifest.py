@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from earmark import fixtures as X
+from earmark import pipeline
 from earmark.checks.matching_sql import P
 from earmark.checks.support import Query, r6, tidy
 from earmark.functions.columns import safe_name as safe_name_column
@@ -131,8 +132,9 @@ P.add(
 
 @register(
     "manifest_from_urls",
+    "SELECT CASE WHEN count(DISTINCT url) OVER (PARTITION BY id) > 1 THEN id || '_' || substr(md5(url), 1, 12) ELSE id END AS id, title, url, genre FROM ("
     "SELECT CASE WHEN c = '' OR c = '_' THEN 'track_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END ELSE c END AS id, url_decode(replace(replace(stem, '_', ' '), '%20', ' ')) AS title, url, 'hip hop' AS genre "
-    "FROM (SELECT *, substr(regexp_replace(stem, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 50) AS c FROM url_stems)",
+    "FROM (SELECT *, substr(regexp_replace(stem, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 50) AS c FROM url_stems))",
 )
 def manifest_from_urls(spark, sf):
     """Page addresses, some replaced by encoded names, bare hosts and names without letters."""
@@ -216,13 +218,14 @@ def project_metadata_resolve(spark, sf):
 @register(
     "result_sink",
     f"SELECT 'summary' AS part, query_id, top_match_id AS cand_id, top_match_rank AS rank, {r6('top_match_similarity')} AS similarity FROM summary UNION ALL "
-    f"SELECT 'stored', query_id, cand_id, rank, {r6('mean_similarity')} FROM cands WHERE rank <= 300",
+    f"SELECT 'stored', query_id, cand_id, rank, {r6('mean_similarity')} FROM cands WHERE rank <= 20",
 )
 def result_sink(spark, sf):
     """Summary and nested candidate lists are written for a run and read back."""
     folder = _new_folder(spark, "results")
-    stored = Q.store_limit(X.candidates(spark, sf), 100)
-    sinks.write_results(folder, "run_1", summary=X.summary(spark, sf), stored=stored)
+    stored = Q.store_limit(X.candidates(spark, sf), 20)
+    for _ in range(2):  # writing a run again replaces it
+        sinks.write_results(folder, "run_1", summary=X.summary(spark, sf), stored=stored)
     table = spark.read.schema("query_id string, top_match_id string, top_match_rank int, top_match_similarity double, run_id string").option("header", True).option("enforceSchema", False)
     names = [c for c in X.summary(spark, sf).columns]
     summary = table.schema(", ".join(f"{n} {'double' if 'similarity' in n or 'latency' in n else 'string'}" for n in names)).csv(f"{folder}/query_summary/run_id=run_1")
@@ -272,3 +275,17 @@ def sanitize_floats(spark, sf):
 @register("safe_name", "SELECT page_id, translate(url, '/\\:*?\"<>|', '_________') AS name FROM pages")
 def safe_name(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", safe_name_column(F.col("url")).alias("name"))
+
+
+@register(
+    "run_catalog_stored",
+    "SELECT run_id, true AS has_metrics, true AS has_summary, count(*) AS total_queries, phase, 'complete' AS state FROM judged, "
+    "(VALUES ('run_1', 'phase1'), ('run_2', 'phase2')) t(run_id, phase) GROUP BY ALL",
+)
+def run_catalog_stored(spark, sf):
+    """Two judged runs are stored, one of them twice, and the folder is read as a catalogue."""
+    folder = _new_folder(spark, "runs")
+    run = pipeline.judge(X.candidates(spark, sf), X.latency(spark, sf), X.truth(spark, sf))
+    for run_id, phase in (("run_1", "phase1"), ("run_2", "phase1"), ("run_2", "phase2")):
+        pipeline.store(run, folder, run_id, 20, phase)
+    return M.run_catalog(pipeline.read_runs(spark, folder)).drop("modified")

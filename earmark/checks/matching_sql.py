@@ -100,7 +100,7 @@ def vote_parts(source: str) -> str:
         "count(*) FILTER (WHERE rank = 1) AS rank_1_count, count(*) FILTER (WHERE rank <= 5) AS rank_5_count, "
         "CASE WHEN sum(w) > 0 THEN sum(s * w) / sum(w) ELSE avg(s) END AS weighted_similarity, "
         "CASE WHEN min(s) > 0 THEN exp(avg(CASE WHEN s > 0 THEN ln(s) END)) END AS geometric_similarity, "
-        "avg(s) AS avg_similarity, max(s) AS max_similarity, avg(rank) AS avg_rank, min(rank) AS min_rank, "
+        "max(similarity) AS own_similarity, avg(s) AS avg_similarity, max(s) AS max_similarity, avg(rank) AS avg_rank, min(rank) AS min_rank, "
         "count(*) / max(num_segments) AS match_ratio FROM ("
         "SELECT h.*, h.similarity * h.scale_weight AS s, h.similarity * h.scale_weight * h.similarity * h.scale_weight * h.scale_weight AS w, "
         f"n.num_segments FROM {source} h JOIN (SELECT query_id, count(*) AS num_segments FROM {source} WHERE rank = 1 GROUP BY query_id) n "
@@ -151,7 +151,7 @@ P.add(
 )
 P.add(
     "summary",
-    "SELECT t.query_id, t.track_id, t.transform_type, t.severity, l.latency_ms, c.cand_id AS top_match_id, coalesce(c.mean_similarity, 0.0) AS top_match_similarity, "
+    "SELECT t.query_id, t.track_id, t.transform_type, t.severity, l.latency_ms, c.cand_id AS top_match_id, coalesce(c.own_similarity, 0.0) AS top_match_similarity, "
     "coalesce(c.rank, -1) AS top_match_rank FROM truth t JOIN lat l USING (query_id) LEFT JOIN (SELECT * FROM cands WHERE rank = 1) c USING (query_id)",
 )
 P.add(

@@ -12,7 +12,7 @@ from earmark.operators.fusion import to_track_grain
 from earmark.session import cut_lineage
 
 # Dimensions that survive in each kind of masked copy, and how hard it makes the search.
-MASKS = {16: "mild", 10: "moderate", 6: "severe"}
+MASKS = {60: "mild", 10: "moderate", 6: "severe"}
 # Segment vectors are the first scale of a query, means of two neighbours the second.
 SCALE_WEIGHTS = {1000: 0.6, 2000: 0.4}
 HITS_PER_SEGMENT = 10

@@ -169,7 +169,11 @@ def temporal_runs(hits: DataFrame, block: int = SEGMENT_BLOCK) -> DataFrame:
 
 
 def aggregate_candidates(hits: DataFrame) -> DataFrame:
-    """Votes and similarity statistics of each candidate of each query."""
+    """Votes and similarity statistics of each candidate of each query.
+
+    Similarities are multiplied by the weight of their scale, which suits scores. `own_similarity` is
+    the best one as searched, without weights; limits on similarity are compared with it.
+    """
     s = F.col("similarity") * F.col("scale_weight")
     w = s * s * F.col("scale_weight")
     votes = hits.groupBy(*CANDIDATE).agg(
@@ -184,6 +188,7 @@ def aggregate_candidates(hits: DataFrame) -> DataFrame:
         F.avg(F.log(F.when(s > 0, s))).alias("_log"),
         F.avg("rank").alias("avg_rank"),
         F.min("rank").alias("min_rank"),
+        F.max("similarity").alias("own_similarity"),
     )
     weighted = F.when(F.col("_w") > 0, F.col("_sw") / F.col("_w")).otherwise(F.col("avg_similarity"))
     return votes.join(segment_counts(hits), "query_id").select(
@@ -198,6 +203,7 @@ def aggregate_candidates(hits: DataFrame) -> DataFrame:
         "max_similarity",
         "avg_rank",
         "min_rank",
+        "own_similarity",
         (F.col("match_count") / F.col("num_segments")).alias("match_ratio"),
     )
 
@@ -205,6 +211,7 @@ def aggregate_candidates(hits: DataFrame) -> DataFrame:
 def combined_score(votes: DataFrame, temporal: DataFrame, weights: ScoreWeights = ScoreWeights()) -> DataFrame:
     """Score and rank the candidates of each query."""
     share = weights.normalised()
+    # Mixture and exponents.
     enhanced = F.coalesce(
         0.7 * F.col("weighted_similarity") + 0.3 * F.col("geometric_similarity"), F.col("weighted_similarity")
     )
@@ -249,6 +256,7 @@ def second_stage_rerank(candidates: DataFrame, hits: DataFrame, top_n: int = 5)
     scale_consistency = F.when(~F.col("_many_scales"), 1.0).when(
         F.col("_avg") > 0, 1.0 - F.col("_std") / F.col("_avg")
     ).otherwise(0.0)
+    # Shares of the signals.
     rerank = (
         0.35 * F.col("_avg")
         + 0.25 * F.col("consistency_score")
@@ -271,6 +279,7 @@ def second_stage_rerank(candidates: DataFrame, hits: DataFrame, top_n: int = 5)
 
 def quality_score(candidates: DataFrame, min_quality: float = 0.0) -> DataFrame:
     """Quality of each candidate and whether it reaches `min_quality`."""
+    # Shares of the signals.
     quality = (
         0.30 * F.col("rank_1_count") / F.col("num_segments")
         + 0.25 * F.col("match_count") / F.col("num_segments")
@@ -291,6 +300,7 @@ def confidence(candidates: DataFrame) -> DataFrame:
     )
     gap = F.when(F.col("_top") > 0, (F.col("_top") - F.col("_second")) / F.col("_top")).otherwise(0.0)
     quality = F.coalesce(F.col("quality_score"), F.lit(0.0)) if "quality_score" in candidates.columns else F.lit(0.0)
+    # Shares of the signals.
     base = (
         0.25 * F.least(gap * 2, F.lit(1.0))
         + 0.25 * F.col("rank_1_count") / F.col("num_segments")
@@ -323,12 +333,17 @@ def min_confidence_filter(candidates: DataFrame, threshold: float) -> DataFrame:
     return candidates.join(best, "query_id").where(keep).drop("_best")
 
 
+def unweighted(candidates: DataFrame) -> Column:
+    """The similarity to compare with limits: without scale weights where candidates have it."""
+    return F.col("own_similarity" if "own_similarity" in candidates.columns else "mean_similarity")
+
+
 def similarity_gate(candidates: DataFrame, severities: DataFrame) -> DataFrame:
     """Keep candidates whose similarity suits the severity of the query; unknown counts as mild."""
     # Least similarity by severity.
     limit = F.when(F.col("severity") == "severe", 0.85).when(F.col("severity") == "moderate", 0.90).otherwise(0.95)
     return candidates.join(severities.select("query_id", "severity"), "query_id", "left").where(
-        F.col("mean_similarity") >= limit
+        unweighted(candidates) >= limit
     )
 
 
@@ -507,6 +522,7 @@ def rollup_to_track(candidates: DataFrame) -> DataFrame:
         .agg(
             F.max("combined_score").alias("combined_score"),
             F.max("mean_similarity").alias("mean_similarity"),
+            F.max(unweighted(candidates)).alias("own_similarity"),
             F.sum("rank_1_count").alias("rank_1_count"),
             F.sum("match_count").alias("match_count"),
         )
@@ -544,7 +560,7 @@ def top_match_summary(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     first = candidates.where(F.col("rank") == 1).select(
         "query_id",
         F.col("cand_id").alias("top_match_id"),
-        F.col("mean_similarity").alias("top_match_similarity"),
+        unweighted(candidates).alias("top_match_similarity"),
         F.col("rank").alias("top_match_rank"),
     )
     out = queries.join(first, "query_id", "left").withColumns(
@@ -556,8 +572,8 @@ def top_match_summary(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return out if "error" in queries.columns else out.withColumn("error", F.lit(None).cast("string"))
 
 
-def store_limit(candidates: DataFrame, k: int) -> DataFrame:
-    """The list stored for each query: its first `max(300, 2k)` candidates, best first."""
-    kept = candidates.where(F.col("rank") <= max(300, 2 * k))
+def store_limit(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """The list stored for each query, best first: all its candidates, or the first `limit`."""
+    kept = candidates if limit is None else candidates.where(F.col("rank") <= limit)
     entry = F.struct("rank", "cand_id", "mean_similarity", "combined_score")
     return kept.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("top_candidates"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earmark.functions import registry
@@ -74,27 +74,48 @@ class Run:
     checks: DataFrame
     status: DataFrame
     failures: DataFrame
+    captured: DataFrame
     extra: dict[str, DataFrame]
 
 
 def judge(candidates: DataFrame, queries: DataFrame, truth: DataFrame) -> Run:
-    """Evaluate candidates. `queries(query_id, latency_ms)` names every query that was asked."""
+    """Evaluate candidates. `queries(query_id, latency_ms)` names every query that was asked.
+
+    `failures` has all of them; `captured` the first few of each transform with their candidates.
+    """
     candidates = cut_lineage(candidates)
     named = queries.join(truth.select("query_id", "transform_type", "severity"), "query_id", "left")
     summary = cut_lineage(Q.top_match_summary(named, candidates))
     metrics = cut_lineage(E.metrics_by_group(candidates, summary, truth))
     checks = E.pass_fail(metrics)
-    failed = E.failure_details(E.capture_failures(E.failures(summary, truth)), candidates)
+    failed = E.failures(summary, truth)
+    captured = E.failure_details(E.capture_failures(failed), candidates)
     extra = {name: fn(candidates, summary, truth) for name, fn in registry.metrics().items()}
-    return Run(candidates, summary, metrics, checks, E.overall_status(checks), failed, extra)
+    return Run(candidates, summary, metrics, checks, E.overall_status(checks), failed, captured, extra)
 
 
-def store(run: Run, path: str, run_id: str, k: int = 20) -> None:
-    """Write the tables of a run under its id."""
+def store(run: Run, path: str, run_id: str, limit: int | None = None, phase: str = "unknown") -> None:
+    """Write the tables of a run under its id, with all candidates or the first `limit` of each query.
+
+    A run stored again replaces itself. Its `runs` record is what `read_runs` and `run_catalog` read.
+    """
     sinks.write_results(
-        path, run_id, summary=run.summary, stored=Q.store_limit(run.candidates, k), metrics=run.metrics, suite=E.suite_summary(run.metrics)
+        path, run_id, summary=run.summary, stored=Q.store_limit(run.candidates, limit), metrics=run.metrics, suite=E.suite_summary(run.metrics)
     )
     sinks.write_json(run.failures, f"{path}/failures", run_id)
+    sinks.write_json(run.captured, f"{path}/captured", run_id)
     sinks.write_csv(run.checks, f"{path}/checks", run_id)
     for name, table in run.extra.items():
         sinks.write_json(table, f"{path}/{name}", run_id)
+    total = F.count(F.lit(1)).alias("total_queries")
+    record = F.to_json(F.struct(F.struct(F.lit(phase).alias("phase"), F.col("total_queries")).alias("summary")))
+    sinks.write_json(
+        run.summary.agg(total).select(record.alias("metrics"), F.lit(True).alias("has_summary"), F.unix_timestamp().alias("modified")),
+        f"{path}/runs", run_id,
+    )
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs stored below `path`, as `sources.manifest.run_catalog` takes them."""
+    schema = "metrics string, has_summary boolean, modified bigint, run_id string"
+    return spark.read.schema(schema).json(f"{path}/runs").select("run_id", "metrics", "has_summary", "modified")

@@ -142,18 +142,24 @@ def decode_url(col: Column) -> Column:
 
 
 def manifest_from_urls(urls: DataFrame, order: Sequence[Column], genre: str = "hip hop") -> DataFrame:
-    """Manifest of `urls(url)`: ids and titles from the last part of each address."""
+    """Manifest of `urls(url)`: ids and titles from the last part of each address.
+
+    Different addresses that come to one id get a digest of the address behind it.
+    """
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     name = F.regexp_replace(decode_url(file_name(path)), r'[<>:"/\\|?*]', "_")
     stem = file_stem(name)
     clean = F.substring(F.regexp_replace(stem, "[^a-zA-Z0-9_-]", "_"), 1, 50)
     fallback = F.concat(F.lit("track_"), zero_pad(F.col("_n"), 3))
-    return number_all(urls, order, "_n", 1).select(
+    named = number_all(urls, order, "_n", 1).select(
         F.when((clean == "") | (clean == "_"), fallback).otherwise(clean).alias("id"),
         decode_url(F.replace(F.translate(stem, "_", " "), F.lit("%20"), F.lit(" "))).alias("title"),
         "url",
         F.lit(genre).alias("genre"),
     )
+    shared = named.groupBy("id").agg((F.count_distinct("url") > 1).alias("_shared"))
+    own = F.when(F.col("_shared"), F.concat_ws("_", "id", F.substring(F.md5("url"), 1, 12))).otherwise(F.col("id"))
+    return join_hot(named, shared, ["id"], F.col("url")).select(own.alias("id"), "title", "url", "genre")
 
 
 # ---------------------------------------------------------------- S7, S8

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from earmark.functions.columns import sanitize_floats
 
 
-def write_csv(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
-    """Flat table as CSV, one folder for each run."""
-    sanitize_floats(df).withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id").option("header", True).csv(path)
+def _of_run(df: DataFrame, run_id: str):
+    """A writer that replaces what the run wrote before and leaves other runs alone."""
+    named = sanitize_floats(df).withColumn("run_id", F.lit(run_id))
+    return named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
 
 
-def write_json(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
-    """One JSON record for each row, nested columns kept, one folder for each run."""
-    sanitize_floats(df).withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id").json(path)
+def write_csv(df: DataFrame, path: str, run_id: str) -> None:
+    """Flat table as CSV, one folder for each run; writing a run again replaces it."""
+    _of_run(df, run_id).option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str, run_id: str) -> None:
+    """One JSON record for each row, nested columns kept, one folder for each run; writing a run again replaces it."""
+    _of_run(df, run_id).json(path)
 
 
 def write_results(

@@ -64,3 +64,31 @@ def test_fusion_plan_reads_hits_from_files_once_per_stage(spark):
     plan = Q.fuse(X.hits(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "mapinarrow" not in plan.lower() and "cross" not in plan.lower()
     assert X.hits(spark, SF).where(F.col("rank") == 1).count() > 0
+
+
+def test_limits_have_rows_on_both_sides(spark):
+    """The registered queries decide something: each limit lets some rows pass and holds others."""
+    from earmark import checks
+
+    run = lambda name: checks.QUERIES[name](spark, SF)
+    candidates = X.candidates(spark, SF).count()
+    assert 0 < run("similarity_gate").count() < candidates
+    assert 0 < run("store_limit").count() < candidates
+    assert {r.confident for r in run("confident_match").collect()} == {True, False}
+    similar = [r.passed for r in run("pass_fail").where("metric = 'mean_similarity_correct'").collect()]
+    assert set(similar) == {True, False}
+
+
+def test_a_run_stored_again_replaces_itself(spark, tmp_path):
+    from earmark.pipeline import read_runs
+    from earmark.sources.manifest import run_catalog
+
+    run = judge(X.candidates(spark, SF), X.latency(spark, SF), X.truth(spark, SF))
+    for run_id in ("a", "b", "b"):
+        store(run, str(tmp_path), run_id, phase="phase2")
+    asked = X.truth(spark, SF).count()
+    listed = {r.run_id: (r.total_queries, r.phase, r.state) for r in run_catalog(read_runs(spark, str(tmp_path))).collect()}
+    assert listed == {k: (asked, "phase2", "complete") for k in "ab"}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/query_summary").count() == 2 * asked
+    stored = spark.read.json(f"{tmp_path}/query_results/run_id=a").selectExpr("inline(top_candidates)")
+    assert stored.count() == run.candidates.count()
