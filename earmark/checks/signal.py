@@ -316,6 +316,44 @@ def apply_chain(s):
     return A.apply_chain(s, steps, SR)
 
 
+_VARIANTS = [
+    {"variant_id": "quiet", "steps": [{"type": "gain", "params": {"db": -6.0}}]},
+    {"variant_id": "fast", "steps": [{"type": "speed_change", "params": {"speed": 1.1}}]},
+    {"variant_id": "quiet_mixed", "steps": [{"type": "gain", "params": {"db": -6.0}}, {"type": "overlay_vocals", "params": {"overlay_path": "square", "level_db": 0.3}}]},
+]
+_quiet = "SELECT track_id, idx, value * pow(10, -6.0 / 20) AS value FROM samples"
+
+
+@register(
+    "apply_variants",
+    f"SELECT track_id, variant_id, idx, {r6('value')} AS value FROM (SELECT *, 'quiet' AS variant_id FROM ({_quiet}) UNION ALL BY NAME SELECT *, 'fast' AS variant_id FROM ({_resampled('SELECT * FROM samples', 1.1)}) "
+    "UNION ALL BY NAME SELECT *, 'quiet_mixed' AS variant_id FROM (" + _norm(f"SELECT a.track_id, a.idx, a.value + b.value * b.value * 6 * pow(10, 0.3 / 20) AS value FROM ({_quiet}) a JOIN samples b ON a.track_id = b.track_id AND a.idx = b.idx") + "))",
+)
+def apply_variants(s):
+    square = s.withColumn("value", F.col("value") * F.col("value") * 6)
+    return A.apply_variants(s, _VARIANTS, SR, overlays={"square": square})
+
+
+def _long_fir(kernel: list[float], source: str = "samples") -> str:
+    """Convolution with a kernel too long to be written as terms."""
+    rows = ", ".join(f"({i - len(kernel) // 2}, {c!r}::DOUBLE)" for i, c in enumerate(kernel))
+    return f"SELECT a.track_id, a.idx, sum(b.value * k.c) AS value FROM {source} a JOIN {source} b ON a.track_id = b.track_id JOIN (VALUES {rows}) k(d, c) ON k.d = a.idx - b.idx GROUP BY ALL"
+
+
+for _name, _kind, _low, _high in (("low_pass", "low_pass", None, 400.0), ("high_pass", "high_pass", 300.0, None), ("band_pass", "band_pass", 300.0, 3000.0)):
+    register(f"fir_filter_{_name}_44k", _OUT + f"({_long_fir(A.fir_kernel(_kind, _low, _high, 44100))})")(
+        lambda s, kind=_kind, low=_low, high=_high: A.fir_filter(s, kind, low, high)
+    )
+
+
+@register(
+    "compress_envelope_44k",
+    _OUT + "(" + _norm(f"SELECT track_id, idx, CASE WHEN env > {_t} THEN value * (({_t} + (env - {_t}) / 2.0) / env) ELSE value END AS value FROM (SELECT *, {_envelope('value', 44)} AS env FROM boosted)", 1.0, 0.99) + ")",
+)
+def compress_envelope_44k(s):
+    return A.compress_envelope(s.withColumn("value", F.col("value") * 4), -12.0, 2.0, 1.0)
+
+
 @register("mono_mixdown", f"SELECT track_id, idx, {r6('(value + value * 0.5::DOUBLE + 0.1::DOUBLE) / 2')} AS value FROM samples")
 def mono_mixdown(s):
     left, right = s.withColumn("channel", F.lit(0)), s.withColumn("value", F.col("value") * 0.5 + 0.1).withColumn("channel", F.lit(1))

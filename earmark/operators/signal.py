@@ -8,12 +8,19 @@ and statistics of a track are summed first and then joined back once for each bl
 
 from __future__ import annotations
 
+import json
 import math
+import sys
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earmark.functions import registry
 from earmark.functions.columns import segment_id
@@ -22,8 +29,11 @@ from earmark.session import cut_lineage
 
 SAMPLE_RATE = 44100
 BLOCK = 65536
-# Samples on each side of the centre of a filter kernel.
-HALF_WIDTH = 32
+# Kernels from this length on are multiplied in the frequency domain.
+LONG_KERNEL = 192
+
+# Send the block functions to workers with the task, so they need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # ---------------------------------------------------------------- blocks
@@ -48,6 +58,53 @@ def windowed(samples: DataFrame, before: int, after: int, columns: Callable[[W],
     )
 
 
+def blockwise(samples: DataFrame, before: int, after: int, sources: Sequence[str], made: Mapping[str, Callable[[Mapping[str, np.ndarray]], np.ndarray]], block: int = BLOCK) -> DataFrame:
+    """Add columns made from whole arrays of samples, one array for each block.
+
+    Each function gets the columns `sources` of a block as arrays in sample order, which reach `before`
+    and `after` samples beyond the block as far as the track goes, and returns one as long.
+    """
+    reach = F.expr(f"sequence(greatest(0L, bigint((idx - {after}) div {block})), bigint((idx + {before}) div {block}))")
+    schema = T.StructType([*samples.schema.fields, *[T.StructField(name, T.DoubleType()) for name in made]])
+    names = schema.fieldNames()
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        own = rows["idx"].to_numpy() // block == key[1].as_py()
+        arrays = {c: rows[c].to_numpy() for c in sources}
+        kept = rows.filter(pa.array(own))
+        for name, fn in made.items():
+            kept = kept.append_column(name, pa.array(fn(arrays)[own]))
+        return kept.select(names)
+
+    return samples.withColumn("_blk", F.explode(reach)).groupBy("track_id", "_blk").applyInArrow(run, schema)
+
+
+def sliding_peak(values: np.ndarray, span: int) -> np.ndarray:
+    """Largest size among each sample and the `span` before it, in two passes whatever the span.
+
+    The array is cut at multiples of the window. Running maxima from the left and from the right of
+    each piece cover any window that reaches over one cut.
+    """
+    width, n = span + 1, len(values)
+    padded = np.zeros(-(-n // width) * width)
+    padded[:n] = np.abs(values)
+    pieces = padded.reshape(-1, width)
+    left = np.maximum.accumulate(pieces, axis=1).ravel()
+    right = np.maximum.accumulate(pieces[:, ::-1], axis=1)[:, ::-1].ravel()
+    first = np.arange(n) - span
+    return np.where(first >= 0, np.maximum(left[:n], right[np.maximum(first, 0)]), np.maximum.accumulate(padded[:n]) if n else left[:n])
+
+
+def convolved(values: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The signal filtered by a symmetric kernel; it is zero outside the array."""
+    half, n = len(kernel) // 2, len(values)
+    if len(kernel) < LONG_KERNEL:
+        return np.convolve(values, kernel)[half : half + n]
+    size = 1 << (n + len(kernel) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(values, size) * np.fft.rfft(kernel, size), size)[half : half + n]
+
+
 def _plain(samples: DataFrame, value: Column | str = "value") -> DataFrame:
     return samples.select("track_id", "idx", F.col(value).alias("value") if isinstance(value, str) else value.alias("value"))
 
@@ -153,7 +210,7 @@ def compress_envelope(
 ) -> DataFrame:
     """Reduce the level while the sliding peak of the last `release_ms` is above the threshold."""
     span = int(release_ms * sample_rate / 1000.0)
-    enveloped = windowed(samples, span, 0, lambda w: {"_env": F.max(F.abs("value")).over(w.rowsBetween(-span, 0))}, block)
+    enveloped = blockwise(samples, span, 0, ["value"], {"_env": lambda a: sliding_peak(a["value"], span)}, block)
     reduced = _plain(enveloped, _compressed(F.col("value"), F.col("_env"), F.lit(db_to_linear(threshold_db)), ratio))
     return peak_normalize(reduced, 1.0, 0.99, block)
 
@@ -202,7 +259,7 @@ def add_colored_noise(
     octaves: int = 8,
     clicks_per_second: float = 2.0,
     click_ms: float = 1.0,
-    half_width: int = HALF_WIDTH,
+    half_width: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Add pink noise, or the clicks and the hiss of a record, at a signal-to-noise ratio.
@@ -271,7 +328,7 @@ def reverb_taps(
     decay: float = 0.5,
     smooth: bool = True,
     sample_rate: int = SAMPLE_RATE,
-    half_width: int = HALF_WIDTH,
+    half_width: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Add five echoes, low-passed at 8 kHz when `smooth`.
@@ -337,8 +394,22 @@ def _low_pass(share: float, half_width: int) -> list[float]:
     return [t / total for t in taps]
 
 
-def fir_kernel(kind: str, low_hz: float | None, high_hz: float | None, sample_rate: int, half_width: int) -> list[float]:
-    """Symmetric windowed-sinc kernel, so the filter does not shift the signal."""
+def kernel_half_width(edge_hz: float, sample_rate: int) -> int:
+    """Samples on each side of a kernel whose transition is as wide as its edge frequency.
+
+    So a low-pass is down by half at its edge and by far more at twice the edge, at any rate.
+    """
+    # Fixed value: transition of a Hamming window in multiples of rate / length.
+    return max(1, math.ceil(3.3 / _clamped(edge_hz, sample_rate)))
+
+
+def fir_kernel(kind: str, low_hz: float | None, high_hz: float | None, sample_rate: int, half_width: int | None = None) -> list[float]:
+    """Symmetric windowed-sinc kernel, so the filter does not shift the signal.
+
+    Its length follows from the lowest edge and the rate unless `half_width` is given.
+    """
+    if half_width is None:
+        half_width = kernel_half_width(min(f for f in (low_hz, high_hz) if f is not None), sample_rate)
     unit = [1.0 if k == half_width else 0.0 for k in range(2 * half_width + 1)]
     if kind in ("low_pass", "boost_lows"):
         return _low_pass(_clamped(high_hz, sample_rate), half_width)
@@ -354,17 +425,8 @@ def fir_kernel(kind: str, low_hz: float | None, high_hz: float | None, sample_ra
 def _convolve(samples: DataFrame, kernels: Mapping[str, Sequence[float]], block: int) -> DataFrame:
     """Add one filtered copy of the signal for each kernel; the signal is zero outside the track."""
     half = max(len(k) for k in kernels.values()) // 2
-
-    def columns(w: W) -> dict[str, Column]:
-        at = {d: F.lag("value", d, 0.0).over(w) if d > 0 else F.lead("value", -d, 0.0).over(w) if d < 0 else F.col("value") for d in range(-half, half + 1)}
-        out = {}
-        for name, kernel in kernels.items():
-            h = len(kernel) // 2
-            terms = [at[i - h] * F.lit(c) for i, c in enumerate(kernel)]
-            out[name] = sum(terms[1:], terms[0])
-        return out
-
-    return windowed(samples, half, half, columns, block)
+    made = {name: (lambda a, k=np.array(kernel): convolved(a["value"], k)) for name, kernel in kernels.items()}
+    return blockwise(samples, half, half, ["value"], made, block)
 
 
 def fir_filter(
@@ -374,12 +436,13 @@ def fir_filter(
     high_hz: float | None = None,
     gain: float | None = None,
     sample_rate: int = SAMPLE_RATE,
-    half_width: int = HALF_WIDTH,
+    half_width: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Low-pass, high-pass, band-pass, or a boost of the lows or highs by `gain` dB.
 
-    `low_hz` is the lower edge of what passes and `high_hz` the upper one.
+    `low_hz` is the lower edge of what passes and `high_hz` the upper one. Edges are held between 1 %
+    and 99 % of the highest frequency. The kernel is as long as its lowest edge needs.
     """
     filtered = _convolve(samples, {"_band": fir_kernel(kind, low_hz, high_hz, sample_rate, half_width)}, block)
     if not kind.startswith("boost"):
@@ -395,7 +458,7 @@ LOW_EDGE_HZ, HIGH_EDGE_HZ = 400.0, 4000.0
 
 def multiband_compress(
     samples: DataFrame, sample_rate: int = SAMPLE_RATE, low_edge_hz: float = LOW_EDGE_HZ, high_edge_hz: float = HIGH_EDGE_HZ,
-    half_width: int = HALF_WIDTH, block: int = BLOCK
+    half_width: int | None = None, block: int = BLOCK
 ) -> DataFrame:
     """Compress lows, mids and highs on their own and add them up again."""
     kernels = {
@@ -409,10 +472,8 @@ def multiband_compress(
     )
     peaks = [F.max(F.abs(f"_{b}")).alias(f"_peak_{b}") for b in BANDS]
     span = int(50.0 * sample_rate / 1000.0)
-    enveloped = windowed(
-        with_stats(split, *peaks, block=block), span, 0,
-        lambda w: {f"_env_{b}": F.max(F.abs(f"_{b}")).over(w.rowsBetween(-span, 0)) for b in BANDS}, block,
-    )
+    made = {f"_env_{b}": (lambda a, c=f"_{b}": sliding_peak(a[c], span)) for b in BANDS}
+    enveloped = blockwise(with_stats(split, *peaks, block=block), span, 0, [f"_{b}" for b in BANDS], made, block)
     total = None
     for band, (below, fallback, ratio) in BANDS.items():
         peak_db = 20.0 * F.log10(F.col(f"_peak_{band}") + 1e-10)
@@ -493,29 +554,57 @@ def song_in_song(
     return _mix_at(tile(second, total, block), piece, _start(position, spare, length, sample_rate), volume_db, block)
 
 
-def apply_chain(samples: DataFrame, steps: Sequence[Mapping[str, object]], sample_rate: int = SAMPLE_RATE, block: int = BLOCK) -> DataFrame:
-    """Apply `{type, params}` steps in order. Registered transforms are known too, other types are skipped."""
+# Steps that are known but need a vocoder or a codec, which this library leaves out.
+NOT_SUPPORTED = ("pitch_shift", "time_stretch", "re_encode")
+
+
+def _played(samples: DataFrame, speed: float, preserve_pitch: bool | str, block: int) -> DataFrame:
+    if str(preserve_pitch).lower() in ("true", "1", "yes", "on"):
+        raise NotImplementedError("speed_change with preserve_pitch is not supported")
+    return speed_resample(samples, speed, block)
+
+
+def apply_chain(
+    samples: DataFrame, steps: Sequence[Mapping[str, object]], sample_rate: int = SAMPLE_RATE, block: int = BLOCK,
+    overlays: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Apply `{type, params}` steps in order.
+
+    `overlays` has the signals that `overlay_vocals` steps name as `overlay_path`. Registered
+    transforms are known too. Known steps that are left out of this library raise an error; types
+    that nobody knows are skipped.
+    """
     rate = {"sample_rate": sample_rate, "block": block}
+
+    def overlay(s: DataFrame, overlay_path: str, level_db: float | None = None, gain_db: float = -6.0) -> DataFrame:
+        if overlay_path not in (overlays or {}):
+            raise ValueError(f"no overlay signal is given for {overlay_path}")
+        return overlay_mix(s, overlays[overlay_path], level_db or gain_db, block)
+
     known: dict[str, Callable[..., DataFrame]] = {
         "gain": lambda s, db: gain_db(s, db),
         "crop": lambda s, start_sec=0.0, duration_sec=None: crop(s, start_sec, duration_sec, **rate),
         "slice_chop": lambda s, remove_start=0.0, remove_end=0.0: slice_chop(s, remove_start, remove_end, **rate),
-        "speed_change": lambda s, speed=None, rate=None, preserve_pitch=False: speed_resample(s, speed or rate, block),
-        "add_noise": lambda s, snr_db, noise_type="white", seed=0: add_colored_noise(s, snr_db, noise_type, seed, sample_rate, block=block),
+        "overlay_vocals": overlay,
+        "speed_change": lambda s, speed=None, rate=None, preserve_pitch=False: _played(s, speed or rate, preserve_pitch, block),
+        "add_noise": lambda s, snr_db=20.0, noise_type="white", seed=0: add_colored_noise(s, snr_db, noise_type, seed, sample_rate, block=block),
         "apply_reverb": lambda s, delay_ms, wet_mix=0.3, decay=0.5: reverb_taps(s, delay_ms, wet_mix, decay, **rate),
-        "high_pass_filter": lambda s, freq_hz: fir_filter(s, "high_pass", freq_hz, None, **rate),
-        "low_pass_filter": lambda s, freq_hz: fir_filter(s, "low_pass", None, freq_hz, **rate),
-        "boost_highs": lambda s, gain_db, freq_hz=3000.0: fir_filter(s, "boost_highs", freq_hz, None, gain_db, **rate),
-        "boost_lows": lambda s, gain_db, freq_hz=200.0: fir_filter(s, "boost_lows", None, freq_hz, gain_db, **rate),
+        "high_pass_filter": lambda s, freq_hz=150.0: fir_filter(s, "high_pass", freq_hz, None, **rate),
+        "low_pass_filter": lambda s, freq_hz=6000.0: fir_filter(s, "low_pass", None, freq_hz, **rate),
+        "boost_highs": lambda s, gain_db=6.0, freq_hz=3000.0: fir_filter(s, "boost_highs", freq_hz, None, gain_db, **rate),
+        "boost_lows": lambda s, gain_db=6.0, freq_hz=200.0: fir_filter(s, "boost_lows", None, freq_hz, gain_db, **rate),
         "telephone_filter": lambda s, low_freq=300.0, high_freq=3000.0: fir_filter(s, "band_pass", low_freq, high_freq, **rate),
-        "apply_compression": lambda s, threshold_db, ratio: compress_envelope(s, threshold_db, ratio, **rate),
-        "apply_limiting": lambda s, ceiling_db: limit(s, ceiling_db, block),
+        "apply_compression": lambda s, threshold_db=-10.0, ratio=10.0: compress_envelope(s, threshold_db, ratio, **rate),
+        "apply_limiting": lambda s, ceiling_db=-1.0: limit(s, ceiling_db, block),
         "apply_multiband_compression": lambda s: multiband_compress(s, **rate),
         **registry.transforms(),
     }
     out, applied = samples, 0
     for step in steps:
-        transform = known.get(str(step.get("type")))
+        kind = str(step.get("type"))
+        transform = known.get(kind)
+        if transform is None and kind in NOT_SUPPORTED:
+            raise NotImplementedError(f"{kind} is not supported")
         if transform is None:
             continue
         # Most steps read their input more than once.
@@ -524,6 +613,30 @@ def apply_chain(samples: DataFrame, steps: Sequence[Mapping[str, object]], sampl
     return out
 
 
+def apply_variants(
+    samples: DataFrame, variants: Sequence[Mapping[str, object]], sample_rate: int = SAMPLE_RATE, block: int = BLOCK,
+    overlays: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """`(track_id, variant_id, idx, value)`: every track changed by every variant, in one job.
+
+    A variant is `{variant_id, steps}`, where steps are those of `apply_chain` and apply in order.
+    Variants that begin alike share these steps: a step with one and the same input is planned once.
+    The test matrix is configuration, so the number of variants is that of the plan and not of the data.
+    """
+    done: dict[tuple[str, ...], DataFrame] = {(): samples}
+    parts = []
+    for variant in variants:
+        path: tuple[str, ...] = ()
+        for step in variant["steps"]:
+            longer = (*path, json.dumps(step, sort_keys=True))
+            if longer not in done:
+                made = apply_chain(done[path], [step], sample_rate, block, overlays)
+                done[longer] = cut_lineage(made)
+            path = longer
+        parts.append(done[path].select("track_id", F.lit(str(variant["variant_id"])).alias("variant_id"), "idx", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mono_mixdown(samples: DataFrame) -> DataFrame:
     """Mean over the channels of `(track_id, channel, idx, value)`."""
     return samples.groupBy("track_id", "idx").agg(F.avg("value").alias("value"))

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,43 @@ def test_segments(samples, signals, overlap):
 def test_features_are_unit_vectors(samples):
     for r in A.segment_features(samples, 2.0, 0.5, 7, SR, block=7).collect():
         assert len(r.vector) == 7 and np.linalg.norm(r.vector) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("span", [0, 1, 3, 8, 50, 500])
+@pytest.mark.parametrize("n", [0, 1, 7, 64, 200])
+def test_sliding_peak(span, n):
+    values = np.random.default_rng(n + span).normal(size=n)
+    want = [np.abs(values[max(0, i - span) : i + 1]).max() for i in range(n)]
+    assert A.sliding_peak(values, span).tolist() == want
+
+
+@pytest.mark.parametrize("taps", [3, 65, 301])
+def test_convolution_by_both_ways(taps):
+    rng = np.random.default_rng(taps)
+    values, half = rng.normal(size=500), rng.normal(size=taps // 2 + 1)
+    kernel = np.concatenate([half[:0:-1], half])
+    assert np.allclose(A.convolved(values, kernel), np.convolve(values, kernel)[taps // 2 :][:500], atol=1e-12)
+
+
+def level(kind, low, high, at, rate=44100):
+    kernel = np.array(A.fir_kernel(kind, low, high, rate))
+    k = np.arange(len(kernel)) - len(kernel) // 2
+    return 20 * np.log10(abs((kernel * np.exp(-2j * np.pi * at / rate * k)).sum()) + 1e-12)
+
+
+@pytest.mark.parametrize("edge", [250.0, 400.0, 3000.0, 8000.0])
+def test_filters_meet_their_edge(edge):
+    assert -7 < level("low_pass", None, edge, edge) < -5 and level("low_pass", None, edge, edge / 4) > -0.5
+    assert -7 < level("high_pass", edge, None, edge) < -5 and level("high_pass", edge, None, edge / 4) < -40
+    if edge * 4 < 22050:
+        assert level("low_pass", None, edge, edge * 4) < -40 and level("high_pass", edge, None, edge * 4) > -0.5
+
+
+def test_chain_refuses_what_it_cannot_do(spark):
+    s = spark.createDataFrame([("t", i, 0.1) for i in range(5)], "track_id string, idx long, value double")
+    for step in ({"type": "pitch_shift", "params": {"semitones": 2}}, {"type": "re_encode"}, {"type": "speed_change", "params": {"speed": 1.1, "preserve_pitch": "yes"}}):
+        with pytest.raises(NotImplementedError):
+            A.apply_chain(s, [step])
+    with pytest.raises(ValueError):
+        A.apply_chain(s, [{"type": "overlay_vocals", "params": {"overlay_path": "none"}}])
+    assert A.apply_chain(s, [{"type": "nobody_knows"}]).count() == 5
