@@ -399,8 +399,11 @@ SAMPLE_PAGES, REBUILT_PAGES = 160, 480
 
 def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = REBUILT_PAGES, seed: int = 3) -> Labeller:
     """Fit on at most `sample` pages, those with the smallest hashes of their ids, and `made` rebuilt ones."""
-    chosen = pages.where(F.length("html") < 200_000).select(F.xxhash64("page_id").alias("h"), "page_id", "html").orderBy("h", "page_id", "html").limit(sample)
-    cut = [blocks(r.html) for r in chosen.collect()]
+    rows = pages.where(F.length("html") < 200_000).withColumn("h", F.xxhash64("page_id"))
+    # Hashes first, pages then: no more than the sample's pages ever leave the tasks.
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = rows.where(F.col("h") <= F.lit(last)).limit(2 * sample).collect() if last is not None else []
+    cut = [blocks(r.html) for r in sorted(chosen, key=lambda r: (r.h, r.html))[:sample]]
     train, labels = [], []
     for page in cut:
         y = weak_labels(page) if page else None

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +16,31 @@ __all__ = ["cut_lineage", "shared_folder", "bound_batches", "input_bytes", "deal
 BATCH_BYTES = 16 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once for an application.
+
+    So the tasks need no installed copy, and run the driver's version of it.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="earmark-package-")) / "earmark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches end at 16 MB, so that very long texts don't pile up in one batch.
 
-    A smaller limit that the session already has stays.
+    A smaller limit that the session already has stays. The tasks get this package as well.
     """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
