@@ -24,26 +24,27 @@ def register(name: str, sql: str | None = None):
 
 
 def documents(spark, sf, dialect: str):
-    """Project documents written from the events: a track for each event type, a note for each event."""
+    """Project documents written from all events: a track for each event type, a note for each event.
+
+    Devices stand inside devices and tracks inside tracks, and an attribute holds a closing bracket.
+    """
     e = X.table(spark, sf, "events").withColumn("project", F.expr("event_id div 64")).withColumn("at", F.col("event_id") % 64 * 0.5)
     number, velocity = F.get_json_object("props", "$.k"), (F.floor("value") % 128).cast("string")
     at = F.col("at").cast("string")
     if dialect == "ableton":
-        e = e.where("project % 2 = 0")
         note = F.concat(F.lit('<Note Note="'), number, F.lit('" Velocity="'), velocity, F.lit('" Time="'), at, F.lit('"'), F.when(F.col("event_id") % 3 == 0, ' Duration="0.25"').otherwise(""), F.lit("/>"))
         track = F.concat(
             F.lit('<MidiTrack Name="'), F.col("event_type"), F.lit(' &amp; more"><ClipSlot><MidiClip Time="0" Duration="32"><Notes>'), F.col("notes"),
-            F.lit('</Notes></MidiClip></ClipSlot><DeviceChain Name="Synth"><Parameter Name="size" Value="'), F.col("n").cast("string"), F.lit('"/><Parameter Name="bad" Value="x"/></DeviceChain></MidiTrack>'),
+            F.lit('</Notes></MidiClip></ClipSlot><DeviceChain Name="Synth > all"><Parameter Name="size" Value="'), F.col("n").cast("string"), F.lit('"/><Parameter Name="bad" Value="x"/><DeviceChain Name="Inner"><Parameter Name="depth" Value="2"/></DeviceChain></DeviceChain></MidiTrack>'),
         )
         whole = F.concat(
             F.lit('<?xml version="1.0"?><Ableton Creator="Ableton Live 11.3.2"><LiveSet><Tracks>'), F.col("tracks"),
-            F.lit('</Tracks><Track Name="Main"><AudioClip Name="intro" Time="4" Duration="'), F.col("n").cast("string"), F.lit('.5"/><AudioClip Time="1.5"/></Track>'),
+            F.lit('</Tracks><Track Name="Main"><AudioClip Name="intro" Time="4" Duration="'), F.col("n").cast("string"), F.lit('.5"/><AudioClip Time="1.5"/><Track Name="Sub"><AudioClip Name="deep" Time="2" Duration="1"/></Track></Track>'),
             F.lit('<Tempo Time="0" Value="128.0" Numerator="3"/><KeySignature Value="D minor"/><SampleRef Path="Samples/kick.wav"/>'),
             F.lit('<AutomationEnvelope ParameterName="Volume"><Point Time="0" Value="1"/><Point Time="8" Value="'), F.col("n").cast("string"), F.lit('"/></AutomationEnvelope></LiveSet></Ableton>'),
         )
         ending = ".als"
     else:
-        e = e.where("project % 2 = 1")
         note = F.concat(F.lit("<note key='"), number, F.lit("' vel='"), velocity, F.lit("' time='"), at, F.lit("'/>"))
         # Every event type is split into two regions of one name.
         track = F.concat(F.lit('<MIDIRegion name="'), F.col("event_type"), F.lit('">'), F.col("notes"), F.lit('</MIDIRegion><MIDIRegion name="'), F.col("event_type"), F.lit('"><Note/></MIDIRegion><MIDIRegion name="empty"/>'))
@@ -66,13 +67,13 @@ P.add(
 P.add(
     "als_notes",
     "SELECT '/projects/p' || project || '.als' AS path, event_type || ' & more' AS track_name, dense_rank() OVER (PARTITION BY project ORDER BY event_type) - 1 AS track_index, "
-    "row_number() OVER (PARTITION BY project, event_type ORDER BY event_id) - 1 AS note_index, k AS note, vel AS velocity, beat AS start_time, CASE WHEN event_id % 3 = 0 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS duration, 0 AS channel FROM ev WHERE project % 2 = 0",
+    "row_number() OVER (PARTITION BY project, event_type ORDER BY event_id) - 1 AS note_index, k AS note, vel AS velocity, beat AS start_time, CASE WHEN event_id % 3 = 0 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS duration, 0 AS channel FROM ev",
 )
 P.add(
     "logic_notes",
     "SELECT '/projects/p' || project || '.logicx' AS path, event_type AS track_name, dense_rank() OVER (PARTITION BY project ORDER BY event_type) - 1 AS track_index, "
     "row_number() OVER (PARTITION BY project, event_type ORDER BY event_id) - 1 AS note_index, k AS note, vel AS velocity, beat AS start_time, 1.0::DOUBLE AS duration, 0 AS channel FROM ("
-    "SELECT * FROM ev UNION ALL SELECT DISTINCT project, 9223372036854775807, event_type, 60, 100, 0.0::DOUBLE FROM ev) WHERE project % 2 = 1",
+    "SELECT * FROM ev UNION ALL SELECT DISTINCT project, 9223372036854775807, event_type, 60, 100, 0.0::DOUBLE FROM ev)",
 )
 P.add("als", "SELECT path, count(*) AS n, count(DISTINCT track_name) AS t FROM als_notes GROUP BY path")
 _NOTE = f"path, track_name, track_index, note_index, note, velocity, {r6('start_time')} AS start_time, {r6('duration')} AS duration, channel"
@@ -90,7 +91,7 @@ def _logic(spark, sf):
     "project_xml_extract",
     "SELECT path, 'ableton' AS project_type, '11.3' AS version, CAST(NULL AS VARCHAR) AS error, '[{\"time\":0.0,\"tempo\":128.0,\"time_signature\":\"3/4\"}]' AS tempo_changes, '[{\"time\":0.0,\"key\":\"D minor\"}]' AS key_changes, "
     "'[{\"file_path\":\"/projects/Samples/kick.wav\",\"sample_name\":\"kick.wav\"}]' AS samples, "
-    "'[{\"clip_name\":\"intro\",\"start_time\":4.0,\"end_time\":' || (4 + n) || '.5,\"track_name\":\"Main\",\"clip_type\":\"audio\"},{\"clip_name\":\"Unnamed Clip\",\"start_time\":1.5,\"end_time\":1.5,\"track_name\":\"Main\",\"clip_type\":\"audio\"}]' AS clips FROM als",
+    "'[{\"clip_name\":\"intro\",\"start_time\":4.0,\"end_time\":' || (4 + n) || '.5,\"track_name\":\"Main\",\"clip_type\":\"audio\"},{\"clip_name\":\"Unnamed Clip\",\"start_time\":1.5,\"end_time\":1.5,\"track_name\":\"Main\",\"clip_type\":\"audio\"},{\"clip_name\":\"deep\",\"start_time\":2.0,\"end_time\":3.0,\"track_name\":\"Main\",\"clip_type\":\"audio\"},{\"clip_name\":\"deep\",\"start_time\":2.0,\"end_time\":3.0,\"track_name\":\"Sub\",\"clip_type\":\"audio\"}]' AS clips FROM als",
 )
 def project_xml_extract(spark, sf):
     return _als(spark, sf).select("path", "project_type", "version", "error", "tempo_changes", "key_changes", "samples", "clips")
@@ -98,7 +99,7 @@ def project_xml_extract(spark, sf):
 
 @register(
     "project_xml_extract_logic",
-    "SELECT '/projects/p' || project || '.logicx' AS path, 'logic' AS project_type, '10.7' AS version, CAST(NULL AS VARCHAR) AS error, '[{\"time\":2.0,\"tempo\":' || count(*) || '.0}]' AS tempo_changes FROM ev WHERE project % 2 = 1 GROUP BY project",
+    "SELECT '/projects/p' || project || '.logicx' AS path, 'logic' AS project_type, '10.7' AS version, CAST(NULL AS VARCHAR) AS error, '[{\"time\":2.0,\"tempo\":' || count(*) || '.0}]' AS tempo_changes FROM ev GROUP BY project",
 )
 def project_xml_extract_logic(spark, sf):
     return _logic(spark, sf).select("path", "project_type", "version", "error", "tempo_changes")
@@ -118,7 +119,7 @@ def project_xml_broken(spark, sf):
 
 @register(
     "project_counts",
-    "SELECT path, 'ableton' AS project_type, '11.3' AS version, t AS midi_tracks, n AS total_notes, 2 AS arrangement_clips, 1 AS tempo_changes, 1 AS key_changes, 1 AS plugin_chains, 1 AS sample_sources, 1 AS automation_tracks FROM als".replace(
+    "SELECT path, 'ableton' AS project_type, '11.3' AS version, t AS midi_tracks, n AS total_notes, 4 AS arrangement_clips, 1 AS tempo_changes, 1 AS key_changes, 1 AS plugin_chains, 1 AS sample_sources, 1 AS automation_tracks FROM als".replace(
         "1 AS plugin_chains", "0 AS plugin_chains"
     ),
 )
@@ -139,10 +140,11 @@ def merge_regions(spark, sf):
 
 @register(
     "explode_devices",
-    f"SELECT path, track_name, 0 AS device_index, 'Synth' AS device_name, 'DeviceChain' AS device_type, 'size' AS parameter_name, {r6('CAST(count(*) AS DOUBLE)')} AS value FROM als_notes GROUP BY path, track_name",
+    f"SELECT path, track_name, d.i AS device_index, d.device_name, 'DeviceChain' AS device_type, d.parameter_name, {r6('CAST(coalesce(d.v, n) AS DOUBLE)')} AS value "
+    "FROM (SELECT path, track_name, count(*) AS n FROM als_notes GROUP BY ALL), (VALUES (0, 'Synth > all', 'size', NULL), (0, 'Synth > all', 'depth', 2), (1, 'Inner', 'depth', 2)) d(i, device_name, parameter_name, v)",
 )
 def explode_devices(spark, sf):
-    docs = documents(spark, sf, "ableton").withColumn("xml", F.regexp_replace("xml", "<Track .*?</Track>", ""))
+    docs = documents(spark, sf, "ableton").withColumn("xml", F.regexp_replace("xml", "<Track .*</Track>", ""))
     return D.explode_devices(D.project_xml_extract(docs, "ableton"))
 
 
@@ -154,7 +156,7 @@ def explode_automation(spark, sf):
     return D.explode_automation(_als(spark, sf))
 
 
-@register("arrangement_length", f"SELECT path, {r6('4.5 + n')} AS total_length, '[\"Main\"]' AS tracks FROM als")
+@register("arrangement_length", f"SELECT path, {r6('4.5 + n')} AS total_length, '[\"Main\",\"Sub\"]' AS tracks FROM als")
 def arrangement_length(spark, sf):
     return D.arrangement_length(_als(spark, sf))
 

@@ -1,255 +1,220 @@
 """Music-project metadata: from XML text to nested columns, and from those to flat tables.
 
-One row holds one project document. Elements are cut out of the text and their attributes read as a
-map with built-in functions, at any depth below the root, so nothing leaves the JVM and nothing is
-shuffled.
+One row holds one project document. Each is parsed by the standard parser in Arrow batches, without a
+shuffle, and read by tables of tag and attribute names. Elements are found at any depth, so nested
+tracks and devices count as often as they stand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-# ---------------------------------------------------------------- reading XML text
+# Send the parser to workers with the task, so they need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+Node = ElementTree.Element
+Row = dict[str, object]
 
-def elements(text: Column, *names: str) -> Column:
-    """Elements with the first of `names` that occurs, in document order, as text.
-
-    An element must not contain another one of the same name.
-    """
-    found = [
-        F.regexp_extract_all(text, F.lit(rf"(?s)<{n}(?=[\s/>])[^>]*/>|<{n}(?=[\s/>]).*?</{n}\s*>"), F.lit(0)) for n in names
-    ]
-    present = F.filter(F.array(*found), lambda a: F.size(a) > 0)
-    return F.coalesce(F.get(present, F.lit(0)), F.array().cast("array<string>"))
-
-
-def _unescaped(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+# ---------------------------------------------------------------- reading elements
 
 
-def attributes(element: Column) -> Column:
-    """Attributes of the first tag of an element as a map."""
-    tag = F.regexp_extract(element, r"(?s)^<[^>]*>", 0)
-    pattern = F.lit(r"""(?s)([\w:.-]+)\s*=\s*(["'])(.*?)\2""")
-    values = F.transform(F.regexp_extract_all(tag, pattern, F.lit(3)), _unescaped)
-    return F.map_from_arrays(F.regexp_extract_all(tag, pattern, F.lit(1)), values)
+def inside(node: Node, *names: str) -> list[Node]:
+    """Elements below a node with the first of `names` that occurs there, in document order."""
+    for name in names:
+        found = [e for e in node.iter(name) if e is not node]
+        if found:
+            return found
+    return []
 
 
-def _get(attrs: Column, *names: str) -> Column:
+def text_of(node: Node, *names: str) -> str | None:
     """First of the attributes that is there and not empty."""
-    return F.coalesce(*[F.nullif(F.try_element_at(attrs, F.lit(n)), F.lit("")) for n in names])
+    return next((node.attrib[n] for n in names if node.attrib.get(n)), None)
 
 
-def _number(attrs: Column, kind: str, default: float, *names: str) -> Column:
-    """Attribute as a number: the default when missing, NULL when it is no number."""
-    text = _get(attrs, *names)
-    return F.when(text.isNull(), F.lit(default).cast(kind)).otherwise(text.try_cast(kind))
+def number_of(node: Node, kind: Callable, default: float, *names: str) -> float | None:
+    """Attribute as a number: the default when missing, None when it is no number."""
+    text = text_of(node, *names)
+    if text is None:
+        return kind(default)
+    try:
+        return None if "_" in text else kind(text)
+    except ValueError:
+        return None
 
 
-def _each(items: Column, build: Callable[[Column, Column], Column]) -> Column:
-    """Build a struct from each element and its attributes; attributes are read once."""
-    def one(element: Column) -> Column:
-        bound = F.transform(F.array(attributes(element)), lambda a: build(element, a))
-        return F.get(bound, F.lit(0))
+def body_of(node: Node) -> str | None:
+    return (node.text or "").strip() or None
 
-    return F.transform(items, one)
 
+def complete(rows: Sequence[Row], *required: str) -> list[Row]:
+    """Without the rows in which a number could not be read."""
+    return [r for r in rows if all(r[k] is not None for k in required)]
 
-def _whole(items: Column, *required: str) -> Column:
-    """Without the structs in which a number could not be read."""
-    return F.filter(items, lambda x: ~F.array_contains(F.array(*[x[r].isNull() for r in required]), True))
 
+def parse(xml: str | None) -> Node | None:
+    """Root of a document with plain tag names, None for text that is no well-formed XML."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except (ElementTree.ParseError, ValueError):
+        return None
+    for e in root.iter():
+        e.tag = e.tag.rpartition("}")[2]
+    return root
 
-# ---------------------------------------------------------------- D1
 
+# ---------------------------------------------------------------- D1
 
-def _notes(text: Column, tags: Sequence[str], names: dict[str, tuple[str, ...]]) -> Column:
-    def build(_: Column, a: Column) -> Column:
-        return F.struct(
-            _number(a, "int", 60, *names["note"]).alias("note"),
-            _number(a, "int", 100, *names["velocity"]).alias("velocity"),
-            _number(a, "double", 0.0, *names["start"]).alias("start_time"),
-            _number(a, "double", 1.0, *names["duration"]).alias("duration"),
-            _number(a, "int", 0, *names["channel"]).alias("channel"),
-        )
-
-    return _whole(_each(elements(text, *tags), build), "note", "velocity", "start_time", "duration", "channel")
-
-
-def _name(a: Column, names: Sequence[str], default: str) -> Column:
-    return F.coalesce(_get(a, *names), F.lit(default))
-
-
-def _ableton(x: Column) -> dict[str, Column]:
-    creator = F.get(F.transform(F.array(attributes(F.regexp_extract(x, r"(?s)<[A-Za-z][^>]*>.*", 0))), lambda a: _get(a, "Creator")), F.lit(0))
-    number = F.nullif(F.regexp_extract(creator, r"(\d+\.\d+)", 1), F.lit(""))
-    version = F.when(creator.contains("Ableton Live"), F.coalesce(number, creator)).otherwise(F.coalesce(creator, F.lit("Unknown")))
-    note_names = {"note": ("Note",), "velocity": ("Velocity",), "start": ("Time",), "duration": ("Duration",), "channel": ("Channel",)}
-
-    def track(element: Column, index: Column) -> Column:
-        clips = F.array_join(elements(element, "MidiClip", "ClipSlot"), "")
-        name = F.get(F.transform(F.array(attributes(element)), lambda a: _get(a, "Name")), F.lit(0))
-        return F.struct(
-            F.coalesce(name, F.concat(F.lit("Track "), index.cast("string"))).alias("track_name"),
-            index.cast("int").alias("track_index"),
-            _notes(clips, ("Note", "MidiNote"), note_names).alias("notes"),
-        )
-
-    def clip(track_name: Column) -> Callable[[Column, Column], Column]:
-        def build(element: Column, a: Column) -> Column:
-            start = _number(a, "double", 0.0, "Time")
-            kind = F.lower(F.replace(F.regexp_extract(element, r"^<([\w:.-]+)", 1), F.lit("Clip"), F.lit("")))
-            return F.struct(
-                _name(a, ("Name",), "Unnamed Clip").alias("clip_name"),
-                start.alias("start_time"),
-                (start + _number(a, "double", 0.0, "Duration")).alias("end_time"),
-                track_name.alias("track_name"),
-                F.coalesce(F.nullif(kind, F.lit("")), F.lit("audio")).alias("clip_type"),
-            )
-
-        return build
-
-    timeline = elements(x, "ArrangementTrack", "Track")
-    clips = F.flatten(_each(timeline, lambda e, a: _each(elements(e, "Clip", "AudioClip", "MidiClip"), clip(_name(a, ("Name",), "Unknown Track")))))
-    tempo = _each(
-        elements(x, "Tempo", "TempoMasterTimeSignature"),
-        lambda _, a: F.struct(
-            _number(a, "double", 0.0, "Time").alias("time"),
-            _number(a, "double", 120.0, "Value").alias("tempo"),
-            F.concat(_get(a, "Numerator"), F.lit("/"), F.coalesce(_get(a, "Denominator"), F.lit("4"))).alias("time_signature"),
-        ),
-    )
-    keys = _each(
-        elements(x, "Key", "KeySignature"),
-        lambda _, a: F.struct(_number(a, "double", 0.0, "Time").alias("time"), _name(a, ("Value",), "C major").alias("key")),
-    )
-    samples = _each(
-        elements(x, "SampleRef", "AudioFile", "FileRef"),
-        lambda e, a: F.coalesce(_get(a, "Path", "RelativePath"), F.nullif(F.trim(F.regexp_extract(e, r"(?s)^<[^>]*[^/]>([^<]*)<", 1)), F.lit(""))),
-    )
+# Attribute names of notes by dialect.
+ABLETON_NOTE = {"note": ("Note",), "velocity": ("Velocity",), "start": ("Time",), "duration": ("Duration",), "channel": ("Channel",)}
+LOGIC_NOTE = {
+    "note": ("pitch", "note", "key"), "velocity": ("velocity", "vel"), "start": ("startTime", "start", "time"),
+    "duration": ("duration", "length", "dur"), "channel": ("channel",),
+}
+
+
+def _notes(nodes: Sequence[Node], names: dict[str, tuple[str, ...]]) -> list[Row]:
+    rows = [
+        {
+            "note": number_of(e, int, 60, *names["note"]),
+            "velocity": number_of(e, int, 100, *names["velocity"]),
+            "start_time": number_of(e, float, 0.0, *names["start"]),
+            "duration": number_of(e, float, 1.0, *names["duration"]),
+            "channel": number_of(e, int, 0, *names["channel"]),
+        }
+        for e in nodes
+    ]
+    return complete(rows, "note", "velocity", "start_time", "duration", "channel")
+
+
+def _clip(e: Node, track: str, name: str, starts: Sequence[str], lengths: Sequence[str], names: Sequence[str], kind: str) -> Row:
+    start, length = number_of(e, float, 0.0, *starts), number_of(e, float, 0.0, *lengths)
+    end = None if start is None or length is None else start + length
+    return {"clip_name": text_of(e, *names) or name, "start_time": start, "end_time": end, "track_name": track, "clip_type": kind.lower()}
+
+
+def _chains(root: Node, tracks, devices, params, track_names, device_names, type_names, param_names, value_names) -> list[Row]:
+    """Tracks with devices, devices with their parameters; a device inside another is one of its own too."""
+    out = []
+    for track in inside(root, *tracks):
+        found = [
+            {
+                "device_name": text_of(e, *device_names) or "Unknown Device",
+                "device_type": text_of(e, *type_names) or e.tag,
+                "parameters": complete(
+                    [{"parameter_name": text_of(p, *param_names) or "Unknown", "value": number_of(p, float, 0.0, *value_names)} for p in inside(e, *params)], "value"
+                ),
+            }
+            for e in inside(track, *devices)
+        ]
+        if found:
+            out.append({"track_name": text_of(track, *track_names) or "Unknown Track", "devices": found})
+    return out
+
+
+def _automation(root: Node, tags, names, points, times, values) -> list[Row]:
+    curves = [
+        {
+            "parameter_name": text_of(e, *names) or "Unknown",
+            "track_name": "Unknown",
+            "points": complete([{"time": number_of(p, float, 0.0, *times), "value": number_of(p, float, 0.0, *values)} for p in inside(e, *points)], "time", "value"),
+        }
+        for e in inside(root, *tags)
+    ]
+    return [c for c in curves if c["points"]]
+
+
+def _ableton(root: Node) -> Row:
+    """Fixed values here and in `_logic`: names of tags and attributes, and what stands in for missing ones."""
+    creator = text_of(root, "Creator")
+    number = re.search(r"\d+\.\d+", creator or "")
+    timeline = inside(root, "ArrangementTrack", "Track")
+    named = [(e, text_of(e, "Name") or "Unknown Track") for e in timeline]
+    midi = []
+    for i, track in enumerate(inside(root, "MidiTrack")):
+        clips = inside(track, "MidiClip", "ClipSlot")
+        found = next((f for f in ([n for c in clips for n in c.iter(tag)] for tag in ("Note", "MidiNote")) if f), [])
+        # Notes of a clip inside another clip count once.
+        midi.append({"track_name": text_of(track, "Name") or f"Track {i}", "track_index": i, "notes": _notes(list(dict.fromkeys(found)), ABLETON_NOTE)})
+    tempo = [
+        {
+            "time": number_of(e, float, 0.0, "Time"),
+            "tempo": number_of(e, float, 120.0, "Value"),
+            "time_signature": f"{text_of(e, 'Numerator')}/{text_of(e, 'Denominator') or '4'}" if text_of(e, "Numerator") else None,
+        }
+        for e in inside(root, "Tempo", "TempoMasterTimeSignature")
+    ]
     return {
-        "version": version,
-        "midi_tracks": F.transform(elements(x, "MidiTrack"), track),
-        "clips": _whole(clips, "start_time", "end_time"),
-        "arrangement_tracks": _each(timeline, lambda _, a: _name(a, ("Name",), "Unknown Track")),
-        "tempo_changes": _whole(tempo, "time", "tempo"),
-        "key_changes": _whole(keys, "time"),
-        "plugin_chains": _chains(x, ("Track", "MidiTrack", "AudioTrack"), ("DeviceChain", "Device"), ("Parameter", "Value"), ("Name",), ("Name",), (), ("Name",), ("Value",)),
-        "samples": samples,
-        "automation": _automation(x, ("AutomationEnvelope", "Envelope"), ("ParameterName",), ("Point", "AutomationPoint"), ("Time",), ("Value",)),
-    }
-
-
-def _chains(
-    x: Column, tracks: Sequence[str], devices: Sequence[str], params: Sequence[str], track_names: Sequence[str], device_names: Sequence[str],
-    type_names: Sequence[str], param_names: Sequence[str], value_names: Sequence[str],
-) -> Column:
-    def parameter(_: Column, a: Column) -> Column:
-        return F.struct(_name(a, param_names, "Unknown").alias("parameter_name"), _number(a, "double", 0.0, *value_names).alias("value"))
-
-    def device(e: Column, a: Column) -> Column:
-        tag = F.regexp_extract(e, r"^<([\w:.-]+)", 1)
-        inside = F.regexp_replace(e, r"(?s)^<[^>]*>", "")
-        return F.struct(
-            _name(a, device_names, "Unknown Device").alias("device_name"),
-            (F.coalesce(_get(a, *type_names), tag) if type_names else tag).alias("device_type"),
-            _whole(_each(elements(inside, *params), parameter), "value").alias("parameters"),
-        )
-
-    chains = _each(
-        elements(x, *tracks),
-        lambda e, a: F.struct(_name(a, track_names, "Unknown Track").alias("track_name"), _each(elements(e, *devices), device).alias("devices")),
-    )
-    return F.filter(chains, lambda c: F.size(c["devices"]) > 0)
-
-
-def _automation(x: Column, tags: Sequence[str], names: Sequence[str], points: Sequence[str], times: Sequence[str], values: Sequence[str]) -> Column:
-    def point(_: Column, a: Column) -> Column:
-        return F.struct(_number(a, "double", 0.0, *times).alias("time"), _number(a, "double", 0.0, *values).alias("value"))
-
-    curves = _each(
-        elements(x, *tags),
-        lambda e, a: F.struct(
-            _name(a, names, "Unknown").alias("parameter_name"),
-            F.lit("Unknown").alias("track_name"),
-            _whole(_each(elements(e, *points), point), "time", "value").alias("points"),
+        "version": (number[0] if number else creator) if creator and "Ableton Live" in creator else creator or "Unknown",
+        "midi_tracks": midi,
+        "clips": complete(
+            [_clip(c, name, "Unnamed Clip", ("Time",), ("Duration",), ("Name",), c.tag.replace("Clip", "") or "audio") for e, name in named for c in inside(e, "Clip", "AudioClip", "MidiClip")],
+            "start_time", "end_time",
         ),
-    )
-    return F.filter(curves, lambda c: F.size(c["points"]) > 0)
-
-
-def _logic(x: Column) -> dict[str, Column]:
-    root = F.regexp_extract(x, r"(?s)<[A-Za-z][^>]*>.*", 0)
-    from_root = F.get(F.transform(F.array(attributes(root)), lambda a: _get(a, "version", "appVersion", "LogicVersion")), F.lit(0))
-    from_info = F.get(_each(elements(x, "DocumentInfo", "Version"), lambda e, a: F.coalesce(_get(a, "version"), F.nullif(F.trim(F.regexp_extract(e, r"(?s)^<[^>]*[^/]>([^<]*)<", 1)), F.lit("")))), F.lit(0))
-    note_names = {
-        "note": ("pitch", "note", "key"), "velocity": ("velocity", "vel"), "start": ("startTime", "start", "time"),
-        "duration": ("duration", "length", "dur"), "channel": ("channel",),
-    }
-    region = elements(x, "MIDIRegion", "MIDI")
-    plain = F.filter(elements(x, "Region"), lambda e: F.get(_each(F.array(e), lambda _, a: (_get(a, "type") == "MIDI") | _get(a, "class").contains("MIDI")), F.lit(0)))
-    regions = _each(
-        F.when(F.size(region) > 0, region).otherwise(plain),
-        lambda e, a: F.struct(_name(a, ("name", "trackName"), "Unknown Track").alias("track_name"), _notes(e, ("Note", "MIDINote", "note"), note_names).alias("notes")),
-    )
-    sequence = F.coalesce(F.get(elements(x, "Sequence", "MainSequence", "Timeline"), F.lit(0)), F.lit(""))
-    timeline = elements(sequence, "Track", "AudioTrack", "MIDITrack")
-
-    def clip(track_name: Column) -> Callable[[Column, Column], Column]:
-        def build(_: Column, a: Column) -> Column:
-            start = _number(a, "double", 0.0, "start", "startTime", "position")
-            return F.struct(
-                _name(a, ("name", "regionName"), "Unnamed Region").alias("clip_name"),
-                start.alias("start_time"),
-                (start + _number(a, "double", 0.0, "length", "duration", "regionLength")).alias("end_time"),
-                track_name.alias("track_name"),
-                F.lower(_name(a, ("type", "regionType"), "audio")).alias("clip_type"),
-            )
-
-        return build
-
-    clips = F.flatten(_each(timeline, lambda e, a: _each(elements(e, "Region"), clip(_name(a, ("name", "trackName"), "Unknown Track")))))
-    tempo_list = F.coalesce(F.get(elements(x, "TempoList", "TempoTrack"), F.lit(0)), F.lit(""))
-    tempo = _each(
-        elements(tempo_list, "TempoEvent", "Event"),
-        lambda _, a: F.struct(
-            _number(a, "double", 0.0, "time", "position").alias("time"),
-            _number(a, "double", 120.0, "bpm", "tempo", "value").alias("tempo"),
-            _get(a, "timeSignature", "timeSig").alias("time_signature"),
-        ),
-    )
-    default_tempo = _each(
-        elements(x, "Tempo", "DefaultTempo"),
-        lambda _, a: F.struct(F.lit(0.0).alias("time"), _number(a, "double", 120.0, "bpm", "value").alias("tempo"), F.lit(None).cast("string").alias("time_signature")),
-    )
-    keys = _each(
-        elements(x, "KeySignature", "Key", "KeyChange"),
-        lambda _, a: F.struct(_number(a, "double", 0.0, "time", "position").alias("time"), _name(a, ("key", "value"), "C").alias("key")),
-    )
+        "arrangement_tracks": [name for _, name in named],
+        "tempo_changes": complete(tempo, "time", "tempo"),
+        "key_changes": complete([{"time": number_of(e, float, 0.0, "Time"), "key": text_of(e, "Value") or "C major"} for e in inside(root, "Key", "KeySignature")], "time"),
+        "plugin_chains": _chains(root, ("Track", "MidiTrack", "AudioTrack"), ("DeviceChain", "Device"), ("Parameter", "Value"), ("Name",), ("Name",), (), ("Name",), ("Value",)),
+        "samples": [text_of(e, "Path", "RelativePath") or body_of(e) for e in inside(root, "SampleRef", "AudioFile", "FileRef")],
+        "automation": _automation(root, ("AutomationEnvelope", "Envelope"), ("ParameterName",), ("Point", "AutomationPoint"), ("Time",), ("Value",)),
+    }
+
+
+def _logic(root: Node) -> Row:
+    info = inside(root, "DocumentInfo", "Version")
+    regions = inside(root, "MIDIRegion", "MIDI") or [e for e in inside(root, "Region") if text_of(e, "type") == "MIDI" or "MIDI" in (text_of(e, "class") or "")]
+    sequence = inside(root, "Sequence", "MainSequence", "Timeline")
+    named = [(e, text_of(e, "name", "trackName") or "Unknown Track") for e in (inside(sequence[0], "Track", "AudioTrack", "MIDITrack") if sequence else [])]
+    listed = inside(root, "TempoList", "TempoTrack")
+    tempo = [
+        {"time": number_of(e, float, 0.0, "time", "position"), "tempo": number_of(e, float, 120.0, "bpm", "tempo", "value"), "time_signature": text_of(e, "timeSignature", "timeSig")}
+        for e in (inside(listed[0], "TempoEvent", "Event") if listed else [])
+    ] or [{"time": 0.0, "tempo": number_of(e, float, 120.0, "bpm", "value"), "time_signature": None} for e in inside(root, "Tempo", "DefaultTempo")[:1]]
     return {
-        "version": F.coalesce(from_root, from_info, F.lit("Unknown")),
-        "midi_tracks": merge_regions(regions),
-        "clips": _whole(clips, "start_time", "end_time"),
-        "arrangement_tracks": _each(timeline, lambda _, a: _name(a, ("name", "trackName"), "Unknown Track")),
-        "tempo_changes": _whole(F.when(F.size(tempo) > 0, tempo).otherwise(F.slice(default_tempo, 1, 1)), "time", "tempo"),
-        "key_changes": _whole(keys, "time"),
+        "version": text_of(root, "version", "appVersion", "LogicVersion") or (info and (text_of(info[0], "version") or body_of(info[0]))) or "Unknown",
+        "midi_tracks": [
+            {"track_name": text_of(e, "name", "trackName") or "Unknown Track", "track_index": i, "notes": _notes(inside(e, "Note", "MIDINote", "note"), LOGIC_NOTE)} for i, e in enumerate(regions)
+        ],
+        "clips": complete(
+            [
+                _clip(c, name, "Unnamed Region", ("start", "startTime", "position"), ("length", "duration", "regionLength"), ("name", "regionName"), text_of(c, "type", "regionType") or "audio")
+                for e, name in named for c in inside(e, "Region")
+            ],
+            "start_time", "end_time",
+        ),
+        "arrangement_tracks": [name for _, name in named],
+        "tempo_changes": complete(tempo, "time", "tempo"),
+        "key_changes": complete([{"time": number_of(e, float, 0.0, "time", "position"), "key": text_of(e, "key", "value") or "C"} for e in inside(root, "KeySignature", "Key", "KeyChange")], "time"),
         "plugin_chains": _chains(
-            x, ("Track", "AudioTrack", "MIDITrack"), ("Plugin", "AUPlugin", "Effect", "Insert"), ("Parameter",), ("name", "trackName"),
+            root, ("Track", "AudioTrack", "MIDITrack"), ("Plugin", "AUPlugin", "Effect", "Insert"), ("Parameter",), ("name", "trackName"),
             ("name", "pluginName", "effectName"), ("type", "pluginType"), ("name", "parameterName"), ("value",),
         ),
-        "samples": _each(elements(x, "AudioFile", "FileRef", "Sample"), lambda _, a: _get(a, "path", "filePath", "name")),
-        "automation": _automation(x, ("Automation", "AutomationTrack"), ("parameter", "parameterName", "name"), ("Point", "AutomationPoint"), ("time", "position"), ("value",)),
-    }
+        "samples": [text_of(e, "path", "filePath", "name") for e in inside(root, "AudioFile", "FileRef", "Sample")],
+        "automation": _automation(root, ("Automation", "AutomationTrack"), ("parameter", "parameterName", "name"), ("Point", "AutomationPoint"), ("time", "position"), ("value",)),
+    }
 
 
 DIALECTS = {"ableton": _ableton, "logic": _logic}
 
+_NOTE = "struct<note:int,velocity:int,start_time:double,duration:double,channel:int>"
+PARTS = (
+    f"version string, midi_tracks array<struct<track_name:string,track_index:int,notes:array<{_NOTE}>>>, "
+    "clips array<struct<clip_name:string,start_time:double,end_time:double,track_name:string,clip_type:string>>, arrangement_tracks array<string>, "
+    "tempo_changes array<struct<time:double,tempo:double,time_signature:string>>, key_changes array<struct<time:double,key:string>>, "
+    "plugin_chains array<struct<track_name:string,devices:array<struct<device_name:string,device_type:string,parameters:array<struct<parameter_name:string,value:double>>>>>>, "
+    "samples array<string>, automation array<struct<parameter_name:string,track_name:string,points:array<struct<time:double,value:double>>>>, error string"
+)
+
 
 def merge_regions(regions: Column) -> Column:
     """Regions with one track name become one track with all their notes; empty tracks are dropped."""
@@ -263,24 +228,35 @@ def merge_regions(regions: Column) -> Column:
 
 
 def project_xml_extract(documents: DataFrame, dialect: str) -> DataFrame:
-    """Nested metadata of `documents(path, xml)`. Text that is no well-formed XML gets an `error`."""
+    """Nested metadata of `documents(path, xml)`. Text that is no well-formed XML gets an `error` and no parts."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect: {dialect}")
-    checked = F.from_xml(F.col("xml"), "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parts = DIALECTS[dialect](F.col("_text"))
+    read, fields = DIALECTS[dialect], T.StructType.fromDDL(PARTS).fields
+    names = [f.name for f in fields]
+    schema = T.StructType([documents.schema["path"], *fields])
+    arrow = to_arrow_schema(schema)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root = parse(xml)
+                parts = {"error": "not well-formed XML"} if root is None else {**read(root), "error": None}
+                rows.append({"path": path, **{n: parts.get(n) for n in names}})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    found = documents.select("path", "xml").mapInArrow(extract, schema)
     folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
-    resolved = F.transform(
-        F.filter(parts.pop("samples"), lambda p: p.isNotNull()),
+    samples = F.transform(
+        F.filter("samples", lambda p: p.isNotNull()),
         lambda p: F.struct(
             F.when(p.startswith("/"), p).otherwise(F.concat(folder, p)).alias("file_path"), F.regexp_extract(p, "([^/]+)/*$", 1).alias("sample_name")
         ),
     )
-    broken = F.col("xml").isNull() | checked["_corrupt"].isNotNull()
-    return (
-        documents.withColumn("error", F.when(broken, "not well-formed XML"))
-        .withColumn("_text", F.when(F.col("error").isNull(), F.regexp_replace("xml", r"(?s)<!--.*?-->|<\?.*?\?>", "")))
-        .select("path", F.lit(dialect).alias("project_type"), *[c.alias(n) for n, c in parts.items()], resolved.alias("samples"), "error")
-    )
+    tracks = merge_regions(F.col("midi_tracks")) if dialect == "logic" else F.col("midi_tracks")
+    parts = {n: F.col(n) for n in names} | {"midi_tracks": tracks, "samples": samples}
+    error = parts.pop("error")
+    return found.select("path", F.lit(dialect).alias("project_type"), *[c.alias(n) for n, c in parts.items()], error)
 
 
 # ---------------------------------------------------------------- D2 - D6

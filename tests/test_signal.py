@@ -1,6 +1,5 @@
 import math
 
-import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

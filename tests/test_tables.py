@@ -116,6 +116,20 @@ def test_broken_project(spark, xml):
     assert extract(spark, xml).first().error == "not well-formed XML"
 
 
+def test_nested_elements_and_brackets_in_attributes(spark):
+    """A device inside a device, a track inside a track, and a closing bracket in a name."""
+    xml = (
+        "<Ableton Creator='Live'><Track Name='a > b'><DeviceChain Name='outer'><Parameter Name='p' Value='1'/><DeviceChain Name='inner'>"
+        "<Parameter Name='q' Value='2'/></DeviceChain><Parameter Name='r' Value='3'/></DeviceChain><Track Name='sub'><AudioClip Name='c'/></Track></Track></Ableton>"
+    )
+    r = extract(spark, xml).first()
+    assert r.arrangement_tracks == ["a > b", "sub"]
+    chain = r.plugin_chains[0]
+    assert chain.track_name == "a > b" and [d.device_name for d in chain.devices] == ["outer", "inner"]
+    assert [[(p.parameter_name, p.value) for p in d.parameters] for d in chain.devices] == [[("p", 1.0), ("q", 2.0), ("r", 3.0)], [("q", 2.0)]]
+    assert [(c.clip_name, c.track_name) for c in r.clips] == [("c", "a > b"), ("c", "sub")]
+
+
 def test_note_defaults_and_bad_notes(spark):
     xml = "<A><MidiTrack><MidiClip><Note/><Note Note='x'/><Note Note='64' Velocity=\"9\" Time='1.5'/></MidiClip></MidiTrack><MidiTrack Name='B'/></A>"
     t = extract(spark, xml).first().midi_tracks
