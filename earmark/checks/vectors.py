@@ -15,10 +15,10 @@ from earmark.session import shared_folder
 
 K = 10
 PROBES = 3
-TABLES, BUCKET = 4, 0.25
+TABLES, WIDTH, BUCKET = 4, 2, 0.25
 INDEX_CONFIG = {"index_type": "flat", "metric": "cosine", "normalize": True}
 MODEL_CONFIG = {"embedding_dim": 64, "sample_rate": 44100, "segment_length": 10.0}
-PROJECTIONS = V.random_projections(64, TABLES)
+PROJECTIONS = V.random_projections(64, TABLES, WIDTH)
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -166,28 +166,45 @@ def knn_cosine_repeated_keys_blocked(spark, sf):
     return _repeated(spark, sf, broadcast_bytes=0, block_rows=512)
 
 
-def _slots(vector: str) -> str:
-    parts = ", ".join(
-        f"'{i}:' || CAST(floor(list_dot_product({vector}, [{', '.join(map(str, p))}]::DOUBLE[]) / {BUCKET}) AS BIGINT)"
-        for i, p in enumerate(PROJECTIONS)
-    )
-    return f"unnest([{parts}])"
+def _slots(vector: str, probes: int = 1) -> str:
+    """Slots of a vector in all tables: the cell along each direction, and for probes the nearest neighbours."""
+    parts = []
+    for i, table in enumerate(PROJECTIONS):
+        along = [f"list_dot_product({vector}, [{', '.join(map(str, d))}]::DOUBLE[]) / {BUCKET}" for d in table]
+        name = lambda moved, i=i, along=along: f"'{i}:' || " + " || ',' || ".join(f"CAST(floor({x}) + {moved.get(j, 0)} AS BIGINT)" for j, x in enumerate(along))
+        near = [f"{{'d': -1.0::DOUBLE, 'slot': {name({})}}}"]
+        for j, x in enumerate(along):
+            near += [f"{{'d': {x} - floor({x}), 'slot': {name({j: -1})}}}", f"{{'d': 1 - ({x} - floor({x})), 'slot': {name({j: 1})}}}"]
+        parts.append(f"list_sort([{', '.join(near)}])[1:{probes}]" if probes > 1 else f"[{near[0]}]")
+    return f"unnest([p.slot FOR p IN flatten([{', '.join(parts)}])])"
 
 
 P.add("q_slot", f"SELECT query_id, segment_idx, vector, {_slots('vector')} AS slot FROM uq")
 P.add("c_slot", f"SELECT cand_id, vector, {_slots('vector')} AS slot FROM cat")
 
 
-@register(
-    "ann_search",
-    f"SELECT query_id, segment_idx, cand_id, rank, {r6('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, segment_idx ORDER BY s DESC, cand_id) AS rank FROM ("
-    "SELECT q.query_id, q.segment_idx, c.cand_id, max((round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824)) AS s FROM q_slot q JOIN c_slot c USING (slot) GROUP BY ALL)) "
-    f"WHERE rank <= {K}",
-)
+P.add("q_probe", f"SELECT query_id, segment_idx, vector, {_slots('vector', 3)} AS slot FROM uq")
+
+
+def _ann_sql(slots: str) -> str:
+    return (
+        f"SELECT query_id, segment_idx, cand_id, rank, {r6('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, segment_idx ORDER BY s DESC, cand_id) AS rank FROM ("
+        f"SELECT q.query_id, q.segment_idx, c.cand_id, max((round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824)) AS s FROM {slots} q JOIN c_slot c USING (slot) GROUP BY ALL)) "
+        f"WHERE rank <= {K}"
+    )
+
+
+@register("ann_search", _ann_sql("q_slot"))
 def ann_search(spark, sf):
     return V.ann_search(_single(spark, sf), X.corpus(spark, sf), K, PROJECTIONS, BUCKET)
 
 
+@register("ann_search_probes", _ann_sql("q_probe"))
+def ann_search_probes(spark, sf):
+    """Each query looks into three cells of each table."""
+    return V.ann_search(_single(spark, sf), X.corpus(spark, sf), K, PROJECTIONS, BUCKET, probes=3)
+
+
 @register(
     "build_index",
     f"SELECT cand_id, split_part(cand_id, '_seg_', 1) AS track_id, len(vector) AS dimension, {r6('list_dot_product(vector, vector)')} AS squared_norm, "

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earmark.functions.columns import track_of_segment
-from earmark.operators.distribution import rank_within, runs
+from earmark.operators.distribution import join_hot, rank_within, runs
 from earmark.session import cut_lineage
 
 SEGMENT = ["query_id", "scale", "segment_idx"]
@@ -70,6 +70,11 @@ def to_track_grain(hits: DataFrame) -> DataFrame:
     )
 
 
+def _beside(rows: DataFrame, per_query: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
+    """Put what is known of each query beside its rows, which may be a large part of the table."""
+    return join_hot(rows, per_query, ["query_id"], F.col(spread_by), how)
+
+
 def top_hits(hits: DataFrame) -> DataFrame:
     """The best hit of each segment."""
     return hits.where(F.col("rank") == 1).select(
@@ -87,7 +92,7 @@ def segment_counts(hits: DataFrame) -> DataFrame:
 
 def _pass_threshold(tops: DataFrame, threshold: float | DataFrame, min_keep: float) -> DataFrame:
     if isinstance(threshold, DataFrame):
-        tops = tops.join(threshold.select("query_id", "threshold"), "query_id")
+        tops = _beside(tops, threshold.select("query_id", "threshold"), "segment_idx")
     else:
         tops = tops.withColumn("threshold", F.lit(float(threshold)))
     passes = F.col("top_similarity") >= F.col("threshold")
@@ -96,7 +101,7 @@ def _pass_threshold(tops: DataFrame, threshold: float | DataFrame, min_keep: flo
         .agg(F.count(F.lit(1)).alias("_n"), F.count_if(passes).alias("_kept"))
         .select("query_id", (F.col("_kept") < F.col("_n") * min_keep).alias("_keep_all"))
     )
-    return tops.join(fate, "query_id").where(passes | F.col("_keep_all")).drop("threshold", "_keep_all")
+    return _beside(tops, fate, "segment_idx").where(passes | F.col("_keep_all")).drop("threshold", "_keep_all")
 
 
 def _best_share(tops: DataFrame, ratio: float, floor: int) -> DataFrame:
@@ -155,7 +160,7 @@ def temporal_runs(hits: DataFrame, block: int = SEGMENT_BLOCK) -> DataFrame:
     lengths = found.groupBy("query_id", F.col("top_id").alias("cand_id")).agg(
         F.max("length").alias("longest_run"), F.sum("length").alias("total_run")
     )
-    return lengths.join(segment_counts(hits), "query_id").select(
+    return _beside(lengths, segment_counts(hits), "cand_id").select(
         *CANDIDATE,
         "longest_run",
         "total_run",
@@ -191,7 +196,7 @@ def aggregate_candidates(hits: DataFrame) -> DataFrame:
         F.max("similarity").alias("own_similarity"),
     )
     weighted = F.when(F.col("_w") > 0, F.col("_sw") / F.col("_w")).otherwise(F.col("avg_similarity"))
-    return votes.join(segment_counts(hits), "query_id").select(
+    return _beside(votes, segment_counts(hits), "cand_id").select(
         *CANDIDATE,
         "num_segments",
         "match_count",
@@ -311,7 +316,7 @@ def confidence(candidates: DataFrame) -> DataFrame:
     if "rerank_score" in candidates.columns:
         base = F.coalesce(F.least(F.lit(1.0), base + F.col("rerank_score") * 0.1), base)
     return (
-        candidates.join(lead, "query_id")
+        _beside(candidates, lead, "cand_id")
         .withColumn("confidence", F.when(F.col("_n") > 1, base).otherwise(0.5))
         .drop("_top", "_second", "_n")
     )
@@ -330,7 +335,7 @@ def min_confidence_filter(candidates: DataFrame, threshold: float) -> DataFrame:
         return candidates
     best = candidates.groupBy("query_id").agg(F.max("confidence").alias("_best"))
     keep = (F.col("confidence") >= threshold) | (F.col("_best") < threshold)
-    return candidates.join(best, "query_id").where(keep).drop("_best")
+    return _beside(candidates, best, "cand_id").where(keep).drop("_best")
 
 
 def unweighted(candidates: DataFrame) -> Column:
@@ -342,7 +347,7 @@ def similarity_gate(candidates: DataFrame, severities: DataFrame) -> DataFrame:
     """Keep candidates whose similarity suits the severity of the query; unknown counts as mild."""
     # Least similarity by severity.
     limit = F.when(F.col("severity") == "severe", 0.85).when(F.col("severity") == "moderate", 0.90).otherwise(0.95)
-    return candidates.join(severities.select("query_id", "severity"), "query_id", "left").where(
+    return _beside(candidates, severities.select("query_id", "severity"), "cand_id", "left").where(
         unweighted(candidates) >= limit
     )
 
@@ -424,7 +429,7 @@ def band_reweight(hits: DataFrame, ratios: DataFrame) -> DataFrame:
     after_low = F.when(F.col("low_ratio") > 0.6, F.least(F.lit(1.0), F.col("similarity") * low)).otherwise(F.col("similarity"))
     after_bass = F.when(F.col("bass_ratio") > 0.4, F.least(F.lit(1.0), after_low * bass)).otherwise(after_low)
     return (
-        hits.join(ratios.select("query_id", "low_ratio", "bass_ratio"), "query_id", "left")
+        _beside(hits, ratios.select("query_id", "low_ratio", "bass_ratio"), "cand_id", "left")
         .withColumn("similarity", after_bass)
         .drop("low_ratio", "bass_ratio")
     )
@@ -503,7 +508,7 @@ def confident_match(hits: DataFrame) -> DataFrame:
     # Limits of a clear lead.
     clear = ((r1 >= 0.8) & (best >= 0.90)) | (best >= 0.95) | ((mean >= 0.92) & (r1 >= 0.7))
     return (
-        led.join(segment_counts(hits), "query_id")
+        _beside(led, segment_counts(hits), "cand_id")
         .withColumn("rank_1_ratio", F.col("rank_1_count") / F.col("num_segments"))
         .withColumn("confidence", F.least(F.lit(1.0), mean * r1))
         .withColumn("confident", clear & (F.col("confidence") >= 0.95))

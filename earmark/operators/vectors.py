@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
@@ -408,42 +409,69 @@ def ivf_search(
 # ---------------------------------------------------------------- V5
 
 
-def random_projections(dim: int, tables: int, seed: int = 11) -> list[list[float]]:
-    """One unit direction for each hash table."""
-    directions = np.random.default_rng(seed).standard_normal((tables, dim))
-    return [[round(float(x), 6) for x in row / np.linalg.norm(row)] for row in directions]
+def slot_width(rows: int, slot_rows: int = BLOCK_ROWS) -> int:
+    """Directions that a slot combines, so that slots hold about `slot_rows` vectors however large the corpus is.
+
+    A direction parts unit vectors into about two slots of note.
+    """
+    return max(1, math.ceil(math.log2(max(1, rows) / slot_rows))) if rows > slot_rows else 1
+
+
+def random_projections(dim: int, tables: int, width: int = 1, seed: int = 11) -> list[list[list[float]]]:
+    """`width` unit directions for each hash table."""
+    directions = np.random.default_rng(seed).standard_normal((tables, width, dim))
+    return [[[round(float(x), 6) for x in row / np.linalg.norm(row)] for row in table] for table in directions]
 
 
 def ann_search(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
-    projections: Sequence[Sequence[float]],
+    projections: Sequence[Sequence[Sequence[float]]],
     bucket_length: float,
     metric: str = "cosine",
     block_rows: int = BLOCK_ROWS,
+    probes: int = 1,
 ) -> DataFrame:
-    """Approximate top `k`: candidates share a random-projection bucket with the query in at least one table."""
+    """Approximate top `k`: candidates share a random-projection slot with the query in at least one table.
+
+    A slot is the cell of a vector along all directions of a table together; `slot_width` says how many
+    directions suit a corpus. With more `probes` a query also looks into the cells next door, those
+    whose border along one direction is nearest first.
+    """
     numbered = _number(queries)
     keys = [*_query_keys(queries), ROW]
     schema = _hit_schema(numbered, keys, corpus)
+    literal = [[F.array(*map(F.lit, d)) for d in table] for table in projections]
 
-    def hashed(df: DataFrame) -> DataFrame:
-        unit = l2_normalize(df)
-        buckets = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("table"),
-                    F.floor(dot(F.col("vector"), F.array(*map(F.lit, p))) / bucket_length).alias("slot"),
-                )
-                for i, p in enumerate(projections)
-            ]
-        )
-        return unit.withColumn("_bucket", F.explode(buckets))
+    def moved(cells: Column, j: int, step: int) -> Column:
+        return F.transform(cells, lambda c, at: F.when(at == j, c + step).otherwise(c))
 
-    q, c = _bucket_blocks(hashed(numbered), keys, hashed(corpus.select("cand_id", "vector")), block_rows)
+    def named(slots: Column, i: int) -> Column:
+        return F.transform(slots, lambda s: F.struct(F.lit(i).alias("table"), s["cells"].alias("slot")))
+
+    def hashed(df: DataFrame, probes: int) -> DataFrame:
+        unit = l2_normalize(df)
+        buckets = []
+        for i, table in enumerate(literal):
+            along = F.array(*[dot(F.col("vector"), d) / bucket_length for d in table])
+            # Bound once: the cells, and how far inside its cell the vector is along each direction.
+            place = F.transform(along, lambda x: F.struct(F.floor(x).alias("cell"), (x - F.floor(x)).alias("inside")))
+            cells = F.transform(place, lambda p: p["cell"])
+            slots = F.array(F.struct(F.lit(-1.0).alias("d"), cells.alias("cells")))
+            if probes > 1:
+                inside = [F.get(place, F.lit(j))["inside"] for j in range(len(table))]
+                near = [
+                    F.struct((inside[j] if step < 0 else 1 - inside[j]).alias("d"), moved(cells, j, step).alias("cells"))
+                    for j in range(len(table)) for step in (-1, 1)
+                ]
+                slots = F.slice(F.array_sort(F.concat(slots, F.array(*near))), 1, probes)
+            buckets.append(named(slots, i))
+        return unit.withColumn("_bucket", F.explode(F.flatten(F.array(*buckets))))
+
+    q, c = _bucket_blocks(hashed(numbered, probes), keys, hashed(corpus.select("cand_id", "vector"), 1), block_rows)
     found = _blocked_topk(q, keys, c, schema, k, metric)
-    # A pair that met in several tables counts once.
+    # A pair that met in several tables or probes counts once.
     return _finish(found.groupBy(*keys, "cand_id").agg(F.max("score").alias("score")), k, metric)
 
 

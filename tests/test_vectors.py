@@ -81,9 +81,9 @@ def test_all_cells_equal_exact_search(data):
 
 def test_lsh_with_one_wide_bucket_equals_exact_search(data):
     queries, corpus = data
-    found = V.ann_search(queries, corpus, 6, [[0.0] * 7 + [1.0]], 1e6, block_rows=10)
+    found = V.ann_search(queries, corpus, 6, [[[0.0] * 7 + [1.0]]], 1e6, block_rows=10)
     # Products of one sign share a bucket, so repeat the search without the sign.
-    both = V.ann_search(queries, corpus, 6, [[0.0] * 8], 1e6, block_rows=10)
+    both = V.ann_search(queries, corpus, 6, [[[0.0] * 8]], 1e6, block_rows=10)
     assert grouped(both) == brute(queries, corpus, 6, "cosine")
     assert found.count() <= both.count()
 
