@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from earmark.functions.columns import track_of_segment, value_bin
-from earmark.operators.distribution import exact_quantiles
-from earmark.session import cut_lineage
+from earmark.functions.columns import track_of_segment
+from earmark.session import bound_batches, cut_lineage
 
 # Most bytes of vectors that may be sent to every task. Larger sides are split into blocks.
 BROADCAST_BYTES = 32 << 20
@@ -619,6 +619,56 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- V10
 
 
+# Scores of a pair are summed by bins of this width; only bins that a quantile or a share ends in are sorted.
+SCORE_BINS = 512.0
+
+_PAIR_KEY = "query_id", "track_id"
+
+
+def _packed_blocks(rows: DataFrame, key: str, out: str, block: int) -> DataFrame:
+    """The vectors of each block of segments, side by side in order: at most `block` of them."""
+    packed = F.array_sort(F.collect_list(F.struct(F.col("segment_idx").cast("bigint").alias("i"), F.col("vector").alias("v"))))
+    return rows.groupBy(key, F.expr(f"bigint(segment_idx div {block})").alias(f"_{out}b")).agg(packed.alias(f"_{out}"))
+
+
+def _block_scores(packed: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+    items = packed.values
+    return items.field("i").to_numpy(), _matrix(items.field("v"))
+
+
+def _products(names: Sequence[str], schema: T.StructType, by_bin: bool):
+    """Scores of all segments of two blocks: sums by bin, or, for the bins asked for, each score and its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in names}
+            for row in range(batch.num_rows):
+                (qi, q), (ti, t) = (_block_scores(batch.column(c)[row]) for c in ("_q", "_t"))
+                s = _scores(q, t, "ip").ravel()
+                bins = np.floor(s * SCORE_BINS).astype(np.int64)
+                if by_bin:
+                    order = np.lexsort((np.tile(ti, len(qi)), np.repeat(qi, len(ti)), -s))
+                    found, first, count = np.unique(bins[order], return_index=True, return_counts=True)
+                    at = np.searchsorted(found, bins)
+                    w = np.exp(2 * s)
+                    best = order[first]
+                    made = {
+                        "_bin": found, "_c": count, "_s": np.bincount(at, s), "_w": np.bincount(at, w), "_ws": np.bincount(at, w * s),
+                        "_max": s[best], "_bq": qi[best // len(ti)], "_bt": ti[best % len(ti)],
+                    }
+                else:
+                    hit = np.isin(bins, batch.column("_bins")[row].values.to_numpy())
+                    score, count = np.unique(s[hit], return_counts=True)
+                    made = {"_bin": np.floor(score * SCORE_BINS).astype(np.int64), "s": score, "_c": count}
+                for k in _PAIR_KEY:
+                    out[k] += [batch.column(k)[row].as_py()] * len(made["_bin"])
+                for n, values in made.items():
+                    out[n] += values.tolist()
+            yield pa.RecordBatch.from_pydict({n: out[n] for n in names}, schema=to_arrow_schema(schema))
+
+    return run
+
+
 def pair_similarity_matrix(
     pairs: DataFrame, queries: DataFrame, corpus: DataFrame, best_share: float = 0.2, block: int = 256
 ) -> DataFrame:
@@ -626,34 +676,37 @@ def pair_similarity_matrix(
 
     `pairs(query_id, track_id)`, `queries(query_id, segment_idx, vector)` and
     `corpus(track_id, segment_idx, vector)`. Both sides are cut into blocks of segments, so the
-    product of two long recordings spreads over tasks. Products go straight into partial sums by
-    score bin; only the scores of the bins that a quantile or the best share ends in are sorted.
+    product of two long recordings spreads over tasks. A product of two blocks is summed by score bin
+    where it is made; scores leave a task only for the few bins that the 95th percentile or the best
+    share ends in, and equal ones as one row.
     """
-    key = ["query_id", "track_id"]
-    last = lambda df, by, out: df.groupBy(by).agg(F.max(F.expr(f"segment_idx div {block}")).alias(out))
-    plan = pairs.select(*key).distinct().join(last(queries, "query_id", "_ql"), "query_id").join(last(corpus, "track_id", "_tl"), "track_id")
-    blocks = plan.withColumn("_qb", F.explode(F.expr("sequence(0L, bigint(_ql))"))).withColumn(
-        "_tb", F.explode(F.expr("sequence(0L, bigint(_tl))"))
-    ).drop("_ql", "_tl")
-    q = queries.select("query_id", F.expr(f"bigint(segment_idx div {block})").alias("_qb"), F.col("segment_idx").alias("query_segment"), F.col("vector").alias("_qv"))
-    t = corpus.select("track_id", F.expr(f"bigint(segment_idx div {block})").alias("_tb"), F.col("segment_idx").alias("track_segment"), F.col("vector").alias("_tv"))
-    sims = (
-        blocks.join(q, ["query_id", "_qb"]).join(t, ["track_id", "_tb"])
-        .select(*key, "query_segment", "track_segment", (F.round(dot(F.col("_qv"), F.col("_tv")) * SCORE_GRID) / SCORE_GRID).alias("s"))
-        .withColumn("_bin", value_bin(F.col("s")))
+    bound_batches(pairs.sparkSession)
+    key = list(_PAIR_KEY)
+    blocks = (
+        pairs.select(*key).distinct()
+        .join(_packed_blocks(queries, "query_id", "q", block), "query_id")
+        .join(_packed_blocks(corpus, "track_id", "t", block), "track_id")
+        .select(*key, "_q", "_t")
     )
-    weight = F.exp(F.col("s") * 2)
-    best_pair = F.max(F.struct("s", (-F.col("query_segment")).alias("q"), (-F.col("track_segment")).alias("t")))
-    bins = sims.groupBy(*key, "_bin").agg(
-        F.count(F.lit(1)).alias("_c"), F.sum("s").alias("_s"), F.sum(weight).alias("_w"),
-        F.sum(weight * F.col("s")).alias("_ws"), best_pair.alias("_best"),
+    fields = [pairs.schema[k] for k in key] + [T.StructField("_bin", T.LongType())]
+    doubles = lambda *names: [T.StructField(n, T.DoubleType()) for n in names]
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    summed = T.StructType([*fields, *longs("_c"), *doubles("_s", "_w", "_ws", "_max"), *longs("_bq", "_bt")])
+    best = F.max(F.struct(F.col("_max").alias("s"), (-F.col("_bq")).alias("q"), (-F.col("_bt")).alias("t"))).alias("_best")
+    bins = blocks.mapInArrow(_products(summed.fieldNames(), summed, True), summed).groupBy(*key, "_bin").agg(
+        *[F.sum(c).alias(c) for c in ("_c", "_s", "_w", "_ws")], best
     )
     group = W.partitionBy(*key)
-    ranked = (
+    # Places count from the highest score, from 0. The percentile lies between two places of the ascending order.
+    place = (F.col("_n") - 1) * 0.95
+    holds = lambda at: (at >= F.col("_above")) & (at < F.col("_above") + F.col("_c"))
+    ranked = cut_lineage(
         bins.withColumn("_n", F.sum("_c").over(group))
         .withColumn("_above", F.coalesce(F.sum("_c").over(group.orderBy(F.col("_bin").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_k", F.greatest(F.lit(1), (F.col("_n") * best_share).cast("bigint")))
-        .withColumn("_take", F.least(F.col("_c"), F.col("_k") - F.col("_above")))
+        .withColumn("_take", F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_k") - F.col("_above"))))
+        .withColumn("_low", F.col("_n") - 1 - F.floor(place)).withColumn("_high", F.col("_n") - 1 - F.ceil(place))
+        .withColumn("_cut", ((F.col("_take") > 0) & (F.col("_take") < F.col("_c"))) | holds(F.col("_low")) | holds(F.col("_high")))
     )
     whole = F.col("_take") == F.col("_c")
     base = ranked.groupBy(*key).agg(
@@ -662,26 +715,32 @@ def pair_similarity_matrix(
         F.max("_best").alias("_best"),
         F.coalesce(F.sum(F.when(whole, F.col("_w"))), F.lit(0.0)).alias("_w"),
         F.coalesce(F.sum(F.when(whole, F.col("_ws"))), F.lit(0.0)).alias("_ws"),
+        F.max(place - F.floor(place)).alias("_part"),
     )
-    cut = ranked.where((F.col("_take") > 0) & ~whole).select(*key, "_bin", "_take")
-    # Equal scores are counted, so a bin full of ties stays one row.
+    cut = ranked.where("_cut").select(*key, "_bin", "_c", "_above", "_take", "_low", "_high")
+    exact = T.StructType([*fields, *doubles("s"), *longs("_c")])
+    wanted = cut.groupBy(*key).agg(F.collect_list("_bin").alias("_bins"))
+    scores = blocks.join(wanted, key).mapInArrow(_products(exact.fieldNames(), exact, False), exact).groupBy(*key, "_bin", "s").agg(F.sum("_c").alias("_m"))
     upto = W.partitionBy(*key, "_bin").orderBy(F.col("s").desc())
-    used = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_take") - F.col("_upto") + F.col("_c")))
+    weight = F.exp(F.col("s") * 2)
+    before = F.col("_upto") - F.col("_m")
+    used = F.when(F.col("_take") < F.col("_c"), F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_take") - before))).otherwise(0)
+    here = lambda at: (at - F.col("_above") >= before) & (at - F.col("_above") < F.col("_upto"))
     border = (
-        sims.join(cut, [*key, "_bin"])
-        .groupBy(*key, "_bin", "_take", "s").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(upto))
-        .groupBy(*key).agg(F.sum(weight * used).alias("_bw"), F.sum(weight * F.col("s") * used).alias("_bws"))
+        scores.join(cut, [*key, "_bin"]).withColumn("_upto", F.sum("_m").over(upto))
+        .groupBy(*key).agg(
+            F.sum(weight * used).alias("_bw"), F.sum(weight * F.col("s") * used).alias("_bws"),
+            F.max(F.when(here(F.col("_low")), F.col("s"))).alias("_ls"), F.max(F.when(here(F.col("_high")), F.col("s"))).alias("_hs"),
+        )
     )
-    p95 = exact_quantiles(sims, key, "s", {"p95_similarity": 0.95})
-    joined = base.join(border, key, "left").join(p95, key)
-    top = (F.col("_ws") + F.coalesce("_bws", F.lit(0.0))) / (F.col("_w") + F.coalesce("_bw", F.lit(0.0)))
+    joined = base.join(border, key)
+    top = (F.col("_ws") + F.col("_bws")) / (F.col("_w") + F.col("_bw"))
     return joined.select(
         *key,
         "pairs",
         F.col("_best.s").alias("max_similarity"),
         "mean_similarity",
-        "p95_similarity",
+        (F.col("_ls") + (F.col("_hs") - F.col("_ls")) * F.col("_part")).alias("p95_similarity"),
         top.alias("weighted_top_similarity"),
         (-F.col("_best.q")).alias("best_query_segment"),
         (-F.col("_best.t")).alias("best_track_segment"),

@@ -44,6 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def bound_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Let Arrow batches end at `limit` bytes, for rows that hold many vectors. A smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and go on from the files.
 

@@ -157,8 +157,9 @@ def test_one_very_long_query(spark):
 
 def test_store_limit_and_summary(spark, hits):
     done = Q.fuse(hits)
-    stored = Q.store_limit(done, 1).first()
+    stored = Q.store_limit(done).first()
     assert [e["rank"] for e in stored.top_candidates] == [1, 2, 3]
+    assert [e["rank"] for e in Q.store_limit(done, 1).first().top_candidates] == [1]
     asked = spark.createDataFrame([("q",), ("nothing",)], "query_id string")
     rows = {r.query_id: r for r in Q.top_match_summary(asked, done).collect()}
     assert (rows["nothing"].top_match_id, rows["nothing"].top_match_similarity, rows["nothing"].top_match_rank) == (None, 0.0, -1)
