@@ -564,11 +564,23 @@ def _played(samples: DataFrame, speed: float, preserve_pitch: bool | str, block:
     return speed_resample(samples, speed, block)
 
 
+def _typed(value: object) -> object:
+    """Numbers of a plan come as text; other text stays."""
+    if not isinstance(value, str):
+        return value
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            continue
+    return value
+
+
 def apply_chain(
     samples: DataFrame, steps: Sequence[Mapping[str, object]], sample_rate: int = SAMPLE_RATE, block: int = BLOCK,
     overlays: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Apply `{type, params}` steps in order.
+    """Apply `{type, params}` steps in order, as `plans.variants` gives them; numbers may be text.
 
     `overlays` has the signals that `overlay_vocals` steps name as `overlay_path`. Registered
     transforms are known too. Known steps that are left out of this library raise an error; types
@@ -608,7 +620,8 @@ def apply_chain(
         if transform is None:
             continue
         # Most steps read their input more than once.
-        out = transform(cut_lineage(out) if applied else out, **dict(step.get("params") or {}))
+        given = {k: _typed(v) for k, v in dict(step.get("params") or {}).items()}
+        out = transform(cut_lineage(out) if applied else out, **given)
         applied += 1
     return out
 

@@ -191,3 +191,11 @@ def test_chain_refuses_what_it_cannot_do(spark):
     with pytest.raises(ValueError):
         A.apply_chain(s, [{"type": "overlay_vocals", "params": {"overlay_path": "none"}}])
     assert A.apply_chain(s, [{"type": "nobody_knows"}]).count() == 5
+
+
+def test_steps_of_a_plan_have_numbers_as_text(spark):
+    s = spark.createDataFrame([("t", i, 0.01 * i) for i in range(50)], "track_id string, idx long, value double")
+    steps = [{"type": "gain", "params": {"db": -6.0}}, {"type": "add_noise", "params": {"snr_db": 20, "noise_type": "white", "seed": 3}}]
+    text = [{**step, "params": {k: str(v) for k, v in step["params"].items()}} for step in steps]
+    first, second = ({r.idx: r.value for r in A.apply_chain(s, x, 10).collect()} for x in (steps, text))
+    assert second == pytest.approx(first)

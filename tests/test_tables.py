@@ -66,11 +66,12 @@ def test_variant_ids_are_unique_and_short(spark):
     assert {r.severity for r in rows} == {"moderate"}
 
 
-def test_matrix_files(tmp_path):
+def test_matrix_files(spark, tmp_path):
     config = {"transforms": {"gain": {"enabled": True, "parameters": [{"db": -3, "severity": "mild"}]}}}
     (tmp_path / "m.json").write_text(json.dumps(config))
     (tmp_path / "m.yaml").write_text("transforms:\n  gain:\n    enabled: true\n    parameters:\n      - db: -3\n        severity: mild\n")
     read = [T.matrix_entries(T.read_matrix(str(tmp_path / f"m.{e}"))) for e in ("json", "yaml")]
+    assert T.matrix_entries(T.read_matrix(str(tmp_path / "m.json"), spark)) == read[0]
     assert read[0] == read[1] and read[0][0]["params"] == {"db": "-3"}
 
 
