@@ -124,7 +124,7 @@ class _Best:
         self.found: pa.Table | None = None
 
     def offer(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        if not len(vectors):
+        if not len(vectors) or not len(self.q):
             return
         c = _unit(vectors) if self.metric == "cosine" else vectors
         parts = [self.found] if self.found is not None else []

@@ -26,7 +26,7 @@ def test_recall_falls_with_severity(spark, tmp_path, config):
 
 def test_project_criteria_filter_candidates(spark):
     projects = spark.createDataFrame([("track1", "ableton", 5, 1, 0)], "track_id string, project_type string, total_notes int, midi_tracks int, automation_tracks int")
-    found = match(X.queries(spark, SF).where("query_id = 'track1_m16'"), X.corpus(spark, SF), MatchConfig(project_criteria={"min_notes": 10}), projects=projects)
+    found = match(X.queries(spark, SF).where("query_id = 'track1_m60'"), X.corpus(spark, SF), MatchConfig(project_criteria={"min_notes": 10}), projects=projects)
     assert found.count() > 0 and found.where("cand_id = 'track1'").count() == 0
 
 

@@ -184,3 +184,10 @@ def test_depth_of_restricted_search(data):
     segments = {r.query_id: r["count"] for r in queries.groupBy("query_id").count().collect()}
     assert all(r["rank"] <= V.search_depth(segments[r.query_id], corpus.count()) for r in deep.collect())
     assert deep.count() >= V.restricted_search(queries, corpus, tracks, 5).count()
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 5}])
+def test_searches_of_nothing_and_in_nothing_are_empty(data, options):
+    queries, corpus = data
+    assert V.knn(queries.limit(0), corpus, 3, **options).count() == 0
+    assert V.knn(queries, corpus.limit(0), 3, **options).count() == 0
