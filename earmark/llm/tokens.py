@@ -265,6 +265,8 @@ def write_files(documents: DataFrame, vocabulary: str, path: str, end_id: int =
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Files are read when all are written; a worker that is used again lets its tokenizer go.
+    _cache.cache_clear()
     for batch in batches:
         for content in batch.column(0):
             file = TokenFile(content.as_py())
