@@ -315,7 +315,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     Null and empty texts have no words. Repeated rows of one id don't count against each other.
     Documents with a null id have no order: they are returned whole, and nothing is removed for
     them. Extra columns are ignored, an empty table gives an empty one. Memory of a task is bounded
-    by the larger of 1 MB and its longest text, and by the blocks of a slice.
+    by the larger of half a megabyte and its longest text, and by the blocks of a slice.
     """
     bound_batches(documents.sparkSession)
     docs = take_columns(documents, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
