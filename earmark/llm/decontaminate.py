@@ -107,6 +107,26 @@ def longest_overlap(equal: np.ndarray, share: float = SHARE) -> tuple[int, int]:
     return int(same[best]), int(same[end[best]]) + 1
 
 
+def extended_overlap(equal: np.ndarray, least: int, share: float = SHARE) -> tuple[int, int]:
+    """Longest run from an equal word to an equal word that is part of `least` or more words of which `share` are equal.
+
+    The words around the run may differ, but must lie in `equal`. (0, 0) if there is none; of runs of
+    one length the first is taken.
+    """
+    a, b = longest_overlap(equal, share)
+    if b - a >= least or len(equal) < least:
+        return (a, b) if b - a >= least else (0, 0)
+    # All runs are shorter, so exactly `least` words around one decide.
+    sums = np.append(0, np.cumsum(equal))
+    at = np.flatnonzero(1000 * (sums[least:] - sums[:-least]) >= round(1000 * share) * least)
+    if not len(at):
+        return 0, 0
+    same = np.flatnonzero(equal)
+    start, end = same[sums[at]], same[sums[at + least] - 1] + 1
+    best = int(np.argmax(end - start))
+    return int(start[best]), int(end[best])
+
+
 def overlaps(block: TestBlock, values: np.ndarray, first: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, word in document, word in item, words, equal words) of verified overlaps."""
     p, q = block.hits(values, doc)
@@ -119,8 +139,8 @@ def overlaps(block: TestBlock, values: np.ndarray, first: np.ndarray, doc: np.nd
         lo = max(int(block.first[i]), int(first[d]) - shift)
         hi = min(int(block.first[i + 1]), int(first[d + 1]) - shift)
         equal = block.values[lo:hi] == values[lo + shift : hi + shift]
-        a, b = longest_overlap(equal)
-        if b - a >= min(OVERLAP, int(block.first[i + 1] - block.first[i])):
+        a, b = extended_overlap(equal, min(OVERLAP, int(block.first[i + 1] - block.first[i])))
+        if b > a:
             found.append((d, i, lo + a + shift - int(first[d]), lo + a - int(block.first[i]), b - a, int(equal[a:b].sum())))
     return found
 
@@ -145,8 +165,9 @@ def find_overlaps(
     """`(doc_id, item_id, doc_word, item_word, n_words, n_equal)`: verified overlaps of whole texts.
 
     Words are runs of letters and digits in lower case. An overlap pairs words one to one, has at
-    least 13 words (all of a shorter item) and 80 % equal ones; each diagonal of a document and an
-    item gives its longest. Items go to the tasks in blocks of at most `block_words` words, each a
+    least 13 words (all of a shorter item) and 80 % equal ones, the first and last of which may be
+    unequal; each diagonal of a document and an item gives its longest. It is reported from its first
+    to its last equal word, so `n_words` may be less than 13. Items go to the tasks in blocks of at most `block_words` words, each a
     pass over the documents, so neither table is ever held whole.
 
     Null and empty texts, items without words and items with a null id overlap with nothing.

@@ -186,6 +186,30 @@ def test_longest_overlap_equals_brute_force():
         assert decontaminate.longest_overlap(equal) == longest_plain(equal.tolist())
 
 
+def test_substitutions_at_any_place_leave_an_overlap():
+    """Items of 4 to 20 words with one and two words replaced, in a document and at its ends, against all windows."""
+    from itertools import combinations
+
+    for n in range(4, 21):
+        item = np.arange(n)
+        for bad in [c for k in (1, 2) for c in combinations(range(n), k)]:
+            for before, after in ((0, 0), (3, 4), (0, 9)):
+                equal = np.ones(n, bool)
+                equal[list(bad)] = False
+                least = min(decontaminate.OVERLAP, n)
+                runs = [(i, j) for i in range(n) for j in range(i + least, n + 1) if 5 * equal[i:j].sum() >= 4 * (j - i)]
+                a, b = decontaminate.extended_overlap(equal, least)
+                assert (b > a) == bool(runs), (n, bad)
+                # The found run is the longest that some window leaves between its equal words.
+                trimmed = [np.flatnonzero(equal[i:j])[[0, -1]] + i for i, j in runs]
+                assert b - a == max([int(y - x) + 1 for x, y in trimmed], default=0), (n, bad)
+                block = decontaminate.TestBlock([1], [" ".join(f"b{x}" for x in item)])
+                text = ["p"] * before + [f"b{x}" if e else "other" for x, e in zip(item, equal)] + ["p"] * after
+                words, values = decontaminate.words_of(decontaminate.pa.array([" ".join(text)]))
+                found = decontaminate.overlaps(block, values, words.first, words.doc)
+                assert {r[2:5] for r in found} <= {(before + a, a, b - a)} and (not runs or found or n < 7), (n, bad)
+
+
 def test_masks_catch_two_substitutions_in_thirteen_words():
     from itertools import combinations
 
