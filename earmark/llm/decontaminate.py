@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from earmark.llm.jobs import bound_batches, take_columns
 from earmark.llm.words import LOOSE, Words, chunks, mix, utf8
 
-# Any 13 words with two substitutions, wherever they are, match under one of the long masks; any 10
-# words with two match under one of the short masks, which are for items of fewer than 13 words.
-LONG = ("11101011", "11001111")
-SHORT = ("11101", "1111")
+# Any run of words that SHARE accepts matches under one of the masks, wherever its substitutions are:
+# 13 words or more under a long mask; items of 4 to 12 words, which match as a whole, under a short one.
+# Runs of 13 words with 2 substitutions, 15 with 3, 20 with 4 and 25 with 5 show it for all: any other
+# accepted run holds one of these, as one of two parts of 13 words or more is accepted too.
+LONG = ("11101011", "11001111", "111001000101", "1110111")
+SHORT = ("11101", "1111", "11011", "10111")
 OVERLAP = 13
 SHARE = 0.8
 # Benchmark words that are sent to the tasks at once; a larger benchmark is taken in blocks.

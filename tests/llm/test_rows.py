@@ -218,6 +218,57 @@ def test_masks_catch_two_substitutions_in_thirteen_words():
             assert any(all(m[i] == "0" or o + i not in bad for i in range(len(m))) for m in masks for o in range(n - len(m) + 1))
 
 
+def test_masks_catch_every_run_that_the_share_accepts():
+    from itertools import combinations
+
+    def missed(masks, n, k):
+        used = [sum(1 << o + i for i, c in enumerate(m) if c == "1") for m in masks for o in range(n - len(m) + 1)]
+        return [bad for bad in combinations(range(n), k) if all(u & sum(1 << i for i in bad) for u in used)]
+
+    for n in (*range(13, 21), 25):
+        assert missed(decontaminate.LONG, n, n // 5) == [], n
+    for n in range(4, 13):
+        assert missed(decontaminate.SHORT, n, n // 5) == [], n
+
+
+def diagonal_overlaps(docs, items):
+    """(doc, item, word in document, word in item) of every diagonal with a window that the rule accepts."""
+    found = set()
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            least = min(13, len(item))
+            for shift in range(-len(item), len(text)):
+                lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+                equal = [item[q] == text[q + shift] for q in range(lo, hi)]
+                if any(5 * sum(equal[a:b]) >= 4 * (b - a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1)):
+                    found.add((d, i, shift))
+    return found
+
+
+def test_overlaps_equal_a_search_of_all_diagonals(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [rng.choices(vocabulary, k=n) for n in (*range(1, 26), 40)]
+    docs = []
+    for item in items * 4:
+        # A passage of the item with substitutions near the limit, amid other words or at an end.
+        a = rng.randrange(max(1, len(item) - 14)) if rng.random() < 0.5 else 0
+        part = list(item[a : a + rng.randint(13, 25)] if rng.random() < 0.5 else item)
+        for k in rng.sample(range(len(part)), min(len(part), max(0, len(part) // 5 + rng.choice([-1, 0, 0, 0, 1])))):
+            part[k] = "other"
+        docs.append(rng.choices(vocabulary, k=rng.choice([0, 0, 1, 20])) + part + rng.choices(vocabulary, k=rng.choice([0, 0, 1, 20])))
+    want = diagonal_overlaps(docs, items)
+    # Runs of 15, 20 and 25 words whose substitutions hit every window of 13.
+    for n, bad in ((15, (2, 5, 7)), (17, (5, 7, 9)), (5, (1,)), (6, (2,))):
+        items.append([f"u{n}x{i}" for i in range(n)])
+        docs.append([("other" if i in bad else w) for i, w in enumerate(items[-1])])
+        want.add((len(docs) - 1, len(items) - 1, 0))
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], f"{key} long, text string")
+    got = decontaminate.find_overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id, r.doc_word - r.item_word) for r in got} == want and len(got) == len(want)
+    assert 70 < len(want)
+
+
 def test_overlaps_with_substitutions(spark):
     item = [f"b{i}" for i in range(30)]
     near = list(item)
