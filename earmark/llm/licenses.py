@@ -8,6 +8,8 @@ the exact differences in wording between the region and the template.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -121,53 +123,95 @@ class Scanner:
         ranked = sorted(((alone - g, alone, g, t) for g, t in zip(given, self.templates)), key=lambda x: -x[0])
         return [x for x in ranked if x[0] >= max(1, SAVING * alone)]
 
-    def confirm(self, template: Template, text: str, near: int) -> tuple[int, int, int, int] | None:
-        """Where the template's wording stands around `near`, with missing and added words."""
-        lo, hi = max(0, near - 2 * len(template.text)), near + 3 * len(template.text)
+    def confirm(self, template: Template, text: str, start: int, end: int) -> tuple[int, int, int, int] | None:
+        """Where the template's wording stands around a block, with missing and added words."""
+        size = len(template.text)
+        # A long block is read from its start on; its other parts are blocks of their own.
+        lo, hi = max(0, start - 2 * size), start + 3 * size
+        if end - start <= 4 * NARROW:
+            hi = max(hi, end + size)
         words = _words(text[lo:hi])
-        match = SequenceMatcher(None, template.words, [w for w, _, _ in words], autojunk=False)
-        runs = [r for r in match.get_matching_blocks() if r.size]
-        if not runs:
+        got = self._match(template, [w for w, _, _ in words], 0)
+        if got is None:
+            return None
+        first, last, missing, added = got
+        return lo + words[first][1], lo + words[last - 1][2], missing, added
+
+    def _match(self, template: Template, words: list[str], at: int) -> tuple[int, int, int, int] | None:
+        """First and last word of a place with the template's wording; the place with the longest run is tried first."""
+        want = len(template.words)
+        slack = max(2, int(TOLERANCE * want))
+        least = want - int(TOLERANCE * want)
+        if not template.telling <= set(words) or (Counter(template.words) & Counter(words)).total() < least:
+            return None
+        match = SequenceMatcher(None, template.words, words, autojunk=False)
+        main = match.find_longest_match()
+        # Missing and added words part a notice into so many runs at most.
+        if main.size * (want - least + slack + 1) < least:
             return None
         # Runs far from the longest one belong to another place.
-        main = max(runs, key=lambda r: r.size)
-        slack = max(2, int(TOLERANCE * len(template.words)))
-        runs = [r for r in runs if abs((r.b - main.b) - (r.a - main.a)) <= slack]
+        a, b = max(0, main.b - main.a - slack), main.b - main.a + want + slack
+        match.set_seq2(words[a:b])
+        runs = [r for r in match.get_matching_blocks() if r.size and abs((r.b + a - main.b) - (r.a - main.a)) <= slack]
         have = {template.words[r.a + i] for r in runs for i in range(r.size)}
-        missing = len(template.words) - sum(r.size for r in runs)
-        first, last = runs[0].b, runs[-1].b + runs[-1].size
+        missing = want - sum(r.size for r in runs)
+        first, last = runs[0].b + a, runs[-1].b + runs[-1].size + a
         added = (last - first) - sum(r.size for r in runs)
-        if missing > TOLERANCE * len(template.words) or added > slack or not template.telling <= have:
-            return None
-        return lo + words[first][1], lo + words[last - 1][2], missing, added
+        if missing > TOLERANCE * want or added > slack or not template.telling <= have:
+            # Another place has no run as long; it lies before or behind this one.
+            return self._match(template, words[: main.b], at) or self._match(template, words[main.b + main.size :], at + main.b + main.size)
+        return at + first, at + last, missing, added
 
     def _found(self, around: str, start: int, end: int) -> tuple:
         for saving, alone, given, template in self.rank(around[start:end]):
-            if (at := self.confirm(template, around, start)) is not None:
+            if (at := self.confirm(template, around, start, end)) is not None:
                 return template.name, *at, saving, alone, given
         return ()
 
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, missing, added, saving, bytes alone, bytes given) of confirmed notices."""
-        found, done = [], 0
-        for a, b in self.blocks(text):
-            if b <= done:
-                continue
-            whole = self.longer(text, a, b)
-            tries = [(a, whole), (a, b)] if whole > b else [(a, b)]
-            if b - a > 2 * NARROW:  # no sentence ends nearby: narrow windows around the licensing words
-                tries += [(max(a, m.start() - NARROW), min(b, m.end() + NARROW)) for m in TRIGGER.finditer(text, a, b)]
-            for x, y in tries:
-                lo = max(0, x - self.reach)
-                got = self.cached(text[lo : y + self.reach], x - lo, y - lo)
+        found: list[tuple] = []
+        for block in self.blocks(text):
+            parts = self.free(found, *block)
+            while parts:
+                a, b = parts.pop()
+                got = self.first(text, a, b, found)
                 if got:
-                    name, s, e, *rest = got
-                    if s + lo >= done:
-                        found.append((name, s + lo, e + lo, *rest))
-                        done = e + lo
-                    break
+                    # What the notice leaves of the part may hold others.
+                    insort(found, got, key=lambda f: f[1])
+                    parts += self.free(found, a, b)
         return found
 
+    @staticmethod
+    def free(found: list[tuple], a: int, b: int) -> list[tuple[int, int]]:
+        """The parts of a stretch that no found notice covers."""
+        out = []
+        for _, s, e, *_ in found[max(0, bisect_left(found, a, key=lambda f: f[1]) - 1) :]:
+            if s >= b:
+                break
+            if a < s:
+                out.append((a, s))
+            a = max(a, e)
+        return [*out, (a, b)] if a < b else out
+
+    def first(self, text: str, a: int, b: int, found: list[tuple]) -> tuple:
+        """A notice in or around a part of a block, between the notices found before and behind it; () if none."""
+        if not TRIGGER.search(text, a, b):
+            return ()
+        i = bisect_left(found, a, key=lambda f: f[1])
+        low, high = found[i - 1][2] if i else 0, found[i][1] if i < len(found) else len(text)
+        whole = min(high, self.longer(text, a, b))
+        tries = [(a, whole), (a, b)] if whole > b else [(a, b)]
+        if b - a > 2 * NARROW:  # no sentence ends nearby: narrow windows around the licensing words
+            tries += [(max(a, m.start() - NARROW), min(b, m.end() + NARROW)) for m in TRIGGER.finditer(text, a, b)]
+        for x, y in tries:
+            lo = max(low, x - self.reach)
+            got = self.cached(text[lo : min(high, y + self.reach)], x - lo, y - lo)
+            if got:
+                name, s, e, *rest = got
+                return name, s + lo, e + lo, *rest
+        return ()
+
     def longer(self, text: str, a: int, b: int) -> int:
         """End of the block when it may be the beginning of a long notice: the words of one start here."""
         head = [w for w, _, _ in _words(text[a : min(b, a + 200)])][:8]
@@ -183,6 +227,7 @@ RESULT = "doc_id long, license string, start long, end long, n_missing long, n_a
 def find_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row for each confirmed notice in whole texts, in code points, end exclusive.
 
+    A sentence or line may hold several notices, equal or different ones; notices don't overlap.
     Columns: `doc_id, license, start, end`; words of the template that are missing or replaced, and words
     added; compressed bytes of the block alone, given the template, and their difference. Equal savings
     go to the template that stands first. A notice whose telling words (names, versions) differ isn't

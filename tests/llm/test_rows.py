@@ -116,6 +116,27 @@ def test_wording_decides():
     assert scanner.scan("This work is licensed under the GNU General Public License, version 7. We have a license to sell.") == []
 
 
+def test_all_notices_of_a_sentence_and_of_neighbouring_lines():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    mit = licenses.TEMPLATES["MIT"]
+    changed = mit.replace("free of charge", "for free").replace("sublicense, ", "")
+    filler = " ".join(f"word{i}" for i in range(60))
+    for text, want in [
+        ("The code is released under the MIT License, docs licensed under CC BY 4.0 and figures licensed under CC BY-SA 4.0.", ["MIT line", "CC-BY-4.0", "CC-BY-SA-4.0"]),
+        ("Text licensed under CC BY 4.0, figures licensed under CC BY 4.0 and data licensed under CC BY 4.0.", ["CC-BY-4.0"] * 3),
+        ("Fig. 1. Licensed under CC BY 4.0.\nFig. 2. Licensed under CC BY 4.0.\nLicensed under CC BY 4.0.\n", ["CC-BY-4.0"] * 3),
+        ("Licensed under CC BY 4.0.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", ["CC-BY-4.0", "MIT line", "CC-BY-NC-4.0"]),
+        (f"{filler} licensed under CC BY 4.0 {filler} released under the MIT License {filler} licensed under CC BY 4.0 {filler}", ["CC-BY-4.0", "MIT line", "CC-BY-4.0"]),
+        ("All figures and tables, the photographs and the other material of this volume that the authors made are licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        (f"{mit}\n{mit}\n\n{mit}", ["MIT"] * 3),
+        (f"{changed} {changed}\n{mit}", ["MIT"] * 3),
+        ("Licensed under CC BY 4.0. " * 300, ["CC-BY-4.0"] * 300),
+    ]:
+        found = scanner.scan(text)
+        assert [f[0] for f in found] == want, (text[:80], [f[:3] for f in found])
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
 def test_licenses_of_documents(spark, documents, empty):
     got = licenses.find_licenses(documents).collect()
     lines = {
