@@ -12,18 +12,18 @@ from earmark.llm.queries import table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Rows that the quality rules reject go."""
     return quality.passing(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One row of each group of near-duplicates stays."""
+    return simhash.one_row_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
-    return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that overlap with a benchmark item go."""
+    return decontaminate.rows_without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,3 +201,30 @@ def without_overlaps(documents: DataFrame, benchmark: DataFrame, doc_id: str = "
     """Documents that overlap with no benchmark item; all columns stay. Rows with a null id stay."""
     bad = find_overlaps(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_leaked")).distinct()
     return documents.join(bad, documents[doc_id] == bad["_leaked"], "left_anti")
+
+
+def rows_without_overlaps(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Rows whose own text overlaps with no benchmark item, by the rule of `find_overlaps`; all columns stay.
+
+    Ids don't matter: a row with a null id goes like any other, and rows that share an id stay or go
+    alone. Rows pass the blocks of the benchmark one after another and aren't shuffled.
+    """
+    spark = documents.sparkSession
+    bound_batches(spark)
+    clean = documents
+    for block in _blocks(benchmark, item_id, item_text, block_words):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, _, _ in chunks(batch, text):
+                    words, values = words_of(part.column(part.schema.get_field_index(text)))
+                    stays = np.ones(part.num_rows, bool)
+                    stays[[row[0] for row in overlaps(shared.value, values, words.first, words.doc)]] = False
+                    yield part.filter(pa.array(stays))
+
+        clean = clean.mapInArrow(search, documents.schema)
+    return clean

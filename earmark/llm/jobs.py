@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from earmark.llm.words import chunks
 from earmark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "bound_batches", "input_bytes", "deal", "take_columns"]
+__all__ = ["cut_lineage", "shared_folder", "bound_batches", "input_bytes", "deal", "take_columns", "with_measures"]
 
 BATCH_BYTES = 16 << 20
 
@@ -61,3 +66,20 @@ def deal(df: DataFrame, *keys: str) -> DataFrame:
 def take_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under inner names; other columns can't clash with those of an operator."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def with_measures(documents: DataFrame, text: str, names: list[str], measure: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], **limit: int) -> DataFrame:
+    """The rows of `documents` as they are, with whole numbers measured on each text beside them.
+
+    `measure` takes the bytes of some texts and their offsets. Rows need no key, and none is told from
+    its id. `limit` is that of `chunks`.
+    """
+    bound_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch, text, **limit):
+                added = [pa.array(np.asarray(v).astype(np.int64)) for v in measure(data, offsets)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *names])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, *[StructField(n, LongType()) for n in names]]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earmark.llm.jobs import bound_batches, cut_lineage, take_columns
+from earmark.llm.jobs import bound_batches, cut_lineage, take_columns, with_measures
 from earmark.llm.words import SPACES, Words, chunks, mix, rolling, whole
 
 SYMBOLS = b"#*$%&|<>"
@@ -84,6 +84,11 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    counts = count_texts(data, offsets)
+    return [counts[c] for c in COUNTS]
+
+
 def count(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """`(doc_id, lang, source)` and the counts of each whole text; a null text has no words."""
     bound_batches(documents.sparkSession)
@@ -102,9 +107,9 @@ def count(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     return docs.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def metric_columns() -> dict[str, Column]:
+def metric_columns(prefix: str = "") -> dict[str, Column]:
     """The metrics from the counts; a text without words has none."""
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    share = lambda a, b: F.when(F.col(prefix + b) > 0, F.col(prefix + a) / F.col(prefix + b))
     return {
         "symbol_rate": share("n_symbols", "n_words"),
         "dup_line_share": share("n_dup_lines", "n_lines"),
@@ -158,6 +163,16 @@ def limits(counts: DataFrame) -> DataFrame:
     return chosen.withColumn("limit", limit).groupBy("lang", "source").agg(*[at(m) for m in METRICS])
 
 
+def _verdicts(prefix: str = "") -> tuple[Column, Column]:
+    """Whether the base rules fail and whether a text stays, from the counts and limits beside each other."""
+    at = lambda c: F.col(prefix + c)
+    base = (at("n_words") < MIN_WORDS) | (100 * at("n_repeat_words") > MAX_REPEATED * at("n_words"))
+    kept = ~base
+    for m, value in metric_columns(prefix).items():
+        kept = kept & F.coalesce(value <= at(f"{m}_limit"), F.lit(True))
+    return base, kept
+
+
 def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row for each row of documents: `doc_id`, the counts, `base_failed`, `kept`, and the limits met with.
 
@@ -170,20 +185,19 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     counts = cut_lineage(count(documents, doc_id, text, lang, source))
     found = limits(counts).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{m}_limit" for m in METRICS])
     joined = counts.join(found, counts.lang.eqNullSafe(F.col("_lang")) & counts.source.eqNullSafe(F.col("_source")), "left")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    within = [F.coalesce(value <= F.col(f"{m}_limit"), F.lit(True)) for m, value in metric_columns().items()]
-    kept = ~base
-    for ok in within:
-        kept = kept & ok
+    base, kept = _verdicts()
     return joined.withColumns({"base_failed": base, "kept": kept}).drop("_lang", "_source")
 
 
 def passing(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Documents that `judge` keeps, with all columns.
 
-    Rows are told by their id: a row goes when a row of its id is rejected. Rows with a null id are
-    counted in the sketches but stay.
+    Each row is judged by its own text, whatever its id: rows with a null id go like any other, and a
+    row of an id that others share stays or goes alone. Texts are counted twice, first for the limits.
     """
-    judged = judge(documents, doc_id, text, lang, source)
-    bad = judged.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents[doc_id] == bad["_bad"], "left_anti")
+    found = limits(count(documents, doc_id, text, lang, source))
+    # A stored table, so that its size is known and documents needn't be shuffled.
+    found = cut_lineage(found.select([F.col(c).alias(f"_rule_{c}") for c in found.columns]))
+    measured = with_measures(documents, text, [f"_rule_{c}" for c in COUNTS], _measure)
+    same = [F.col(f"`{c}`").cast("string").eqNullSafe(F.col(f"_rule_{name}")) for c, name in ((lang, "lang"), (source, "source"))]
+    return measured.join(found, same[0] & same[1], "left").where(_verdicts("_rule_")[1]).select(*[F.col(f"`{c}`") for c in documents.columns])

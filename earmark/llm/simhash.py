@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earmark.llm.components import components
-from earmark.llm.jobs import bound_batches, cut_lineage, deal, take_columns
+from earmark.llm.jobs import bound_batches, cut_lineage, deal, take_columns, with_measures
 from earmark.llm.words import LOWER, Words, chunks, whole
 
 RADIUS = 4
@@ -48,6 +48,10 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    return [fingerprints_of(data, offsets).view(np.int64)]
+
+
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, fp)`: one row for each row of documents; `fp` is the 64-bit SimHash as a long.
 
@@ -255,3 +259,22 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = near_duplicates(documents, doc_id, text).where("doc_id <> component_id").select("doc_id").distinct()
     gone = found.select(F.col("doc_id").alias("_gone"))
     return documents.join(gone, documents[doc_id] == gone["_gone"], "left_anti")
+
+
+def one_row_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Rows without near-duplicates: exactly one row of each component of `near_duplicates` stays, with all columns.
+
+    Rows are numbered and told by their number, so rows with a null id and repeated rows of one id
+    are copies like any other. The smallest id stays, of its rows the first; a row without an id only
+    where no other has one. The numbered rows are written to the shared folder, as numbers given anew could
+    differ.
+    """
+    numbered = with_measures(documents.withColumn("_row", F.monotonically_increasing_id()), text, ["_print"], _measure, limit=1 << 18)
+    rows = cut_lineage(numbered)
+    first = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col("_row").alias("row"))
+    classes = cut_lineage(rows.select(F.col("_print").alias("fp"), first.alias("first")).groupBy("fp").agg(F.min("first").alias("first")))
+    roots = components(near_links(classes.select("fp"), radius))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    gone = rows.select("_row").join(stay, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -70,6 +70,20 @@ def test_one_of_each_keeps_all_columns(odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_row_of_each_keeps_one_row_of_each_component(odd, empty, documents):
+    for df, rows in ((odd, [r[:2] for r in ROWS]), (documents, [(r.doc_id, r.text) for r in documents.collect()])):
+        numbered = brute.near_components([(i, t) for i, (_, t) in enumerate(rows)])
+        members = {}
+        for i, _, label in numbered:
+            members.setdefault(label, []).append(rows[i])
+        kept = simhash.one_row_of_each(df)
+        assert kept.columns == df.columns
+        # The smallest id of each, or a null one if there is no other.
+        want = [min((d for d, _ in m if d is not None), default=None) for m in members.values()]
+        assert by_text(r.doc_id for r in kept.collect()) == by_text(want)
+    assert simhash.one_row_of_each(empty).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}

@@ -315,6 +315,28 @@ def test_whole_items_in_documents_are_found(spark, documents):
     assert want <= {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(documents, bench).collect()}
 
 
+def test_stages_of_the_pipeline_decide_on_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    good = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    item, junk = good(), "# $ " * 40
+    rows = [(i, good(), "en", "a") for i in range(30)] + [(None, good(), "en", "a") for _ in range(3)]
+    clean = list(rows)
+    rows += [(None, junk, "en", "a"), (0, junk, "en", "a"), (100, junk, None, None)]
+    leaks = [(None, item, "en", "a"), (1, "x " + item, "en", "a"), (101, item + " y", None, "a")]
+    copies = [(None, rows[2][1], "en", "a"), rows[2], rows[2], (rows[3][0], rows[2][1], "en", "b"), (None, rows[30][1], "en", "a"), (200, rows[31][1], "en", "a")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    listed = lambda df: by_text(map(tuple, df.collect()))
+    assert listed(corpus_pipeline.quality_rules(spark, frame(rows), "")) == by_text(clean)
+    bench = spark.createDataFrame([(1, item), (2, good())], "item_id long, text string")
+    for words in (10, 1000):
+        assert listed(decontaminate.rows_without_overlaps(frame(clean + leaks), bench, block_words=words)) == by_text(clean)
+    assert listed(decontaminate.rows_without_overlaps(frame(clean), bench.limit(0))) == by_text(clean)
+    once = [r for r in clean if r[1] != rows[31][1]] + [copies[-1]]
+    assert listed(corpus_pipeline.near_copies(spark, frame(clean + copies), "")) == by_text(once)
+
+
 # ---------------------------------------------------------------- mixing
 
 
