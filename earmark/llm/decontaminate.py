@@ -8,14 +8,16 @@ two texts are compared word by word along the hit's diagonal.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.jobs import bound_batches, take_columns
+from earmark.llm.jobs import bound_batches, cut_lineage, take_columns
 from earmark.llm.words import LOOSE, Words, chunks, mix, utf8
 
 # Any run of words that SHARE accepts matches under one of the masks, wherever its substitutions are:
@@ -170,7 +172,8 @@ def find_overlaps(
     least 13 words (all of a shorter item) and 80 % equal ones, the first and last of which may be
     unequal; each diagonal of a document and an item gives its longest. It is reported from its first
     to its last equal word, so `n_words` may be less than 13. Items go to the tasks in blocks of at most `block_words` words, each a
-    pass over the documents, so neither table is ever held whole.
+    pass over the documents, and the results of several blocks are written to the shared folder one
+    after another, so neither table is ever held whole.
 
     Null and empty texts, items without words and items with a null id overlap with nothing.
     Equal items with different ids are all reported; repeated rows of the benchmark count once, those
@@ -179,11 +182,11 @@ def find_overlaps(
     spark = documents.sparkSession
     bound_batches(spark)
     docs = take_columns(documents, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = spark.createDataFrame([], RESULT)
-    for block in _blocks(benchmark, item_id, item_text, block_words):
+
+    def one_block(block: TestBlock) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
                 for part, _, _ in chunks(batch, "text"):
@@ -193,8 +196,22 @@ def find_overlaps(
                         d, i, *rest = (np.array(c, np.int64) for c in zip(*rows))
                         yield pa.record_batch([part.column(0).take(pa.array(d)), pa.array(block.ids[i]), *map(pa.array, rest)], names=["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"])
 
-        found = found.unionByName(docs.mapInArrow(search, RESULT))
-    return found
+        return docs.mapInArrow(search, RESULT), shared
+
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], RESULT)
+    if after is None:
+        return one_block(block)[0]
+    # Of several blocks, each one's result is written and it is let go before the next goes to the tasks.
+    written = []
+    while block is not None:
+        found, shared = one_block(block)
+        written.append(cut_lineage(found))
+        shared.destroy()
+        block, after = after, next(blocks, None)
+    return reduce(DataFrame.unionByName, written)
 
 
 def without_overlaps(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,21 +227,28 @@ def rows_without_overlaps(
     """Rows whose own text overlaps with no benchmark item, by the rule of `find_overlaps`; all columns stay.
 
     Ids don't matter: a row with a null id goes like any other, and rows that share an id stay or go
-    alone. Rows pass the blocks of the benchmark one after another and aren't shuffled.
+    alone. With a benchmark of one block rows aren't shuffled; for several, rows are numbered and
+    written to the shared folder first, and the numbers of leaked rows are found block by block.
     """
     spark = documents.sparkSession
     bound_batches(spark)
-    clean = documents
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, _, _ in chunks(batch, text):
-                    words, values = words_of(part.column(part.schema.get_field_index(text)))
-                    stays = np.ones(part.num_rows, bool)
-                    stays[[row[0] for row in overlaps(shared.value, values, words.first, words.doc)]] = False
-                    yield part.filter(pa.array(stays))
-
-        clean = clean.mapInArrow(search, documents.schema)
-    return clean
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return documents
+    if after is not None:
+        block = after = None
+        rows = cut_lineage(documents.withColumn("_row", F.monotonically_increasing_id()))
+        leaked = find_overlaps(rows, benchmark, "_row", text, item_id, item_text, block_words).select(F.col("doc_id").alias("_row")).distinct()
+        return rows.join(leaked, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    shared = spark.sparkContext.broadcast(block)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in chunks(batch, text):
+                words, values = words_of(part.column(part.schema.get_field_index(text)))
+                stays = np.ones(part.num_rows, bool)
+                stays[[row[0] for row in overlaps(shared.value, values, words.first, words.doc)]] = False
+                yield part.filter(pa.array(stays))
+
+    return documents.mapInArrow(search, documents.schema)

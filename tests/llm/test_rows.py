@@ -308,6 +308,27 @@ def test_overlaps_with_substitutions(spark):
     assert decontaminate.find_overlaps(docs, bench.limit(0)).count() == decontaminate.find_overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_blocks_of_a_benchmark_are_let_go_one_after_another(spark, monkeypatch):
+    """At most one block is shared with the tasks at a time, however many there are."""
+    held, most, make = set(), [], spark.sparkContext.broadcast
+
+    def counted(block):
+        shared = make(block)
+        let_go = shared.destroy
+        shared.destroy = lambda *a, **b: (held.discard(id(shared)), let_go(*a, **b))
+        held.add(id(shared))
+        most.append(len(held))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    rows = [(i, " ".join(f"b{i}x{j}" for j in range(20))) for i in range(6)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
+    got = decontaminate.find_overlaps(docs, bench, block_words=20)
+    assert sorted((r.doc_id, r.item_id, r.n_equal) for r in got.collect()) == [(i, i, 20) for i in range(6)]
+    assert decontaminate.rows_without_overlaps(docs, bench.where("item_id < 5"), block_words=20).count() == 1
+    assert len(most) == 11 and max(most) == 1 and not held
+
+
 def test_whole_items_in_documents_are_found(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
