@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import decontaminate, html, licenses, mixing, pii, quality, sharding, simhash, sql, substrings, tokens
+from earmark.llm import decontaminate, html, language, licenses, mixing, phrases, pii, quality, resampling, sharding, simhash, sql, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_regular_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_semi_markov_pii": op2_semi_markov_pii,
@@ -75,5 +87,8 @@ QUERIES = {
     "op8_elias_fano": op8_elias_fano,
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_block_labeller": op10_block_labeller,
+    "op11_regular_sampling": op11_regular_sampling,
+    "op12_language_filters": op12_language_filters,
+    "op13_phrase_tries": op13_phrase_tries,
 }
-ORACLES = {"op4_fixed_block_anchors": sql.REPEATS, "op9_adaptive_quality": sql.QUALITY}
+ORACLES = {"op4_fixed_block_anchors": sql.REPEATS, "op9_adaptive_quality": sql.QUALITY, "op13_phrase_tries": sql.COLLOCATIONS}

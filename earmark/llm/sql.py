@@ -69,3 +69,26 @@ FROM judged
 
 
 QUALITY = _quality()
+
+COLLOCATIONS = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+runs AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM pieces WHERE len(w) > 0),
+grams AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM runs WHERE k <= len(w)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, count(*) AS f FROM grams GROUP BY ALL),
+sums AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+inner_ AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS p, a
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, k, w, a, unnest(range(2, k)) AS m FROM c))),
+cuts AS (
+  SELECT c.*, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp
+  FROM (SELECT c.*, unnest(range(1, k)) AS j FROM c ANTI JOIN inner_ USING (lang, p, a)) c),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.j, l.f AS l, r.f AS r, s.n, (1000::HUGEINT * c.a * s.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN sums s USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.k = c.j AND l.p = c.lp JOIN f r ON r.lang = c.lang AND r.k = c.k - c.j AND r.p = c.rp),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM low QUALIFY rank <= 2000
+"""
