@@ -10,6 +10,7 @@ from earmark import fixtures as X
 from earmark.checks.matching_sql import P, unit
 from earmark.checks.support import Query, r6, tidy
 from earmark.functions.columns import index_of_segment, segment_id, track_of_segment
+from earmark.operators import cells as C
 from earmark.operators import vectors as V
 from earmark.session import shared_folder
 
@@ -133,6 +134,52 @@ def ivf_search_stored(spark, sf):
     return V.ivf_search(_single(spark, sf), stored.table, K, PROBES, stored.centroids)
 
 
+@register("ivf_search_exact", _COSINE)
+def ivf_search_exact(spark, sf):
+    """Cells by their bounds, without a number of probes: the result of `knn_cosine`."""
+    return V.ivf_search(_single(spark, sf), X.corpus(spark, sf), K, centroids=X.label_centroids(spark, sf))
+
+
+@register("ivf_search_exact_blocked", _COSINE)
+def ivf_search_exact_blocked(spark, sf):
+    """The same when the queries are too many to go to every task."""
+    return C.search_cells(_single(spark, sf), X.corpus(spark, sf), K, X.label_centroids(spark, sf), broadcast_bytes=0, block_rows=512).hits
+
+
+@register("ivf_search_exact_l2", _L2)
+def ivf_search_exact_l2(spark, sf):
+    found = V.ivf_search(_single(spark, sf), X.corpus(spark, sf), K, centroids=X.label_centroids(spark, sf), metric="l2")
+    return found.select("query_id", "segment_idx", "cand_id", "rank", "distance", "similarity")
+
+
+@register("ivf_search_exact_stored", _COSINE)
+def ivf_search_exact_stored(spark, sf):
+    """Built from half of the corpus, then brought up to date: the radii still bound all members."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    V.write_index(_known(spark, sf), path)
+    V.append_to_index(spark, path, _named(spark, sf))
+    stored = V.read_index(spark, path)
+    return V.ivf_search(_single(spark, sf), stored.table, K, centroids=stored.centroids)
+
+
+@register("knn_cosine_shared_floor", _COSINE)
+def knn_cosine_shared_floor(spark, sf):
+    """Tasks prune by floors from a sample, and their hits are merged in groups first."""
+    return V.knn_cosine(_single(spark, sf), X.corpus(spark, sf).repartition(16, "cand_id"), K, shared_floor=True, floor_rows=100)
+
+
+@register(
+    "knn_cosine_depths",
+    f"SELECT query_id, segment_idx, depth, cand_id, rank, {r6('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, segment_idx ORDER BY s DESC, cand_id) AS rank "
+    "FROM (SELECT q.query_id, q.segment_idx, q.segment_idx * 3 AS depth, c.cand_id, (round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824) AS s FROM uq q, cat c)) "
+    "WHERE rank <= depth",
+)
+def knn_cosine_depths(spark, sf):
+    """Each query row is searched to a depth of its own; the first segment to none."""
+    rows = _single(spark, sf).withColumn("depth", F.col("segment_idx") * 3)
+    return V.knn_cosine(rows, X.corpus(spark, sf), "depth")
+
+
 # Queries whose rows share their keys: each row keeps its own best.
 P.add("sk", "SELECT *, segment_idx % 2 AS part FROM uq")
 _REPEATED = (
@@ -227,6 +274,8 @@ def build_index_meta(spark, sf):
     return V.build_index(_named(spark, sf), INDEX_CONFIG).meta
 
 
+P.add("neg", "SELECT cand_id, list_transform(vector, lambda x: -x) AS vector FROM cat")
+P.add("neg_cell", _near.format(key="cand_id", table="neg", n=1).replace("cell_id, row", "c.cell_id, row"))
 P.add("half", "SELECT DISTINCT 'track' || (vec_id // 5) AS track_id FROM embeddings WHERE label = 0")
 
 
@@ -257,6 +306,23 @@ def update_index_counts(spark, sf):
     return V.update_index(_known(spark, sf), _named(spark, sf))[1]
 
 
+@register(
+    "update_index_changed",
+    f"SELECT cand_id, track_id, cell_id, {r6('vector[1]')} AS x1, changed FROM (SELECT c.cand_id, split_part(c.cand_id, '_seg_', 1) AS track_id, x.cell_id, "
+    "CASE WHEN c.cand_id LIKE '%_seg_0001' THEN n.vector ELSE c.vector END AS vector, c.cand_id LIKE '%_seg_0001' AS changed FROM cat c JOIN neg n USING (cand_id) "
+    "JOIN (SELECT cand_id, cell_id FROM cat_cell WHERE cand_id NOT LIKE '%_seg_0001' UNION ALL SELECT cand_id, cell_id FROM neg_cell WHERE cand_id LIKE '%_seg_0001') x USING (cand_id))",
+)
+def update_index_changed(spark, sf):
+    """An index of some tracks takes in all of them, with one changed segment each; the changed ones replace the old."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    V.write_index(_known(spark, sf), path)
+    changed = F.col("cand_id").endswith("_seg_0001")
+    turned = _named(spark, sf).withColumn("vector", F.when(changed, F.transform("vector", lambda x: -x)).otherwise(F.col("vector")))
+    V.append_to_index(spark, path, turned)
+    table = V.read_index(spark, path).table
+    return table.select("cand_id", "track_id", "cell_id", F.col("vector")[0].alias("x1"), changed.alias("changed"))
+
+
 @register(
     "segment_id",
     "SELECT track_id, segment_idx, cand_id, split_part(cand_id, '_seg_', 1) AS parsed_track, CAST(split_part(cand_id, '_seg_', 2) AS BIGINT) AS parsed_idx FROM ("

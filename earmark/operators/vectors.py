@@ -36,6 +36,13 @@ BROADCAST_BYTES = 32 << 20
 TASK_HITS = 4_000_000
 # Vectors on each side of one block product.
 BLOCK_ROWS = 8_192
+# Above so many bytes a corpus is read by many tasks; then a sample of so many vectors gives each query a floor, and
+# hits of tasks are merged in so many groups before they meet.
+FLOOR_BYTES = 1 << 30
+FLOOR_ROWS = 50_000
+MERGE_GROUPS = 32
+# New hits that a task gathers before it sorts them among the best so far.
+PENDING_HITS = 1 << 18
 # Query rows multiplied at a time, which bounds the score matrix in a task.
 QUERY_CHUNK = 1_024
 # Scores are compared on a grid of 2^-30, so equal vectors tie and the tie goes to the smaller id.
@@ -115,34 +122,60 @@ def _places(rows: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best `k` candidates seen so far for each query row of one task."""
+    """The best candidates seen so far for each query row of one task, each row to its own depth `k`.
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.q = _unit(queries) if metric == "cosine" else queries
-        self.k, self.metric = k, metric
-        self.floor = np.full(len(queries), -np.inf)
-        self.found: pa.Table | None = None
+    Only scores of at least `floor` are taken, where a lower bound of a row's last score is known.
+    """
 
-    def offer(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        if not len(vectors) or not len(self.q):
+    def __init__(self, queries: np.ndarray, k: int | np.ndarray, metric: str, floor: np.ndarray | None = None):
+        self.q = _unit(queries) if metric == "cosine" else queries
+        self.k, self.metric = np.broadcast_to(np.asarray(k, np.int64), len(queries)), metric
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.astype(np.float64)
+        # Rows of like depth are compared together.
+        self.order = np.argsort(self.k, kind="stable")
+        self.order = self.order[self.k[self.order] > 0]
+        self.parts: list[pa.Table] = []
+        self.pending = self.held = 0
+
+    def offer(self, ids: pa.Array, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Compare with all query rows, or with the given ones."""
+        among = self.order if rows is None else rows[np.argsort(self.k[rows], kind="stable")]
+        if not len(vectors) or not len(among):
             return
         c = _unit(vectors) if self.metric == "cosine" else vectors
-        parts = [self.found] if self.found is not None else []
-        for at in range(0, len(self.q), QUERY_CHUNK):
-            s = _scores(self.q[at : at + QUERY_CHUNK], c, self.metric)
-            kth = np.partition(s, -self.k, axis=1)[:, -self.k] if s.shape[1] > self.k else np.full(len(s), -np.inf)
-            rows, cols = np.nonzero(s >= np.maximum(kth, self.floor[at : at + QUERY_CHUNK])[:, None])
-            parts.append(
-                pa.table({"row": pa.array(rows + at, pa.int64()), "score": s[rows, cols], "id": ids.take(pa.array(cols))})
-            )
-        merged = pa.concat_tables(parts)
+        n = len(c)
+        for at in range(0, len(among), QUERY_CHUNK):
+            some = among[at : at + QUERY_CHUNK]
+            s, k = _scores(self.q[some], c, self.metric), self.k[some]
+            kth, less = np.full(len(s), -np.inf), k < n
+            if less.any():
+                parted = np.partition(s, np.unique(n - k[less]), axis=1)
+                kth[less] = parted[less, n - k[less]]
+            found, cols = np.nonzero((s >= np.maximum(kth, self.floor[some])[:, None]) & (k > 0)[:, None])
+            if len(found):
+                self.parts.append(pa.table({"row": pa.array(some[found], pa.int64()), "score": s[found, cols], "id": ids.take(pa.array(cols))}))
+                self.pending += len(found)
+                if self.pending > max(PENDING_HITS, self.held):
+                    self.settle()
+
+    def settle(self) -> pa.Table | None:
+        """Sort what was gathered, keep the best of each row and raise the floors."""
+        if not self.parts or not self.pending:
+            return self.parts[0] if self.parts else None
+        merged = pa.concat_tables(self.parts)
         order = pc.sort_indices(merged, [("row", "ascending"), ("score", "descending"), ("id", "ascending")])
         merged = merged.take(order)
         rows = merged["row"].to_numpy()
         place = _places(rows)
-        self.found = merged.filter(pa.array(place < self.k)).combine_chunks()
-        at_k = place == self.k - 1
-        self.floor[rows[at_k]] = merged["score"].to_numpy()[at_k]
+        self.parts = [merged.filter(pa.array(place < self.k[rows])).combine_chunks()]
+        self.pending, self.held = 0, self.parts[0].num_rows
+        at_k = place == self.k[rows] - 1
+        self.floor[rows[at_k]] = np.maximum(self.floor[rows[at_k]], merged["score"].to_numpy()[at_k])
+        return self.parts[0]
+
+    @property
+    def found(self) -> pa.Table | None:
+        return self.settle()
 
     def places(self) -> np.ndarray:
         """Place of each hit among those of its query, from 0."""
@@ -160,15 +193,21 @@ def _hit_schema(queries: DataFrame, keys: Sequence[str], corpus: DataFrame) -> T
 
 
 
+def _depths(rows: pa.Table | pa.RecordBatch, k: int | str) -> int | np.ndarray:
+    """Depth of each row: one number, or the column that holds it; a null depth is 0."""
+    return k if isinstance(k, int) else np.asarray(pc.fill_null(rows[k], 0)).astype(np.int64)
+
+
 def _broadcast_topk(
-    spark: SparkSession, query_rows: pa.Table, keys: Sequence[str], corpus: DataFrame, schema: T.StructType, k: int, metric: str
+    spark: SparkSession, query_rows: pa.Table, keys: Sequence[str], corpus: DataFrame, schema: T.StructType, k: int | str, metric: str,
+    floor: np.ndarray | None = None,
 ) -> DataFrame:
-    shared = spark.sparkContext.broadcast((query_rows.select(list(keys)), _matrix(query_rows["vector"])))
+    shared = spark.sparkContext.broadcast((query_rows.select(list(keys)), _matrix(query_rows["vector"]), _depths(query_rows, k), floor))
     names = schema.fieldNames()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_rows, q = shared.value
-        best = _Best(q, k, metric)
+        key_rows, q, depth, floor = shared.value
+        best = _Best(q, depth, metric, floor)
         for batch in batches:
             best.offer(batch.column("cand_id"), _matrix(batch.column("vector"), q.shape[1] if len(q) else None))
         if best.found is not None:
@@ -177,8 +216,33 @@ def _broadcast_topk(
     return corpus.select("cand_id", "vector").mapInArrow(search, schema)
 
 
+def _last_scores(found: DataFrame, k: int | str, rows: int) -> np.ndarray:
+    """The last score of each query row that has all its hits in `found`, minus infinity for others."""
+    limit = F.lit(k) if isinstance(k, int) else F.col(k)
+    order = W.partitionBy(ROW).orderBy(F.col("score").desc())
+    last = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == limit).select(ROW, "score").toArrow()
+    out = np.full(rows, -np.inf)
+    out[np.asarray(last[ROW])] = np.asarray(last["score"])
+    return out
+
+
+def _sample_floors(spark: SparkSession, few: pa.Table, corpus: DataFrame, schema: T.StructType, k: int | str, metric: str, rows: int) -> np.ndarray:
+    """A lower bound of the last score of each query row, from a sample of at most `rows` vectors.
+
+    Any part of the corpus gives a bound, so the sample decides nothing but how much it prunes.
+    """
+    share = max(1, _estimated_bytes(corpus) // max(1, rows * 8 * max(1, len(few["vector"][0]))))
+    sample = corpus.where(F.pmod(F.xxhash64("cand_id"), F.lit(share)) == 0).limit(rows).repartition(spark.sparkContext.defaultParallelism)
+    return _last_scores(_broadcast_topk(spark, few, schema.fieldNames()[:-2], sample, schema, k, metric), k, few.num_rows)
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of a table."""
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+
+
 def _broadcast_corpus(
-    spark: SparkSession, queries: DataFrame, keys: Sequence[str], corpus_rows: pa.Table, schema: T.StructType, k: int, metric: str
+    spark: SparkSession, queries: DataFrame, keys: Sequence[str], corpus_rows: pa.Table, schema: T.StructType, k: int | str, metric: str
 ) -> DataFrame:
     """Search a corpus that every task holds; each batch of queries is answered in full where it is."""
     shared = spark.sparkContext.broadcast((corpus_rows["cand_id"].combine_chunks(), _matrix(corpus_rows["vector"])))
@@ -188,8 +252,10 @@ def _broadcast_corpus(
         ids, c = shared.value
         for batch in batches:
             if batch.num_rows and len(c):
-                best = _Best(_matrix(batch.column("vector"), c.shape[1]), k, metric)
+                best = _Best(_matrix(batch.column("vector"), c.shape[1]), _depths(batch, k), metric)
                 best.offer(ids, c)
+                if best.found is None:
+                    continue
                 hits = best.table(pa.Table.from_batches([batch.select(list(keys))]), "cand_id").select(names)
                 yield from hits.append_column("rank", pa.array(best.places() + 1, pa.int32())).to_batches()
 
@@ -225,14 +291,15 @@ def _bucket_blocks(queries: DataFrame, keys: Sequence[str], corpus: DataFrame, b
     return q.drop("_nq", "_nc"), c.drop("_nq", "_nc")
 
 
-def _blocked_topk(q: DataFrame, keys: Sequence[str], c: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
+def _blocked_topk(q: DataFrame, keys: Sequence[str], c: DataFrame, schema: T.StructType, k: int | str, metric: str) -> DataFrame:
     """Top `k` of each pair of blocks; a block holds a bounded number of vectors on each side."""
     names = schema.fieldNames()
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _Best(_matrix(left["vector"]), k, metric)
+        best = _Best(_matrix(left["vector"]), _depths(left, k), metric)
         if left.num_rows and right.num_rows:
             best.offer(right["cand_id"].combine_chunks(), _matrix(right["vector"], best.q.shape[1]))
+        if best.found is not None:
             return best.table(left.select(list(keys)), "cand_id").select(names)
         empty = {name: left[name].slice(0, 0) for name in keys}
         return pa.table({**empty, "cand_id": right["cand_id"].slice(0, 0), "score": pa.array([], pa.float64())})
@@ -241,10 +308,19 @@ def _blocked_topk(q: DataFrame, keys: Sequence[str], c: DataFrame, schema: T.Str
     return q.groupBy(*group).cogroup(c.groupBy(*group)).applyInArrow(search, schema)
 
 
-def _finish(found: DataFrame, k: int, metric: str) -> DataFrame:
+def _merged(found: DataFrame, k: int | str, groups: int = MERGE_GROUPS) -> DataFrame:
+    """Hits of many tasks, merged in groups of tasks: at most `groups * k` hits of a query row are left."""
+    limit = F.lit(k) if isinstance(k, int) else F.col(k)
+    order = W.partitionBy(ROW, "_group").orderBy(F.col("score").desc(), "cand_id")
+    grouped = found.withColumn("_group", F.spark_partition_id() % groups)
+    return grouped.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).drop("_place", "_group")
+
+
+def _finish(found: DataFrame, k: int | str, metric: str) -> DataFrame:
     """Best `k` of each query row over all tasks, as numbered by `_number`."""
+    limit = F.lit(k) if isinstance(k, int) else F.col(k)
     order = W.partitionBy(ROW).orderBy(F.col("score").desc(), "cand_id")
-    return _similarity(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(ROW), metric)
+    return _similarity(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop(ROW), metric)
 
 
 def _similarity(ranked: DataFrame, metric: str) -> DataFrame:
@@ -279,32 +355,62 @@ def _query_keys(queries: DataFrame) -> list[str]:
 # ---------------------------------------------------------------- V2, V3
 
 
+def _few_queries(queries: DataFrame, k: int | str, broadcast_bytes: int) -> pa.Table | None:
+    """All query rows with their numbers, if they and the hits of a task are few enough to go to every task."""
+    few = _bounded(queries, _rows_within(queries, broadcast_bytes))
+    if few is None:
+        return None
+    depth = _depths(few, k)
+    hits = k * few.num_rows if isinstance(depth, int) else int(depth.sum())
+    if hits > TASK_HITS:
+        return None
+    return few if ROW in few.column_names else few.append_column(ROW, pa.array(range(few.num_rows), pa.int64()))
+
+
+def _hits_of_tasks(
+    spark: SparkSession, few: pa.Table, keys: Sequence[str], corpus: DataFrame, schema: T.StructType, k: int | str, metric: str, shared_floor: bool | None, floor_rows: int
+) -> DataFrame:
+    """Hits for the last merge. Over a large corpus a floor from a sample and a merge in groups come first."""
+    if shared_floor is None:
+        shared_floor = _estimated_bytes(corpus) > FLOOR_BYTES
+    if not shared_floor or not few.num_rows:
+        return _broadcast_topk(spark, few, keys, corpus, schema, k, metric)
+    floor = _sample_floors(spark, few, corpus, schema, k, metric, floor_rows)
+    return _merged(_broadcast_topk(spark, few, keys, corpus, schema, k, metric, floor), k)
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
-    k: int,
+    k: int | str,
     metric: str = "cosine",
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    shared_floor: bool | None = None,
+    floor_rows: int = FLOOR_ROWS,
 ) -> DataFrame:
     """Exact top `k` of `corpus(cand_id, vector)` for each query row.
 
-    Every column of `queries` other than `vector` is returned. Rows with equal keys, or equal
+    `k` is a number, or the name of a column of `queries` that gives each row its own depth (none for 0
+    or null). Every column of `queries` other than `vector` is returned. Rows with equal keys, or equal
     altogether, are queries of their own with `k` hits each; equal scores go to the smaller id. A side
     whose vectors take at most `broadcast_bytes` goes to every task. When both are larger they are
     cut into blocks; use `ivf_search` when the product of both sizes is out of reach. Which way is
     taken doesn't show in the result.
+
+    A corpus of many tasks is searched with a floor for each query row, the last of its best scores in a
+    sample of `floor_rows` vectors: tasks send no hit below it, and their hits are merged in groups
+    before all meet. `shared_floor` asks for that or forbids it; without it the size decides.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     keys = _query_keys(queries)
     spark = queries.sparkSession
     taken, stored = queries.select(*keys, "vector"), corpus.select("cand_id", "vector")
-    few = _bounded(taken, min(_rows_within(taken, broadcast_bytes), TASK_HITS // k))
+    few = _few_queries(taken, k, broadcast_bytes)
     if few is not None:
-        few = few.append_column(ROW, pa.array(range(few.num_rows), pa.int64()))
         schema = _hit_schema(taken.withColumn(ROW, F.lit(0).cast("bigint")), [*keys, ROW], corpus)
-        return _finish(_broadcast_topk(spark, few, [*keys, ROW], corpus, schema, k, metric), k, metric)
+        return _finish(_hits_of_tasks(spark, few, [*keys, ROW], stored, schema, k, metric, shared_floor, floor_rows), k, metric)
     few = _bounded(stored, _rows_within(stored, broadcast_bytes))
     if few is not None:
         schema = _hit_schema(taken, keys, corpus)
@@ -336,43 +442,63 @@ def cell_count(rows: int) -> int:
     return max(1, round(rows**0.5))
 
 
-def train_cells(corpus: DataFrame, nlist: int | None = None, seed: int = 7, max_iter: int = 20) -> DataFrame:
-    """K-means centroids of unit vectors: `(cell_id, vector)`. Without `nlist` the corpus size decides."""
+# Vectors of the training sample for each cell.
+TRAIN_ROWS = 256
+# Centroids compared with a vector at a time.
+CELL_BLOCK = 4_096
+
+
+def train_cells(corpus: DataFrame, nlist: int | None = None, seed: int = 7, max_iter: int = 20, sample_rows: int = TRAIN_ROWS) -> DataFrame:
+    """K-means centroids of unit vectors: `(cell_id, vector)`. Without `nlist` the corpus size decides.
+
+    The centroids are fitted on about `sample_rows` vectors a cell, chosen by hash; with fewer all are taken.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    nlist = cell_count(corpus.count()) if nlist is None else nlist
-    features = l2_normalize(corpus.select("vector")).select(array_to_vector("vector").alias("features"))
+    rows = corpus.count()
+    nlist = cell_count(rows) if nlist is None else nlist
+    share = max(1, rows // max(1, nlist * sample_rows))
+    sample = corpus.where(F.pmod(F.xxhash64("vector"), F.lit(share)) == 0) if share > 1 else corpus
+    features = l2_normalize(sample.select("vector")).select(array_to_vector("vector").alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(features)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return corpus.sparkSession.createDataFrame(rows, "cell_id int, vector array<double>")
 
 
+def _few_cells(centroids: DataFrame, broadcast_bytes: int) -> pa.Table | None:
+    """All centroids in order of their ids, if every task can hold them."""
+    columns = [c for c in ("cell_id", "vector", "radius", "size") if c in centroids.columns]
+    cells = _bounded(centroids.select(*columns), _rows_within(centroids, broadcast_bytes))
+    return None if cells is None else cells.sort_by("cell_id")
+
+
 def assign_cells(vectors: DataFrame, centroids: DataFrame, n: int = 1, broadcast_bytes: int = 8 * BROADCAST_BYTES) -> DataFrame:
     """Add the `n` nearest cells to each vector as `cell_id`, one row for each cell.
 
-    Every task holds the centroids, whose size is checked, and compares its vectors with them in blocks.
+    Centroids of up to `broadcast_bytes` go to every task, which compares its vectors with blocks of
+    them. More centroids are met in blocks of both sides, as in `knn`. Equally near cells go by their ids.
     """
-    most = _rows_within(centroids, broadcast_bytes)
-    cells = _bounded(centroids.select("cell_id", "vector"), most)
+    cells = _few_cells(centroids, broadcast_bytes)
+    schema = T.StructType([*vectors.schema.fields, T.StructField("cell_id", centroids.schema["cell_id"].dataType)])
     if cells is None:
-        raise ValueError(f"more than {most} cells cannot be sent to every task; use fewer cells")
-    cells = cells.sort_by("cell_id")
+        numbered = _number(vectors)
+        near = knn(l2_normalize(numbered.select(F.col(ROW).alias("_of"), "vector")), centroids.select(F.col("cell_id").alias("cand_id"), "vector"), n, "l2", broadcast_bytes)
+        return numbered.join(near.select("_of", F.col("cand_id").alias("cell_id")), F.col(ROW) == F.col("_of")).select(*schema.fieldNames())
     ids, centres = cells["cell_id"].combine_chunks(), _matrix(cells["vector"])
-    n = min(n, cells.num_rows)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, centres))
-    schema = T.StructType([*vectors.schema.fields, T.StructField("cell_id", centroids.schema["cell_id"].dataType)])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_ids, c = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_CHUNK):
                 part = batch.slice(at, QUERY_CHUNK)
-                s = _scores(_unit(_matrix(part.column("vector"), c.shape[1])), c, "l2")
-                picks = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                rows = np.repeat(np.arange(part.num_rows), n)
-                out = pa.Table.from_batches([part]).take(pa.array(rows))
-                yield from out.append_column("cell_id", cell_ids.take(pa.array(picks.ravel()))).to_batches()
+                best = _Best(_unit(_matrix(part.column("vector"), c.shape[1])), n, "l2")
+                for lo in range(0, len(c), CELL_BLOCK):
+                    best.offer(cell_ids.slice(lo, CELL_BLOCK), c[lo : lo + CELL_BLOCK])
+                if best.found is not None:
+                    out = pa.Table.from_batches([part]).take(best.found["row"])
+                    yield from out.append_column("cell_id", best.found["id"]).to_batches()
 
     return vectors.mapInArrow(nearest, schema)
 
@@ -380,19 +506,26 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, n: int = 1, broadcast
 def ivf_search(
     queries: DataFrame,
     corpus: DataFrame,
-    k: int,
-    nprobe: int,
+    k: int | str,
+    nprobe: int | None = None,
     centroids: DataFrame | None = None,
     nlist: int | None = None,
     metric: str = "cosine",
     block_rows: int = BLOCK_ROWS,
+    max_cells: int | None = None,
 ) -> DataFrame:
-    """Top `k` among the vectors of the `nprobe` cells nearest to each query; exact inside them.
+    """Top `k` of the corpus by cells. Without `nprobe` the result is exact, or bounded by `max_cells`.
 
+    A query goes on to cells that could still hold a better hit, as `operators.cells` tells from their
+    radii. With `nprobe` it looks into the nearest cells whatever they hold, and is exact inside them.
     A `corpus` with a `cell_id` column, as `build_index` makes it, needs the centroids that its cells
     are from. Without centroids the cells are trained here. Rows with equal keys are queries of their
     own, as in `knn`.
     """
+    if nprobe is None:
+        from earmark.operators.cells import search_cells
+
+        return search_cells(queries, corpus, k, centroids, nlist, metric, max_cells, block_rows=block_rows).hits
     if "cell_id" in corpus.columns and centroids is None:
         raise ValueError("a corpus with cells needs the centroids of these cells")
     keys = [*_query_keys(queries), ROW]
@@ -513,23 +646,76 @@ def build_index(vectors: DataFrame, config: Mapping[str, object], centroids: Dat
     return Index(table, meta, centroids if kind == "ivf" else None)
 
 
-def write_index(index: Index, path: str, mode: str = "error") -> None:
-    """Vectors as Parquet, one folder for each cell when there are cells, beside description and centroids.
+# A stored index is a row of versions. Vectors, centroids and removals lie in parts named by the version that wrote them;
+# a version's one-row description lists the parts it is made of and is written last, so readers see all of it or nothing.
+_VERSION = (
+    "version bigint, parts array<bigint>, removed array<bigint>, centroids bigint, num_vectors bigint, dimension bigint, "
+    "index_type string, metric string, config string, batch string"
+)
 
-    Rows of a cell are brought together first and large cells are split, so a cell has few files.
-    """
-    if index.centroids is not None:
-        index.table.hint("rebalance", "cell_id").write.mode(mode).partitionBy("cell_id").parquet(f"{path}/vectors")
-        index.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+
+def _write_version(spark: SparkSession, path: str, row: dict[str, object]) -> None:
+    """Make a version visible: one committed file, written when all it names is there."""
+    data = spark.createDataFrame([tuple(row.values())], _VERSION)
+    data.coalesce(1).write.mode("overwrite").json(f"{path}/versions/{row['version']:012d}")
+
+
+def index_versions(spark: SparkSession, path: str) -> list[dict[str, object]]:
+    """Descriptions of all visible versions, oldest first."""
+    found = spark.read.schema(_VERSION).json(f"{path}/versions/*").where("version IS NOT NULL").orderBy("version").collect()
+    return [r.asDict() for r in found]
+
+
+def _write_part(table: DataFrame, path: str, version: int, cells: bool) -> DataFrame:
+    """Write vectors as a part. Rows of a cell are brought together first and large cells are split, so a cell has few files."""
+    where = f"{path}/vectors/part={version}"
+    if cells:
+        table.hint("rebalance", "cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(where)
     else:
-        index.table.write.mode(mode).parquet(f"{path}/vectors")
-    index.meta.write.mode("overwrite").parquet(f"{path}/meta")
+        table.write.mode("overwrite").parquet(where)
+    return table.sparkSession.read.schema(table.schema).parquet(where)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    meta = spark.read.parquet(f"{path}/meta")
-    cells = meta.where("index_type = 'ivf'").isEmpty()
-    return Index(spark.read.parquet(f"{path}/vectors"), meta, None if cells else spark.read.parquet(f"{path}/centroids"))
+def segment_digest(vector: Column) -> Column:
+    """Digest by which a changed segment is told from a known one."""
+    return F.xxhash64(vector)
+
+
+def write_index(index: Index, path: str, mode: str = "error") -> None:
+    """Store an index as version 1 below `path`; vectors lie in one folder for each cell when there are cells.
+
+    Centroids are stored with the radius and size of their cells.
+    """
+    from earmark.operators.cells import measure_cells
+
+    spark = index.table.sparkSession
+    if mode != "error":
+        raise ValueError("an index is written once; take further vectors in with append_to_index")
+    table = index.table.withColumn("digest", segment_digest(F.col("vector")))
+    written = _write_part(table, path, 1, index.centroids is not None)
+    meta = index.meta.first().asDict()
+    if index.centroids is not None:
+        measure_cells(written, index.centroids, meta["metric"]).write.mode("overwrite").parquet(f"{path}/centroids/part=1")
+    _write_version(spark, path, {"version": 1, "parts": [1], "removed": [], "centroids": 1 if index.centroids is not None else None, **meta, "batch": None})
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The newest version of a stored index, or an older one."""
+    found = [v for v in index_versions(spark, path) if version in (None, v["version"])]
+    if not found:
+        raise ValueError(f"no version {version or ''} of an index in {path}")
+    now = found[-1]
+    parts = [f"{path}/vectors/part={p}" for p in now["parts"]]
+    table = spark.read.option("basePath", f"{path}/vectors").parquet(*parts)
+    if now["removed"]:
+        gone = spark.read.option("basePath", f"{path}/removed").parquet(*[f"{path}/removed/part={p}" for p in now["removed"]])
+        gone = gone.select(F.col("cand_id").alias("_gone"), F.col("part").alias("_by"))
+        table = table.join(gone, (F.col("cand_id") == F.col("_gone")) & (F.col("part") < F.col("_by")), "left_anti")
+    meta = spark.createDataFrame(
+        [tuple(now[c] for c in ("num_vectors", "dimension", "index_type", "metric", "config"))], "num_vectors bigint, dimension bigint, index_type string, metric string, config string"
+    )
+    centroids = spark.read.parquet(f"{path}/centroids/part={now['centroids']}") if now["centroids"] else None
+    return Index(table.drop("part"), meta, centroids)
 
 
 def update_index(index: Index, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -556,20 +742,70 @@ def update_index(index: Index, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fresh, counts
 
 
-def append_to_index(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """Take the new tracks into a stored index and return the counts. Doing so again adds nothing."""
+def append_to_index(spark: SparkSession, path: str, new: DataFrame, batch: str | None = None) -> DataFrame:
+    """Take `new(cand_id, vector)` into a stored index as its next version, and return the counts.
+
+    Segments are known by their id and their digest: unknown ones are added, changed ones replace the old, and the
+    rest is skipped, so doing the same again changes nothing. Parts are written first and the description
+    last; after a stop between them readers find the old version and the next call writes the parts anew. A `batch`
+    that a version names already is not taken in again. Of repeated ids the one with the smallest digest counts.
+    """
+    from earmark.operators.cells import measure_cells
+
+    versions = index_versions(spark, path)
+    now, version = versions[-1], versions[-1]["version"] + 1
+    none = ["added_tracks", "skipped_tracks", "added_vectors", "changed_vectors", "skipped_vectors"]
+    if batch is not None and any(v["batch"] == batch for v in versions):
+        return spark.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in none])
     index = read_index(spark, path)
-    fresh, counts = update_index(index, new)
-    # Counts look at the index as it was, so they are settled before the rows are added.
-    counts = cut_lineage(counts)
-    fresh = cut_lineage(fresh)
-    writer = fresh.hint("rebalance", "cell_id").write.partitionBy("cell_id") if index.centroids is not None else fresh.write
-    writer.mode("append").parquet(f"{path}/vectors")
-    meta = cut_lineage(index.meta.withColumn("num_vectors", F.col("num_vectors") + F.lit(counts.first().added_vectors)))
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    unit = l2_normalize(new.select("cand_id", "vector"), "l2" if json.loads(now["config"]).get("normalize", True) else "none")
+    unit = unit.groupBy("cand_id").agg(F.min_by("vector", segment_digest(F.col("vector"))).alias("vector"))
+    unit = unit.withColumns({"track_id": track_of_segment(F.col("cand_id")), "digest": segment_digest(F.col("vector"))})
+    held = index.table.select("cand_id", F.col("digest").alias("_held"))
+    tracks = index.table.select("track_id").distinct().withColumn("_known", F.lit(True))
+    marked = cut_lineage(unit.join(held, "cand_id", "left").join(tracks, "track_id", "left"))
+    is_new, is_changed = F.col("_held").isNull(), F.col("_held") != F.col("digest")
+    counts = cut_lineage(marked.agg(
+        F.count_distinct(F.when(F.col("_known").isNull(), F.col("track_id"))).alias("added_tracks"),
+        (F.count_distinct("track_id") - F.count_distinct(F.when(is_new | is_changed, F.col("track_id")))).alias("skipped_tracks"),
+        F.count_if(is_new).alias("added_vectors"), F.count_if(F.coalesce(is_changed, F.lit(False))).alias("changed_vectors"),
+        F.count_if(F.coalesce(~is_changed, F.lit(False))).alias("skipped_vectors"),
+    ))
+    n = counts.first()
+    row = {**now, "version": version, "batch": batch}
+    if n.added_vectors or n.changed_vectors:
+        fresh = marked.where(is_new | is_changed).select("cand_id", "vector", "track_id", "digest")
+        if index.centroids is not None:
+            fresh = assign_cells(fresh, index.centroids)
+        written = _write_part(fresh.select([c for c in index.table.columns]), path, version, index.centroids is not None)
+        if n.changed_vectors:
+            marked.where(is_changed).select("cand_id").write.mode("overwrite").parquet(f"{path}/removed/part={version}")
+            row["removed"] = [*now["removed"], version]
+        if index.centroids is not None:
+            grown = measure_cells(written, index.centroids, now["metric"]).select("cell_id", F.col("radius").alias("_far"), F.col("size").alias("_more"))
+            # Replaced members still count in the radius, which stays a bound.
+            both = index.centroids.join(grown, "cell_id").select("cell_id", "vector", F.greatest("radius", "_far").alias("radius"), (F.col("size") + F.col("_more")).alias("size"))
+            both.write.mode("overwrite").parquet(f"{path}/centroids/part={version}")
+            row["centroids"] = version
+        row["parts"], row["num_vectors"] = [*now["parts"], version], now["num_vectors"] + n.added_vectors
+    elif batch is None:
+        return counts
+    _write_version(spark, path, row)
     return counts
 
 
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Bring all parts of the newest version into one, as a version of its own; older versions stay readable."""
+    from earmark.operators.cells import measure_cells
+
+    now, index = index_versions(spark, path)[-1], read_index(spark, path)
+    version = now["version"] + 1
+    written = _write_part(index.table, path, version, index.centroids is not None)
+    if index.centroids is not None:
+        measure_cells(written, index.centroids, now["metric"]).write.mode("overwrite").parquet(f"{path}/centroids/part={version}")
+    _write_version(spark, path, {**now, "version": version, "parts": [version], "removed": [], "centroids": version if now["centroids"] else None})
+
+
 # ---------------------------------------------------------------- V9
 
 
@@ -771,9 +1007,8 @@ def restricted_search(
     ).select("cand_id", "vector")
     if k is None:
         rows = inside.count()
-        depth = queries.groupBy("query_id").agg(F.least(20 * F.count(F.lit(1)), F.lit(20_000), F.lit(max(1, rows))).alias("_depth"))
-        deepest = depth.agg(F.max("_depth")).first()[0] or 1
-        hits = knn(queries, inside, int(deepest), **options).join(depth, "query_id").where(F.col("rank") <= F.col("_depth")).drop("_depth")
+        depth = queries.groupBy("query_id").agg(F.least(20 * F.count(F.lit(1)), F.lit(20_000), F.lit(max(1, rows))).cast("int").alias("_depth"))
+        hits = knn(queries.join(depth, "query_id"), inside, "_depth", **options).drop("_depth")
     else:
         hits = knn(queries, inside, k, **options)
     return (

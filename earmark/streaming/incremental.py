@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from earmark.functions.columns import track_of_segment
-from earmark.operators.vectors import l2_normalize
+from earmark.operators.vectors import append_to_index, l2_normalize
 
 VECTOR_SCHEMA = T.StructType([T.StructField("cand_id", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
@@ -36,3 +36,18 @@ def follow_folder(spark: SparkSession, arriving: str, index: DataFrame, out: str
         .trigger(availableNow=True)
         .start()
     )
+
+
+def follow_index(spark: SparkSession, arriving: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Take what has arrived since the last call into the stored index at `path`, and stop.
+
+    Each batch becomes a version of the index: its segments get their cells, known ones are skipped by the newest
+    version and changed ones replace the old. A batch is named by the checkpoint and its number, so one that runs again
+    after a stop is taken in once.
+    """
+
+    def take_in(batch: DataFrame, number: int) -> None:
+        append_to_index(batch.sparkSession, path, batch, f"{checkpoint}#{number}")
+
+    stream = spark.readStream.schema(VECTOR_SCHEMA).parquet(arriving)
+    return stream.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
