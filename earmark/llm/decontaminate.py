@@ -31,6 +31,9 @@ SHARE = 0.8
 # Benchmark words that are sent to the tasks at once; a larger benchmark is taken in blocks.
 BLOCK_WORDS = 1_000_000
 
+# Pairs of hits made at a time.
+PAIRS = 1 << 21
+
 RESULT = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long"
 
 
@@ -61,35 +64,78 @@ class TestBlock:
         size = np.diff(words.first)
         # An item below the shortest mask is a mask of its own length.
         tiny = sorted(set(size[(size > 0) & (size < min(map(len, SHORT)))].tolist()))
-        self.tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[str, Groups, np.ndarray]] = []
         rules = [(m, size >= OVERLAP) for m in LONG] + [(m, (size < OVERLAP) & (size >= len(m))) for m in SHORT]
         for mask, items in rules + [("1" * n, size == n) for n in tiny]:
             h = masked_hashes(self.values, mask)
             at = np.flatnonzero(items[self.item[: len(h)]] & (self.item[: len(h)] == self.item[len(mask) - 1 :]))
             if len(at):
-                order = np.argsort(h[at], kind="stable")
-                h, at = h[at][order], at[order]
                 seen = np.zeros(1 << 20 if len(h) < 1 << 17 else 1 << 25, bool)
-                seen[self.slot(h, seen)] = True
-                self.tables.append((mask, h, at, seen))
+                seen[self.slot(h[at], seen)] = True
+                self.tables.append((mask, Groups(h[at], self.item[at], at), seen))
 
     @staticmethod
     def slot(h: np.ndarray, seen: np.ndarray) -> np.ndarray:
         return (h & np.uint64(len(seen) - 1)).astype(np.int64)
 
-    def hits(self, values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a word of the documents and a word of the block that start equal masked runs."""
-        left, right = [], []
-        for mask, h, at, seen in self.tables:
-            mine = masked_hashes(values, mask)
-            k = np.flatnonzero(seen[self.slot(mine, seen)] & (doc[: len(mine)] == doc[len(mask) - 1 :]))
-            lo, hi = np.searchsorted(h, mine[k], "left"), np.searchsorted(h, mine[k], "right")
+    def diagonals(self, values: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Distinct rows (document, item, shift) on which some masked runs are equal.
+
+        Runs are met by groups, so a word that is repeated in both texts makes no pairs of its positions: where a
+        document and an item have more pairs than diagonals, all diagonals between their outermost hits are taken.
+        """
+        met = []
+        for mask, theirs, seen in self.tables:
+            h = masked_hashes(values, mask)
+            k = np.flatnonzero(seen[self.slot(h, seen)] & (doc[: len(h)] == doc[len(mask) - 1 :]))
+            mine = Groups(h[k], doc[k], k)
+            lo, hi = np.searchsorted(theirs.key, mine.key, "left"), np.searchsorted(theirs.key, mine.key, "right")
             n = hi - lo
-            left.append(np.repeat(k, n))
-            right.append(at[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(left), np.concatenate(right)
+            left = np.repeat(np.arange(len(n)), n)
+            right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            if len(left):
+                met.append((mine, theirs, left, right, mine.text[left] * len(self.ids) + theirs.text[right], mine.size[left] * theirs.size[right]))
+        if not met:
+            return np.zeros((0, 3), np.int64)
+        pairs, place = np.unique(np.concatenate([m[4] for m in met]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([m[5] for m in met]), len(pairs))
+        d, i = pairs // len(self.ids), pairs % len(self.ids)
+        many = total > (first[d + 1] - first[d]) + (self.first[i + 1] - self.first[i])
+        low, high = np.full(len(pairs), 1 << 62), np.full(len(pairs), -(1 << 62))
+        found, at = [], 0
+        for mine, theirs, left, right, _, size in met:
+            own = place[at : at + len(left)]
+            at += len(left)
+            np.minimum.at(low, own, mine.least[left] - theirs.most[right])
+            np.maximum.at(high, own, mine.most[left] - theirs.least[right])
+            few = np.flatnonzero(~many[own])
+            # A bounded number of pairs at a time.
+            for some in np.split(few, np.searchsorted(np.cumsum(size[few]), np.arange(PAIRS, int(size[few].sum()), PAIRS))):
+                n = size[some]
+                rep = np.repeat(np.arange(len(some)), n)
+                off = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                wide = theirs.size[right[some]][rep]
+                shift = mine.at[mine.start[left[some]][rep] + off // wide] - theirs.at[theirs.start[right[some]][rep] + off % wide]
+                found.append(np.unique(np.column_stack([own[some][rep], shift]), axis=0))
+        whole = np.flatnonzero(many)
+        n = high[whole] - low[whole] + 1
+        found.append(np.column_stack([np.repeat(whole, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[whole], n)]))
+        every = np.unique(np.concatenate(found), axis=0)
+        return np.column_stack([d[every[:, 0]], i[every[:, 0]], every[:, 1]])
+
+
+class Groups:
+    """Positions of equal hashes inside one text: key, text, and where in `at` their positions are."""
+
+    def __init__(self, h: np.ndarray, text: np.ndarray, at: np.ndarray):
+        order = np.lexsort((at, text, h))
+        h, text, self.at = h[order], text[order], at[order].astype(np.int64)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.start, len(h)))
+        self.key, self.text = h[self.start], text[self.start].astype(np.int64)
+        self.least, self.most = self.at[self.start], self.at[self.start + self.size - 1]
 
 
 def longest_overlap(equal: np.ndarray, share: float = SHARE) -> tuple[int, int]:
@@ -133,17 +179,14 @@ def extended_overlap(equal: np.ndarray, least: int, share: float = SHARE) -> tup
 
 def overlaps(block: TestBlock, values: np.ndarray, first: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, word in document, word in item, words, equal words) of verified overlaps."""
-    p, q = block.hits(values, doc)
-    if not len(p):
-        return []
     # One comparison for each document, item and diagonal, however many hits it has.
-    keys = np.unique(np.column_stack([doc[p], block.item[q], p - q]), axis=0)
     found = []
-    for d, i, shift in keys.tolist():
+    for d, i, shift in block.diagonals(values, first, doc).tolist():
         lo = max(int(block.first[i]), int(first[d]) - shift)
         hi = min(int(block.first[i + 1]), int(first[d + 1]) - shift)
         equal = block.values[lo:hi] == values[lo + shift : hi + shift]
-        a, b = extended_overlap(equal, min(OVERLAP, int(block.first[i + 1] - block.first[i])))
+        least = min(OVERLAP, int(block.first[i + 1] - block.first[i]))
+        a, b = (0, len(equal)) if len(equal) >= least and equal.all() else extended_overlap(equal, least)
         if b > a:
             found.append((d, i, lo + a + shift - int(first[d]), lo + a - int(block.first[i]), b - a, int(equal[a:b].sum())))
     return found
@@ -214,12 +257,6 @@ def find_overlaps(
     return reduce(DataFrame.unionByName, written)
 
 
-def without_overlaps(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that overlap with no benchmark item; all columns stay. Rows with a null id stay."""
-    bad = find_overlaps(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(bad, documents[doc_id] == bad["_leaked"], "left_anti")
-
-
 def rows_without_overlaps(
     documents: DataFrame, benchmark: DataFrame, text: str = "text",
     item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
