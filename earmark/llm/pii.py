@@ -50,7 +50,8 @@ def luhn(digits: str) -> bool:
 
 
 def _ip_ok(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    # Zeros go first: a part may have any number of them, and `int` takes some thousand digits only.
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
 
 
 def base_spans(text: str) -> tuple[list[Span], list[Span]]:
