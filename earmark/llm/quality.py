@@ -2,8 +2,8 @@
 
 Each metric of all documents goes into mergeable quantile sketches, one for each pair of language
 and source. A sketch counts values in buckets of equal ratio (DDSketch), so sketches merge by adding
-counts, hold quantiles to 1 %, and don't depend on the order of rows. Limits come from the lower half
-of the values, which junk can't move before it is the majority.
+counts, hold quantiles to 1 %, and don't depend on the order of rows. All limits come from the sketches: quartiles
+for what every text has, and for what most texts lack the share of texts that have some and the median of these.
 """
 
 from __future__ import annotations
@@ -23,15 +23,16 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT = 5
 # Base rules: too few words, or too many of them in repeated windows (per cent).
 MIN_WORDS, MAX_REPEATED = 10, 20
-# Metric: the least spread that a limit allows for.
-METRICS = {"symbol_rate": 0.05, "dup_line_share": 0.15, "word_length": 1.5}
-# A limit is the median plus so many spreads (median less the 5 % quantile).
-SPREADS = 3.0
+# Metrics, and for rates the count that they are a share of.
+METRICS = {"symbol_rate": "n_words", "dup_line_share": "n_lines", "word_length": None}
+# A limit is the upper quartile plus so many spreads between the quartiles; for a rate it is the usual rate plus
+# so many standard errors of a rate measured on the text's own count.
+SPREADS, ERRORS = 4.0, 3.0
 RATIO = 1.02
 SMALLEST = 1e-6
-# Pairs of language and source with fewer documents take the limits of the language, and languages
-# with fewer those of all documents.
-MIN_ROWS = 200
+# A pair of language and source is weighed by its rows, and its language stands in with so many rows; so
+# does the whole table for the language. Small groups come close to their language, large ones stand alone.
+SMOOTHING = 200
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -138,38 +139,66 @@ def sketches(counts: DataFrame) -> DataFrame:
     return long.select("lang", "source", "m.metric", bucket).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Row count, median and 5 % quantile of each metric, from merged sketches."""
+def _level(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`(by, metric, name)`: rows, place and spread of each metric, from merged sketches.
+
+    Place and spread are the upper quartile and its distance from the lower one, but at least what one
+    bucket can tell. For a rate the place is the usual rate: the share of texts that have some, times the median of these.
+    """
+    low = math.floor(math.log(SMALLEST) / math.log(RATIO))
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("rows", F.sum("n").over(group))
+    ranked = merged.withColumns({
+        "upto": F.sum("n").over(group.orderBy("bucket")), "rows": F.sum("n").over(group),
+        "none": F.sum(F.when(F.col("bucket") <= low, F.col("n")).otherwise(0)).over(group),
+    })
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), F.col("bucket")))
-    found = ranked.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), at(0.5).alias("mid"), at(0.05).alias("low"))
-    return found.withColumns({"mid": bucket_value(F.col("mid")), "low": bucket_value(F.col("low"))})
+    some = F.min(F.when((F.col("bucket") > low) & (F.col("upto") - F.col("none") >= F.ceil((F.col("rows") - F.col("none")) * 0.5)), F.col("bucket")))
+    found = ranked.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), F.max("none").alias("none"), at(0.25).alias("q1"), at(0.75).alias("q3"), some.alias("some"))
+    q1, q3 = bucket_value(F.col("q1")), bucket_value(F.col("q3"))
+    usual = F.coalesce((F.col("rows") - F.col("none")) / F.col("rows") * bucket_value(F.col("some")), F.lit(0.0))
+    rate = F.col("metric").isin([m for m, n in METRICS.items() if n])
+    shape = F.struct("rows", F.when(rate, usual).otherwise(q3).alias("place"), F.greatest(q3 - q1, q3 * (RATIO - 1)).alias("spread"))
+    return found.select(*[F.col(c).alias(f"{name}_{c}") for c in by], F.col("metric").alias(f"{name}_metric"), shape.alias(name))
 
 
 def limits(counts: DataFrame) -> DataFrame:
-    """`(lang, source, symbol_rate_limit, ...)`: one row for each pair of language and source with words."""
+    """`(lang, source, symbol_rate_usual, dup_line_share_usual, word_length_limit)`: one row for each pair with words."""
     sketch = cut_lineage(sketches(counts))
-    own, by_lang, by_all = _quantiles(sketch, ["lang", "source"]), _quantiles(sketch, ["lang"]), _quantiles(sketch, [])
-    lang = by_lang.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.struct("rows", "mid", "low").alias("l"))
-    every = by_all.select(F.col("metric").alias("a_metric"), F.struct("rows", "mid", "low").alias("a"))
-    joined = own.join(lang, own.lang.eqNullSafe(lang.l_lang) & (own.metric == lang.l_metric)).join(every, own.metric == every.a_metric)
-    pick = F.when(F.col("rows") >= MIN_ROWS, F.struct("rows", "mid", "low")).when(F.col("l.rows") >= MIN_ROWS, F.col("l")).otherwise(F.col("a"))
-    spread = F.create_map(*[x for m, s in METRICS.items() for x in (F.lit(m), F.lit(s))])[F.col("metric")]
-    chosen = joined.select("lang", "source", "metric", pick.alias("p"), spread.alias("least"))
-    limit = F.col("p.mid") + SPREADS * F.greatest(F.col("p.mid") - F.col("p.low"), F.col("least"))
-    at = lambda m: F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"{m}_limit")
-    return chosen.withColumn("limit", limit).groupBy("lang", "source").agg(*[at(m) for m in METRICS])
+    own, lang, every = _level(sketch, ["lang", "source"], "o"), _level(sketch, ["lang"], "l"), _level(sketch, [], "a")
+    joined = own.join(lang, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_metric") == F.col("l_metric")))
+    joined = joined.join(every, F.col("o_metric") == F.col("a_metric"))
+
+    def smooth(inner: str, value: Column, c: str) -> Column:
+        return (F.col(f"{inner}.rows") * F.col(f"{inner}.{c}") + SMOOTHING * value) / (F.col(f"{inner}.rows") + SMOOTHING)
+
+    place, spread = (smooth("o", smooth("l", F.col(f"a.{c}"), c), c) for c in ("place", "spread"))
+    chosen = joined.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_metric").alias("metric"), place.alias("place"), spread.alias("spread"))
+    at = lambda m, c: F.max(F.when(F.col("metric") == m, c))
+    limit = F.col("place") + SPREADS * F.col("spread")
+    return chosen.groupBy("lang", "source").agg(*[at(m, F.col("place")).alias(f"{m}_usual") if n else at(m, limit).alias(f"{m}_limit") for m, n in METRICS.items()])
+
+
+def limit_columns(prefix: str = "") -> dict[str, Column]:
+    """The limit of each metric for a text, from its counts and the row of `limits` beside them.
+
+    A rate may pass the usual one by chance: the fewer words or lines, the more.
+    """
+    at = lambda c: F.col(prefix + c)
+    error = lambda m, n: at(f"{m}_usual") + ERRORS * F.sqrt(at(f"{m}_usual") / at(n)) + ERRORS * ERRORS / at(n)
+    return {m: F.when(at(n) > 0, error(m, n)) if n else at(f"{m}_limit") for m, n in METRICS.items()}
+
+
+RULES = [f"{m}_usual" if n else f"{m}_limit" for m, n in METRICS.items()]
 
 
 def _verdicts(prefix: str = "") -> tuple[Column, Column]:
     """Whether the base rules fail and whether a text stays, from the counts and limits beside each other."""
     at = lambda c: F.col(prefix + c)
     base = (at("n_words") < MIN_WORDS) | (100 * at("n_repeat_words") > MAX_REPEATED * at("n_words"))
-    kept = ~base
+    kept, limit = ~base, limit_columns(prefix)
     for m, value in metric_columns(prefix).items():
-        kept = kept & F.coalesce(value <= at(f"{m}_limit"), F.lit(True))
+        kept = kept & F.coalesce(value <= limit[m], F.lit(True))
     return base, kept
 
 
@@ -178,15 +207,17 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
     `base_failed`: fewer than 10 words, or more than 20 % of them in repeated windows of five.
     `kept` is false for these and for texts above a limit of their language and source: symbols a
-    word, share of repeated lines, characters a word. Null and empty texts have no words and fail.
+    word, share of repeated lines, characters a word. Limits follow each group's own sketch, smoothed
+    towards its language by `SMOOTHING` rows; none is fixed. Null and empty texts have no words and fail.
     Null languages and sources are groups like any other. Repeated rows are judged each; their ids
     don't matter. An empty table gives an empty one; extra columns are ignored.
     """
     counts = cut_lineage(count(documents, doc_id, text, lang, source))
-    found = limits(counts).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{m}_limit" for m in METRICS])
+    found = limits(counts).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *RULES)
     joined = counts.join(found, counts.lang.eqNullSafe(F.col("_lang")) & counts.source.eqNullSafe(F.col("_source")), "left")
     base, kept = _verdicts()
-    return joined.withColumns({"base_failed": base, "kept": kept}).drop("_lang", "_source")
+    shown = {f"{m}_limit": c for m, c in limit_columns().items()}
+    return joined.withColumns({"base_failed": base, "kept": kept, **shown}).drop("_lang", "_source", *[r for r in RULES if r.endswith("_usual")])
 
 
 def passing(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -25,12 +25,25 @@ def _quality() -> str:
     low = math.floor(math.log(quality.SMALLEST) / math.log(quality.RATIO))
     ratio, step = f"{quality.RATIO}::DOUBLE", repr(math.log(quality.RATIO))
     value = lambda b: f"CASE WHEN {b} <= {low} THEN 0.0::DOUBLE ELSE 2 * pow({ratio}, {b}) / ({ratio} + 1) END"
+    rates = [m for m, n in quality.METRICS.items() if n]
     at = lambda q: value(f"b[ceil(n * {q}::DOUBLE)::BIGINT]")
-    level = lambda by: f"SELECT {by}metric, n, {at(0.5)} AS mid, {at(0.05)} AS low FROM (SELECT {by}metric, count(*) AS n, list_sort(list(bucket)) AS b FROM sketch GROUP BY {by}metric)"
-    least = " ".join(f"WHEN '{m}' THEN {s}::DOUBLE" for m, s in quality.METRICS.items())
-    pivot = ", ".join(f"max(CASE WHEN metric = '{m}' THEN lim END) AS {m}_limit" for m in quality.METRICS)
-    within = " AND ".join(f"coalesce({m} <= {m}_limit, true)" for m in quality.METRICS)
-    shown = ", ".join(f"round({m}_limit, 6) AS {m}_limit" for m in quality.METRICS)
+    usual = f"CASE WHEN z < n THEN (n - z) / n::DOUBLE * {value('b[z + ceil((n - z) * 0.5::DOUBLE)::BIGINT]')} ELSE 0.0::DOUBLE END"
+    level = lambda by: (
+        f"SELECT *, CASE WHEN metric IN ({', '.join(map(repr, rates))}) THEN usual ELSE q3 END AS place, greatest(q3 - q1, q3 * {quality.RATIO - 1!r}::DOUBLE) AS spread FROM ("
+        f"SELECT {by}metric, n, {at(0.25)} AS q1, {at(0.75)} AS q3, {usual} AS usual FROM ("
+        f"SELECT {by}metric, count(*) AS n, count(*) FILTER (bucket <= {low}) AS z, list_sort(list(bucket)) AS b FROM sketch GROUP BY {by}metric))"
+    )
+    m = quality.SMOOTHING
+    smooth = lambda inner, outer, c: f"({inner}.n * {inner}.{c} + {m} * {outer}) / ({inner}.n + {m})"
+    both = ", ".join(f"{smooth('o', smooth('l', f'a.{c}', c), c)} AS {c}" for c in ("place", "spread"))
+    spreads, errors = f"{quality.SPREADS}::DOUBLE", f"{quality.ERRORS}::DOUBLE"
+    pivot = ", ".join(
+        f"max(CASE WHEN metric = '{m}' THEN {'place' if n else f'place + {spreads} * spread'} END) AS {m}_{'usual' if n else 'limit'}" for m, n in quality.METRICS.items()
+    )
+    error = lambda m, n: f"CASE WHEN c.{n} > 0 THEN {m}_usual + {errors} * sqrt({m}_usual / c.{n}) + {errors} * {errors} / c.{n} END"
+    bound = {m: error(m, n) if n else f"{m}_limit" for m, n in quality.METRICS.items()}
+    within = " AND ".join(f"coalesce({m} <= {b}, true)" for m, b in bound.items())
+    shown = ", ".join(f"round({b}, 6) AS {m}_limit" for m, b in bound.items())
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 starts AS (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM t),
@@ -50,13 +63,9 @@ long AS (UNPIVOT (SELECT lang, source, symbol_rate, dup_line_share, word_length
 sketch AS (SELECT lang, source, metric, CASE WHEN v <= {quality.SMALLEST}::DOUBLE THEN {low} ELSE ceil(ln(v) / {step}::DOUBLE)::INT END AS bucket FROM long),
 own AS ({level('lang, source, ')}), of_lang AS ({level('lang, ')}), of_all AS ({level('')}),
 chosen AS (
-  SELECT o.lang, o.source, o.metric,
-    CASE WHEN o.n >= {quality.MIN_ROWS} THEN o.mid WHEN l.n >= {quality.MIN_ROWS} THEN l.mid ELSE a.mid END AS mid,
-    CASE WHEN o.n >= {quality.MIN_ROWS} THEN o.low WHEN l.n >= {quality.MIN_ROWS} THEN l.low ELSE a.low END AS low
+  SELECT o.lang, o.source, o.metric, {both}
   FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN of_all a ON o.metric = a.metric),
-limits AS (
-  SELECT lang, source, {pivot}
-  FROM (SELECT *, mid + {quality.SPREADS}::DOUBLE * greatest(mid - low, CASE metric {least} END) AS lim FROM chosen) GROUP BY lang, source),
+limits AS (SELECT lang, source, {pivot} FROM chosen GROUP BY lang, source),
 judged AS (
   SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words,
     c.n_words < {quality.MIN_WORDS} OR 100 * c.n_repeat_words > {quality.MAX_REPEATED} * c.n_words AS base_failed, {within} AS passed, {shown}
