@@ -19,6 +19,8 @@ from earmark.session import cut_lineage, shared_folder
 __all__ = ["cut_lineage", "shared_folder", "bound_batches", "input_bytes", "deal", "take_columns", "with_measures"]
 
 BATCH_BYTES = 16 << 20
+# Bytes of a shuffle partition, about.
+PARTITION_BYTES = 64 << 20
 
 
 _shipped: set[str] = set()
@@ -57,9 +59,12 @@ def input_bytes(df: DataFrame) -> int:
     return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
 
 
-def deal(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle by keys into the session's number of shuffle partitions, without merging them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def deal(df: DataFrame, *keys: str, expected: int = 0) -> DataFrame:
+    """Shuffle by keys, without merging partitions.
+
+    There are as many as the session asks for, or more where `expected` bytes need them.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(expected // PARTITION_BYTES, 1 << 20))
     return df.repartition(n, *keys)
 
 

@@ -14,12 +14,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earmark.llm.jobs import cut_lineage, take_columns
+from earmark.llm.jobs import cut_lineage, deal, take_columns
 
 SHARDS = 16
 RACK, REGION = 4, 2
 # Slots are numbered in parts of a shard, by the leading bits of a hash.
 PART_BITS = 12
+# Equal rows that one piece stands for.
+PIECE = 1 << 16
 
 
 class Leaf(NamedTuple):
@@ -82,13 +84,14 @@ def assign(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", t
 
     The law is `key`: id and tree decide, so rows of one id share a shard, and all rows with a null
     id do. `size` is the bytes of the text plus 1, `text_crc32` its checksum; a null text is empty.
-    `slot` counts from 0 without gaps in each shard, by a hash of the id, then id, size and checksum;
-    rows that are equal in all of these are alike. `grown_shard` is the shard with one shard more, a
+    `slot` counts from 0 without gaps in each shard, by a hash of id, size and checksum, then these;
+    rows that are equal in all of them are alike. `grown_shard` is the shard with one shard more, a
     region of its own. `leaves` gives another tree or weights; shards of weight 0 take nothing. An
     empty table gives an empty one.
 
-    Slots are numbered in 4096 parts of a shard and offset by the counts of earlier parts, so no task
-    sorts a whole shard.
+    Rows are counted before they are shuffled, and different ones numbered in 4096 parts of a shard, offset by the
+    counts of earlier parts. Repeated rows come out of their count in pieces that are dealt to all tasks, so neither a
+    null or repeated id nor a group of equal rows is sorted or made by one task.
     """
     leaves = list(leaves) if leaves is not None else tree(shards)
     more = leaves + [Leaf(max(x.region for x in leaves) + 1, max(x.rack for x in leaves) + 1, max(x.shard for x in leaves) + 1)]
@@ -98,12 +101,15 @@ def assign(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", t
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    placed = descend(descend(docs, key, leaves, "shard"), key, more, "grown_shard").withColumn("h", F.xxhash64("doc_id"))
+    counted = docs.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    placed = descend(descend(counted, key, leaves, "shard"), key, more, "grown_shard").withColumn("h", F.xxhash64("doc_id", "size", "text_crc32"))
     placed = cut_lineage(placed.withColumn("part", F.shiftrightunsigned("h", 64 - PART_BITS).cast("int")))
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    offsets = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", "doc_id", "size", "text_crc32")) - 1
-    numbered = placed.withColumn("inner", inner).join(offsets, ["shard", "part"])
-    return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inner")).cast("long").alias("slot"), "grown_shard"
-    )
+    counts = placed.groupBy("shard", "part").agg(F.sum("n").alias("rows"))
+    offsets = counts.select("shard", "part", (F.sum("rows").over(Window.partitionBy("shard").orderBy("part")) - F.col("rows")).alias("before"))
+    inner = F.sum("n").over(Window.partitionBy("shard", "part").orderBy("h", "doc_id", "size", "text_crc32")) - F.col("n")
+    first = placed.withColumn("inner", inner).join(offsets, ["shard", "part"]).withColumn("first", F.col("before") + F.col("inner"))
+    shown = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard"]
+    alone = first.where("n = 1").select(*shown, F.col("first").cast("long").alias("slot"), "grown_shard")
+    pieces = first.where("n > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
+    dealt = deal(pieces, "h", "piece").withColumn("i", F.explode(F.sequence("piece", F.least(F.col("piece") + PIECE, "n") - 1)))
+    return alone.unionByName(dealt.select(*shown, (F.col("first") + F.col("i")).cast("long").alias("slot"), "grown_shard"))

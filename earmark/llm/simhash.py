@@ -250,17 +250,6 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
-def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without near-duplicates: of each component the row with the smallest id stays.
-
-    All columns stay as they are. Rows with a null id belong to no component and stay; repeated rows
-    of one id stay together.
-    """
-    found = near_duplicates(documents, doc_id, text).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = found.select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents[doc_id] == gone["_gone"], "left_anti")
-
-
 def one_row_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows without near-duplicates: exactly one row of each component of `near_duplicates` stays, with all columns.
 

@@ -322,11 +322,13 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     slices = _slices(docs)
     known = docs.where("doc_id IS NOT NULL")
     runs = known.mapInArrow(_index_and_probe(slices), PACKED)
-    marks = deal(runs, "slice", "salt").sortWithinPartitions("slice", "salt", "kind").mapInArrow(_mark, "doc long, h binary")
+    # Packed hashes are some four times the texts as they are stored.
+    expected = 4 * input_bytes(docs)
+    marks = deal(runs, "slice", "salt", expected=expected).sortWithinPartitions("slice", "salt", "kind").mapInArrow(_mark, "doc long, h binary")
     marked = marks.groupBy("doc").agg(F.collect_list("h").alias("marks"))
     near = cut_lineage(known.join(marked, known.doc_id == marked.doc).select("doc_id", "text", "marks"))
     claims = near.mapInArrow(_claim(slices * SALTS), PACKED)
-    owned = deal(claims, "slice").sortWithinPartitions("slice").mapInArrow(_own, "doc long, h binary")
+    owned = deal(claims, "slice", expected=expected).sortWithinPartitions("slice").mapInArrow(_own, "doc long, h binary")
     mine = owned.groupBy("doc").agg(F.collect_list("h").alias("owned"))
     judged = near.join(mine, near.doc_id == mine.doc, "left").select("doc_id", "text", "marks", "owned").mapInArrow(_cut(keep_text), RESULT)
     touched = near.select(F.col("doc_id").alias("_touched")).distinct()

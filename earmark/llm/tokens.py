@@ -245,7 +245,7 @@ def write_files(documents: DataFrame, vocabulary: str, path: str, end_id: int =
 
     `vocabulary` is a file of the tokenizers library on the driver; its content (a few MB) is sent
     to the tasks. Rows are dealt by ranges of doc_id and sorted, so ids ascend through the files;
-    ties are in order of the text. A null text is empty and gets the end id only. An empty table
+    ties are in order of a hash of the text, then of the input. A null text is empty and gets the end id only. An empty table
     writes no file with documents.
     """
     spark = documents.sparkSession
@@ -257,8 +257,11 @@ def write_files(documents: DataFrame, vocabulary: str, path: str, end_id: int =
     width = 2 if max(Tokenizer.from_str(content).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     docs = take_columns(documents, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION_BYTES)
-    ranged = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = ranged.mapInArrow(_write_parts(spark.sparkContext.broadcast(content), end_id, width, file_tokens), "data binary")
+    # Rows of one id, or without one, are parted by their texts, and equal texts by their place in the input.
+    docs = docs.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
+    ranged = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    files = ranged.drop("tie", "row").mapInArrow(_write_parts(spark.sparkContext.broadcast(content), end_id, width, file_tokens), "data binary")
     # A text file of one row is its bytes and a line end, which the layout counts in: byte 0x0A.
     whole = files.select(F.expr("cast(substring(data, 1, length(data) - 1) as string)").alias("value"))
     whole.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
