@@ -21,6 +21,7 @@ __all__ = ["cut_lineage", "shared_folder", "bound_batches", "input_bytes", "deal
 BATCH_BYTES = 16 << 20
 # Bytes of a shuffle partition, about.
 PARTITION_BYTES = 64 << 20
+UNKNOWN = 1 << 50
 
 
 _shipped: set[str] = set()
@@ -56,16 +57,17 @@ def bound_batches(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of `df`, used to choose partition counts only."""
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), UNKNOWN)
 
 
 def deal(df: DataFrame, *keys: str, expected: int = 0) -> DataFrame:
     """Shuffle by keys, without merging partitions.
 
-    There are as many as the session asks for, or more where `expected` bytes need them.
+    There are as many as the session asks for, or more where `expected` bytes need them. Spark gives
+    `UNKNOWN` bytes or more for tables whose size it can't tell; these ask for none.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(expected // PARTITION_BYTES, 1 << 20))
-    return df.repartition(n, *keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n if expected >= UNKNOWN else max(n, min(expected // PARTITION_BYTES, 1 << 20)), *keys)
 
 
 def take_columns(df: DataFrame, **columns: str) -> DataFrame:
