@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,6 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 UNSEEN = frozenset("script style noscript template head title svg iframe object canvas select option datalist textarea button".split())
 # Opening one of these ends an open paragraph.
 ENDS_P = frozenset("p div ul ol dl li h1 h2 h3 h4 h5 h6 table section article aside nav header footer main form blockquote pre hr figure address".split())
-PATH_FEATURES = 64
 BUCKETS, SIZE, HIDDEN, NUMBERS = 2048, 12, 16, 6
 
 # Names in tags, classes and ids that tell what an element holds.
@@ -43,32 +43,174 @@ def feature(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+# Elements whose content is text up to their end tag; a script or style that never ends goes to the end of the page.
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+BLANK = r" \t\n\r\f"
+GAP = re.compile(f"[{BLANK}/]*+")
+TAG = re.compile(f"[^{BLANK}/>]++")
+ATTRIBUTE = re.compile(f"=?[^{BLANK}/>=]*+")
+EQUALS = re.compile(f"[{BLANK}]*+=[{BLANK}]*+")
+UNQUOTED = re.compile(f"[^{BLANK}>]*+")
+COMMENT_END = re.compile("--!?>")
+# Numbers of references beyond all code points, and zeros before them, of which there may be any count.
+ZEROS = re.compile("&#(?:(x)0{6,}(?=[0-9a-f])|0{6,}(?=[0-9]))", re.I)
+TOO_LARGE = re.compile("&#(?:[0-9]{8,}|x[0-9a-f]{7,});?", re.I)
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = TOO_LARGE.sub("\ufffd", ZEROS.sub(lambda m: "&#x" if m[1] else "&#", text))
+    return unescape(text)
+
+
+def _split(value: str) -> list[str]:
+    return [f".{w}" for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
+
+
+_split_short = lru_cache(maxsize=4096)(_split)
+
+
 def _names(tag: str, attrs: list[tuple[str, str | None]]) -> list[str]:
     out = [tag]
     for key, value in attrs:
         if key in ("class", "id", "role") and value:
-            out += [f".{w}" for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value[:200]).lower()) if w][:8]
+            out += _split_short(value) if len(value) < 200 else _split(value)
     return out
 
 
+class Path:
+    """Names of the containers around a block, as a chain: each link adds the names that no link above has.
+
+    So a page's paths take memory for its tags, however deep they are.
+    """
+
+    __slots__ = ("above", "names", "own", "count", "article", "boilerplate")
+
+    def __init__(self, above: "Path | None", names: list[str], own: list[int]):
+        self.above, self.names, self.own = above, names, own
+        bare = {n.lstrip(".") for n in names}
+        self.count = len(own) + (above.count if above else 0)
+        self.article = bool(bare & ARTICLE) or above is not None and above.article
+        self.boilerplate = bool(bare & BOILERPLATE) or above is not None and above.boilerplate
+
+
+def path_of(names: tuple[str, ...]) -> Path | None:
+    """A path of one link."""
+    return Path(None, list(names), [feature(n) for n in names]) if names else None
+
+
 class Block:
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "within", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, path: Path | tuple[str, ...] | None, linked: int):
+        self.text, self.within, self.linked = text, path_of(path) if isinstance(path, tuple) else path, linked
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, link = [], self.within
+        while link:
+            out[:0] = link.names
+            link = link.above
+        return tuple(out)
 
-class BlockParser(HTMLParser):
-    """Cuts a page into blocks; unclosed and stray tags are taken as browsers take them, roughly."""
+
+class BlockParser:
+    """Cuts a page into blocks; unclosed and stray tags are taken as browsers take them, roughly.
+
+    Reads any text in one pass: a tag, a comment or a declaration that never ends goes to the end of the page,
+    and an attribute's quote that never ends is no quote.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, Path | None]] = []
         self.open: dict[str, int] = {}
+        self.held: set[int] = set()
         self.unseen = self.links = self.linked = 0
         self.parts: list[str] = []
-        self.path: tuple[str, ...] = ()
+        self.path: Path | None = None
+        self.absent: set[str] = set()
+
+    def feed(self, page: str) -> None:
+        """Read a whole page."""
+        at, size = 0, len(page)
+        while at < size:
+            sign = page.find("<", at)
+            if sign < 0:
+                sign = size
+            if sign > at:
+                self.handle_data(page[at:sign])
+            after = page[sign + 1 : sign + 2]
+            if sign == size:
+                return
+            if after.isascii() and after.isalpha():
+                at = self._start(page, sign + 1)
+            elif after and after in "/!?":
+                at = self._mark(page, sign, after)
+            else:
+                self.handle_data("<")
+                at = sign + 1
+
+    def _mark(self, page: str, sign: int, kind: str) -> int:
+        """An end tag, comment or declaration; returns where it ends."""
+        if page.startswith("<!--", sign):
+            if page.startswith((">", "->"), sign + 4):
+                return page.index(">", sign) + 1
+            m = COMMENT_END.search(page, sign + 4)
+            return m.end() if m else len(page)
+        end = page.find(">", sign)
+        name = page[sign + 2 : sign + 3]
+        if end >= 0 and kind == "/" and name.isascii() and name.isalpha():
+            self.handle_endtag(TAG.match(page, sign + 2)[0].lower())
+        return end + 1 if end >= 0 else len(page)
+
+    def _start(self, page: str, at: int) -> int:
+        """A start tag with its attributes; returns where it, or its raw content, ends."""
+        m = TAG.match(page, at)
+        tag, at, attrs, closed = m[0].lower(), m.end(), [], False
+        while True:
+            gap = GAP.match(page, at).end()
+            closed = gap > at and page[gap - 1] == "/"
+            at = gap
+            if at >= len(page):
+                return at
+            if page[at] == ">":
+                break
+            m = ATTRIBUTE.match(page, at)
+            key, at, value = m[0].lower(), m.end(), None
+            m = EQUALS.match(page, at)
+            if m:
+                at = m.end()
+                quote = page[at : at + 1]
+                end = page.find(quote, at + 1) if quote and quote in "\"'" and quote not in self.absent else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    if quote and quote in "\"'":
+                        self.absent.add(quote)
+                    m = UNQUOTED.match(page, at)
+                    value, at = m[0], m.end()
+            attrs.append((key, decoded(value) if value else value))
+        at += 1
+        if closed:
+            self.handle_startendtag(tag, attrs)
+            return at
+        self.handle_starttag(tag, attrs)
+        if tag in RAW and tag not in self.absent:
+            end = re.compile(f"</{tag}(?=[{BLANK}/>])", re.I | re.A).search(page, at)
+            if end:
+                self.handle_data(page[at : end.start()])
+                return end.start()
+            self.absent.add(tag)
+            if tag in ("script", "style"):
+                return len(page)
+        return at
+
+    def close(self) -> None:
+        self.flush()
 
     def flush(self) -> None:
         if self.parts:
@@ -78,11 +220,13 @@ class BlockParser(HTMLParser):
             self.parts, self.linked = [], 0
 
     def _pop(self) -> None:
-        tag, _ = self.stack.pop()
+        tag, path = self.stack.pop()
         self.open[tag] -= 1
         self.unseen -= tag in UNSEEN
         self.links -= tag == "a"
-        self.path = self.stack[-1][1] if self.stack else ()
+        self.path = self.stack[-1][1] if self.stack else None
+        if path is not self.path:
+            self.held.difference_update(path.own)
 
     def _close(self, tag: str) -> None:
         while self.stack and self.open.get(tag, 0):
@@ -103,8 +247,11 @@ class BlockParser(HTMLParser):
         if tag in VOID:
             return
         path = self.path
-        if tag not in INLINE and len(path) < PATH_FEATURES:
-            path = path + tuple(n for n in dict.fromkeys(_names(tag, attrs)) if n not in path)
+        if tag not in INLINE:
+            names = {k: n for n in _names(tag, attrs) if (k := feature(n)) not in self.held}
+            if names:
+                path = Path(path, list(names.values()), list(names))
+                self.held.update(names)
         self.stack.append((tag, path))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.unseen += tag in UNSEEN
@@ -123,6 +270,7 @@ class BlockParser(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
+            data = decoded(data)
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
@@ -130,42 +278,73 @@ class BlockParser(HTMLParser):
 
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page, in order."""
-    html = html or ""
-    tail = html.rfind("<!--")
-    if tail >= 0 and "-->" not in html[tail:] and "</script" not in html[tail:].lower():
-        html = html[:tail]  # a comment that is never closed goes to the end
     parser = BlockParser()
-    parser.feed(html)
+    parser.feed(html or "")
     parser.close()
-    parser.flush()
     return parser.blocks
 
 
 class Encoded:
-    """Blocks as arrays: runs of path features and of word features, and numbers."""
+    """Blocks as arrays: links of their paths with the features each adds, runs of word features, and numbers.
+
+    Links of one level follow the links above them, so sums over paths go down, and gradients up, level
+    by level: the work grows with links, not with the length of paths.
+    """
 
     def __init__(self, pages: list[list[Block]]):
-        paths: dict[tuple[str, ...], list[int]] = {}
-        path, words, n_path, n_words, numbers = [], [], [], [], []
+        place: dict[Path | None, int] = {}
+        own, n_own, above, depth, count = [], [], [], [], []
+        words, n_words, numbers, at = [], [], [], []
         known: dict[str, int] = {}
         for page in pages:
             for i, b in enumerate(page):
-                ids = paths.get(b.path)
-                if ids is None:
-                    ids = paths[b.path] = [feature(n) for n in b.path] or [0]
-                path += ids
-                n_path.append(len(ids))
+                chain, link = [], b.within
+                while link not in place:
+                    chain.append(link)
+                    link = link.above if link else None
+                    if link is None:
+                        break
+                for link in reversed(chain):
+                    place[link] = len(own)
+                    over = place[link.above] if link and link.above else -1
+                    own.append(link.own if link else [0])
+                    n_own.append(len(own[-1]))
+                    above.append(over)
+                    depth.append(depth[over] + 1 if over >= 0 else 0)
+                    count.append(link.count if link else 1)
+                at.append(place[b.within])
                 split = b.text.lower().split()
                 got = [known[w] if w in known else known.setdefault(w, feature(f"w:{w.strip('.,;:!?()')}")) for w in split]
                 words += got
                 n_words.append(len(got))
                 stops = sum(b.text.count(c) for c in ".,;!?")
                 numbers.append((np.log1p(len(b.text)) / 5, np.log1p(len(split)) / 4, b.linked / len(b.text), min(1.0, 10 * stops / len(b.text)), i / len(page), 1.0))
-        self.path, self.n_path = np.array(path, np.int64), np.array(n_path, np.int64)
+        self.own, self.n_own = np.array([x for run in own for x in run], np.int64), np.array(n_own, np.int64)
+        self.above, self.count, self.at = np.array(above, np.int64), np.array(count, np.float32), np.array(at, np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(np.array(depth)[order])) + 1)[1:] if depth else []
         self.words, self.n_words = np.array(words, np.int64), np.array(n_words, np.int64)
         self.numbers = np.array(numbers, np.float32).reshape(-1, NUMBERS)
         self.lengths = np.array([len(p) for p in pages])
 
+    def path_means(self, table: np.ndarray) -> np.ndarray:
+        """Mean of the rows of `table` for the features of each block's path."""
+        total = np.add.reduceat(table[self.own], np.cumsum(self.n_own) - self.n_own, axis=0)
+        for level in self.levels:
+            total[level] += total[self.above[level]]
+        return total[self.at] / self.count[self.at, None]
+
+    def path_gradient(self, d: np.ndarray) -> np.ndarray:
+        """Gradient of the table from that of the means."""
+        d = d / self.count[self.at, None]
+        out = np.zeros((BUCKETS, d.shape[1]))
+        for k in range(d.shape[1]):
+            total = np.bincount(self.at, d[:, k], len(self.above))
+            for level in reversed(self.levels):
+                np.add.at(total, self.above[level], total[level])
+            out[:, k] = np.bincount(self.own, np.repeat(total, self.n_own), BUCKETS)
+        return out
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -186,9 +365,9 @@ class Labeller:
 
     def vectors(self, e: Encoded) -> np.ndarray:
         mean = lambda table, ids, n: np.add.reduceat(table[ids], np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
-        return np.hstack([mean(self.w["path"], e.path, e.n_path), mean(self.w["word"], e.words, e.n_words), e.numbers]).astype(np.float32)
+        return np.hstack([e.path_means(self.w["path"]), mean(self.w["word"], e.words, e.n_words), e.numbers]).astype(np.float32)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool = False) -> tuple[np.ndarray, list]:
         """Hidden states of one direction over (step, page) with what training needs; masked steps keep the state."""
         steps, pages, _ = x.shape
         pre = x @ self.w[f"in_{side}"] + self.w[f"b_{side}"]
@@ -203,14 +382,15 @@ class Labeller:
             c2 = m * (f * c + i * g) + (1 - m) * c
             th = np.tanh(c2)
             h2 = m * (o * th) + (1 - m) * h
-            kept.append((t, h, c, i, f, o, g, th, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, th, m))
             h, c = h2, c2
             out[t] = h
         return out, kept
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        hf, kf = self.run(x, mask, "f")
-        hb, kb = self.run(x, mask, "b")
+        hf, kf = self.run(x, mask, "f", keep is not None)
+        hb, kb = self.run(x, mask, "b", keep is not None)
         full = np.concatenate([hf, hb, x], axis=2)
         if keep is not None:
             keep += [full, kf, kb]
@@ -250,10 +430,10 @@ class Labeller:
         dfull = d[:, :, None] * self.w["out"]
         dx = dfull[:, :, 2 * HIDDEN :] + self._back(x, dfull[:, :, :HIDDEN], kf, "f", grad) + self._back(x, dfull[:, :, HIDDEN : 2 * HIDDEN], kb, "b", grad)
         dv = dx[place]
-        for name, ids, count, at in (("path", e.path, e.n_path, 0), ("word", e.words, e.n_words, SIZE)):
-            each = np.repeat(dv[:, at : at + SIZE] / count[:, None], count, axis=0)
-            for k in range(SIZE):
-                grad[name][:, k] += np.bincount(ids, each[:, k], BUCKETS)
+        grad["path"] += e.path_gradient(dv[:, :SIZE])
+        each = np.repeat(dv[:, SIZE : 2 * SIZE] / e.n_words[:, None], e.n_words, axis=0)
+        for k in range(SIZE):
+            grad["word"][:, k] += np.bincount(e.words, each[:, k], BUCKETS)
         q = p[place]
         loss = -np.mean(np.log(np.where(labels > 0, q, 1 - q) + 1e-9))
         return float(loss), grad
@@ -305,11 +485,10 @@ def _padded(v: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def weak_labels(page: list[Block]) -> np.ndarray | None:
     """Labels from telling names in the paths, or None for a page without an article element."""
-    bare = [{n.lstrip(".") for n in b.path} for b in page]
-    inside = np.array([bool(n & ARTICLE) for n in bare])
+    inside = np.array([b.within is not None and b.within.article for b in page])
     if not inside.any():
         return None
-    return inside & ~np.array([bool(n & BOILERPLATE) for n in bare])
+    return inside & ~np.array([b.within is not None and b.within.boilerplate for b in page])
 
 
 def rebuilt(rng: np.random.Generator, prose: list[str], short: list[str]) -> str:
@@ -394,12 +573,16 @@ class _Marked(BlockParser):
             self.main = False
 
 
-SAMPLE_PAGES, REBUILT_PAGES = 160, 480
+# Pages of the sample, characters of each at most (longer ones are labelled, not learned from), rebuilt pages.
+SAMPLE_PAGES, SAMPLE_CHARS, REBUILT_PAGES = 160, 200_000, 480
+
 
+def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = REBUILT_PAGES, seed: int = 3, longest: int = SAMPLE_CHARS) -> Labeller:
+    """Fit on at most `sample` pages below `longest` characters, those with the smallest hashes of their ids, and `made` rebuilt ones.
 
-def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = REBUILT_PAGES, seed: int = 3) -> Labeller:
-    """Fit on at most `sample` pages, those with the smallest hashes of their ids, and `made` rebuilt ones."""
-    rows = pages.where(F.length("html") < 200_000).withColumn("h", F.xxhash64("page_id"))
+    So at most `sample * longest` characters come to the driver. All pages are labelled afterwards.
+    """
+    rows = pages.where(F.length("html") < longest).withColumn("h", F.xxhash64("page_id"))
     # Hashes first, pages then: no more than the sample's pages ever leave the tasks.
     last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(last)).limit(2 * sample).collect() if last is not None else []
@@ -418,7 +601,6 @@ def train_labeller(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = REB
         parser = _Marked()
         parser.feed(rebuilt(rng, prose, short))
         parser.close()
-        parser.flush()
         train.append(parser.blocks)
         labels.append(np.array(parser.labels))
     return Labeller().fit(train, labels)
