@@ -62,14 +62,6 @@ def test_hot_buckets_are_cut_without_losing_links(spark, monkeypatch):
     assert len({roots.get(p, p) for p in star}) == 1
 
 
-def test_one_of_each_keeps_all_columns(odd, empty):
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert None in ids and 1 in ids and 2 not in ids and 11 not in ids and ids.count(3) == 2
-    assert simhash.one_of_each(empty).count() == 0
-
-
 def test_one_row_of_each_keeps_one_row_of_each_component(odd, empty, documents):
     for df, rows in ((odd, [r[:2] for r in ROWS]), (documents, [(r.doc_id, r.text) for r in documents.collect()])):
         numbered = brute.near_components([(i, t) for i, (_, t) in enumerate(rows)])
