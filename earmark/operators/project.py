@@ -1,7 +1,8 @@
 """Music-project metadata: from XML text to nested columns, and from those to flat tables.
 
-One row holds one project document. Each is parsed by the standard parser in Arrow batches, without a
-shuffle, and read by tables of tag and attribute names. Elements are found at any depth, so nested
+One row holds one project document. Each is read by the standard parser as a stream of events in Arrow batches,
+without a shuffle: only elements that some part is made of are kept, each below the nearest kept one, so
+memory goes with what is extracted and not with the document. Elements are found at any depth, so nested
 tracks and devices count as often as they stand.
 """
 
@@ -42,8 +43,16 @@ def text_of(node: Node, *names: str) -> str | None:
     return next((node.attrib[n] for n in names if node.attrib.get(n)), None)
 
 
+def whole(text: str) -> int:
+    """A whole number that fits its column of 32 bits."""
+    number = int(text)
+    if not -(1 << 31) <= number < 1 << 31:
+        raise ValueError("out of range")
+    return number
+
+
 def number_of(node: Node, kind: Callable, default: float, *names: str) -> float | None:
-    """Attribute as a number: the default when missing, None when it is no number."""
+    """Attribute as a number: the default when missing, None when it is no number or doesn't fit its column."""
     text = text_of(node, *names)
     if text is None:
         return kind(default)
@@ -62,15 +71,72 @@ def complete(rows: Sequence[Row], *required: str) -> list[Row]:
     return [r for r in rows if all(r[k] is not None for k in required)]
 
 
+# The elements that parts are made of, in both dialects, and those whose text counts.
+ELEMENTS = frozenset(
+    "ArrangementTrack Track MidiTrack AudioTrack MidiClip ClipSlot Note MidiNote Clip AudioClip Tempo TempoMasterTimeSignature Key KeySignature "
+    "DeviceChain Device Parameter Value SampleRef AudioFile FileRef AutomationEnvelope Envelope Point AutomationPoint DocumentInfo Version MIDIRegion "
+    "MIDI Region Sequence MainSequence Timeline MIDITrack MIDINote note TempoList TempoTrack TempoEvent Event DefaultTempo KeyChange Plugin AUPlugin "
+    "Effect Insert Sample Automation AutomationTrack".split()
+)
+TEXTS = frozenset("SampleRef AudioFile FileRef DocumentInfo Version".split())
+# Text that the parser gets at a time.
+PIECE = 1 << 16
+
+
+class Kept:
+    """Target of the parser: the root and the wanted elements, each below the nearest kept one around it."""
+
+    def __init__(self) -> None:
+        self.root: Node | None = None
+        self.open: list[Node | None] = []
+        self.around: list[Node] = []
+        self.text: list[str] | None = None
+        self.nodes = 0
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        self._end_text()
+        name = tag.rpartition("}")[2]
+        if self.root is not None and name not in ELEMENTS:
+            self.open.append(None)
+            return
+        node = ElementTree.Element(name, attributes)
+        self.nodes += 1
+        if self.root is None:
+            self.root = node
+        else:
+            self.around[-1].append(node)
+        self.open.append(node)
+        self.around.append(node)
+        self.text = [] if name in TEXTS else None
+
+    def data(self, data: str) -> None:
+        if self.text is not None:
+            self.text.append(data)
+
+    def _end_text(self) -> None:
+        """Text of an element is what stands before its first child."""
+        if self.text is not None:
+            self.around[-1].text = "".join(self.text)
+            self.text = None
+
+    def end(self, tag: str) -> None:
+        self._end_text()
+        if self.open.pop() is not None:
+            self.around.pop()
+
+    def close(self) -> Node | None:
+        return self.root
+
+
 def parse(xml: str | None) -> Node | None:
-    """Root of a document with plain tag names, None for text that is no well-formed XML."""
+    """Root of a document with the wanted elements and plain tag names, None for text that is no well-formed XML."""
+    parser = ElementTree.XMLParser(target=Kept())
     try:
-        root = ElementTree.fromstring(xml or "")
+        for at in range(0, len(xml or ""), PIECE):
+            parser.feed(xml[at : at + PIECE])
+        return parser.close()
     except (ElementTree.ParseError, ValueError):
         return None
-    for e in root.iter():
-        e.tag = e.tag.rpartition("}")[2]
-    return root
 
 
 # ---------------------------------------------------------------- D1
@@ -86,11 +152,11 @@ LOGIC_NOTE = {
 def _notes(nodes: Sequence[Node], names: dict[str, tuple[str, ...]]) -> list[Row]:
     rows = [
         {
-            "note": number_of(e, int, 60, *names["note"]),
-            "velocity": number_of(e, int, 100, *names["velocity"]),
+            "note": number_of(e, whole, 60, *names["note"]),
+            "velocity": number_of(e, whole, 100, *names["velocity"]),
             "start_time": number_of(e, float, 0.0, *names["start"]),
             "duration": number_of(e, float, 1.0, *names["duration"]),
-            "channel": number_of(e, int, 0, *names["channel"]),
+            "channel": number_of(e, whole, 0, *names["channel"]),
         }
         for e in nodes
     ]
@@ -204,6 +270,20 @@ def _logic(root: Node) -> Row:
     }
 
 
+# Attributes that hold whole numbers, by dialect.
+WHOLE = {d: [n for part in ("note", "velocity", "channel") for n in names[part]] for d, names in (("ableton", ABLETON_NOTE), ("logic", LOGIC_NOTE))}
+
+
+def unfit(root: Node, dialect: str) -> bool:
+    """Whether a whole number of some note is too large for its column."""
+    for e in root.iter():
+        for name in WHOLE[dialect] if e.tag in ("Note", "MidiNote", "MIDINote", "note") else ():
+            digits = e.attrib.get(name, "").strip().lstrip("+-").lstrip("0")
+            if len(digits) > 9 and digits.isdigit() and number_of(e, whole, 0, name) is None:
+                return True
+    return False
+
+
 DIALECTS = {"ableton": _ableton, "logic": _logic}
 
 _NOTE = "struct<note:int,velocity:int,start_time:double,duration:double,channel:int>"
@@ -228,7 +308,10 @@ def merge_regions(regions: Column) -> Column:
 
 
 def project_xml_extract(documents: DataFrame, dialect: str) -> DataFrame:
-    """Nested metadata of `documents(path, xml)`. Text that is no well-formed XML gets an `error` and no parts."""
+    """Nested metadata of `documents(path, xml)`. Text that is no well-formed XML gets an `error` and no parts.
+
+    A note whose number is none, or too large for its column, is left out; the latter gives an `error` beside the parts.
+    """
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect: {dialect}")
     read, fields = DIALECTS[dialect], T.StructType.fromDDL(PARTS).fields
@@ -241,7 +324,7 @@ def project_xml_extract(documents: DataFrame, dialect: str) -> DataFrame:
             rows = []
             for path, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = parse(xml)
-                parts = {"error": "not well-formed XML"} if root is None else {**read(root), "error": None}
+                parts = {"error": "not well-formed XML"} if root is None else {**read(root), "error": "a number is too large" if unfit(root, dialect) else None}
                 rows.append({"path": path, **{n: parts.get(n) for n in names}})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
