@@ -8,6 +8,8 @@ from earmark import fixtures as X
 from earmark.checks.matching_sql import FILTER_THRESHOLD, P, run_parts, vote_parts
 from earmark.checks.support import Query, r6, tidy
 from earmark.operators import fusion as Q
+from earmark.pipeline import search_by_severity, severity_thresholds
+from earmark.session import cut_lineage
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -249,16 +251,107 @@ def scale_decision(spark, sf):
     return Q.scale_decision(X.hits(spark, sf), X.truth(spark, sf).select("query_id", "transform_type", "severity"), 40)
 
 
+P.add(
+    "leads",
+    "SELECT query_id, scale, top_id AS cand_id, count(*) / max(n) AS r1, max(top_similarity) AS mx, avg(top_similarity) AS mean FROM "
+    "(SELECT *, count(*) OVER (PARTITION BY query_id, scale) AS n FROM tops) GROUP BY ALL",
+)
+_clear = "((r1 >= 0.8 AND mx >= 0.9) OR mx >= 0.95 OR (mean >= 0.92 AND r1 >= 0.7)) AND least(1.0, mean * r1) >= 0.95"
+
+
 @register(
     "confident_match",
-    f"SELECT query_id, cand_id, {r6('r1')} AS rank_1_ratio, {r6('mx')} AS max_similarity, {r6('mean')} AS mean_similarity, {r6('least(1.0, mean * r1)')} AS confidence, "
-    "((r1 >= 0.8 AND mx >= 0.9) OR mx >= 0.95 OR (mean >= 0.92 AND r1 >= 0.7)) AND least(1.0, mean * r1) >= 0.95 AS confident FROM ("
-    "SELECT query_id, top_id AS cand_id, count(*) / max(n) AS r1, max(top_similarity) AS mx, avg(top_similarity) AS mean FROM "
-    "(SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tops WHERE scale = 1000) GROUP BY ALL)",
+    f"SELECT query_id, scale, cand_id, {r6('r1')} AS rank_1_ratio, {r6('mx')} AS max_similarity, {r6('mean')} AS mean_similarity, {r6('least(1.0, mean * r1)')} AS confidence, {_clear} AS confident FROM leads",
 )
 def confident_match(spark, sf):
-    """On the first scale, whose segments are those of the catalogue."""
-    return Q.confident_match(X.hits(spark, sf).where("scale = 1000"))
+    """In each scale alone."""
+    return Q.confident_match(X.hits(spark, sf), by_scale=True)
+
+
+# Search in two rounds with settings by severity.
+P.add("ms_set", "SELECT query_id, severity, greatest(10, CASE severity WHEN 'severe' THEN 26 WHEN 'moderate' THEN 22 ELSE 20 END) AS k0 FROM truth")
+
+
+def _grain(source: str) -> str:
+    return (
+        "SELECT *, row_number() OVER (PARTITION BY query_id, scale, segment_idx ORDER BY similarity DESC, cand_id) AS rank FROM ("
+        "SELECT query_id, scale, segment_idx, scale_weight, split_part(cand_id, '_seg_', 1) AS cand_id, max(similarity) AS similarity FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY query_id, scale, segment_idx ORDER BY similarity DESC, cand_id) AS r FROM {source}) WHERE r <= depth GROUP BY ALL)"
+    )
+
+
+P.add("ms_near", "SELECT s.*, m.k0 AS depth FROM scored s JOIN ms_set m USING (query_id)")
+P.add("ms_first", _grain("ms_near"))
+P.add("ms_tops1", "SELECT query_id, scale, segment_idx, cand_id AS top_id, similarity AS top_similarity FROM ms_first WHERE rank = 1")
+P.add("ms_lead", P.parts["leads"].replace("FROM tops", "FROM ms_tops1"))
+P.add(
+    "ms_again",
+    "SELECT query_id, least(2 * k0, CASE severity WHEN 'severe' THEN 100 WHEN 'moderate' THEN 60 ELSE 40 END) AS depth FROM ms_set JOIN ("
+    "SELECT query_id, max(v) / sum(v) AS a FROM (SELECT query_id, top_id, count(*) AS v FROM ms_tops1 GROUP BY ALL) GROUP BY query_id) USING (query_id) "
+    "WHERE a < CASE severity WHEN 'severe' THEN 0.75 WHEN 'moderate' THEN 0.88 ELSE 0.0 END "
+    f"AND query_id NOT IN (SELECT query_id FROM ms_lead WHERE {_clear})",
+)
+P.add(
+    "ms_wide",
+    "SELECT query_id, scale, scale_weight, segment_idx, depth, list_transform(v, lambda x: x / (CASE WHEN sqrt(list_dot_product(v, v)) > 0 THEN sqrt(list_dot_product(v, v)) ELSE 1 END)) AS vector FROM ("
+    "SELECT query_id, scale, scale_weight, segment_idx, depth, list(x ORDER BY d) AS v FROM ("
+    "SELECT a.query_id, w.scale, w.scale_weight, a.segment_idx, g.depth, d, avg(b.vector[d]) AS x FROM ms_again g JOIN mask a USING (query_id) "
+    "JOIN (VALUES (3, 3000, 0.3::DOUBLE), (5, 5000, 0.4::DOUBLE)) w(n, scale, scale_weight) ON a.segment_idx + w.n <= 5 "
+    "JOIN mask b ON b.query_id = a.query_id AND b.segment_idx BETWEEN a.segment_idx AND a.segment_idx + w.n - 1, (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL) GROUP BY ALL)",
+)
+P.add(
+    "ms_wide_near",
+    "SELECT q.query_id, q.scale, q.segment_idx, q.scale_weight, c.cand_id, (round((list_dot_product(q.vector, c.vector)) * 1073741824) / 1073741824) + 0.0 AS similarity, q.depth FROM ms_wide q, cat c",
+)
+P.add("ms_second", _grain("ms_wide_near"))
+P.add(
+    "ms_hits",
+    "SELECT * REPLACE (scale_weight / total AS scale_weight) FROM (SELECT * FROM ms_first UNION ALL SELECT * FROM ms_second) JOIN ("
+    "SELECT query_id, sum(w) AS total FROM (SELECT DISTINCT query_id, scale, scale_weight AS w FROM (SELECT * FROM ms_first UNION ALL SELECT * FROM ms_second)) GROUP BY query_id) USING (query_id)",
+)
+P.add("ms_tops", "SELECT query_id, scale, segment_idx, cand_id AS top_id, similarity AS top_similarity FROM ms_hits WHERE rank = 1")
+P.add(
+    "ms_limit",
+    "SELECT query_id, CASE severity WHEN 'severe' THEN greatest(0.18, t) WHEN 'moderate' THEN greatest(0.22, t) ELSE t END AS threshold FROM ms_set JOIN ("
+    "SELECT query_id, greatest(0.1, least(0.4, 0.2 - (avg(top_similarity) - 0.5) * 0.1)) AS t FROM ms_tops GROUP BY query_id) USING (query_id)",
+)
+P.add(
+    "ms_pass",
+    "SELECT query_id, scale, segment_idx, top_id, top_similarity FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, "
+    "count(*) FILTER (WHERE top_similarity >= threshold) OVER (PARTITION BY query_id) AS n_pass FROM ms_tops JOIN ms_limit USING (query_id)) "
+    "WHERE top_similarity >= threshold OR n_pass < n * 0.3",
+)
+P.add("ms_kept", "SELECT h.* FROM ms_hits h SEMI JOIN ms_pass b USING (query_id, scale, segment_idx)")
+P.add("ms_tempo", run_parts("ms_pass", "ms_tempo"))
+P.add("ms_votes", vote_parts("ms_kept"))
+P.add("ms_scores", P.parts["scores"].replace("FROM votes v LEFT JOIN tempo", "FROM ms_votes v LEFT JOIN ms_tempo"))
+
+
+def _two_rounds(spark, sf):
+    variants = X.truth(spark, sf).select("query_id", "transform_type", "severity")
+    return search_by_severity(X.queries(spark, sf), X.corpus(spark, sf), variants, lambda wanted: X.wider_scales(spark, sf, wanted), X.HITS_PER_SEGMENT)
+
+
+@register(
+    "search_by_severity",
+    f"SELECT query_id, scale, segment_idx, cand_id, rank, {r6('similarity')} AS similarity, {r6('scale_weight')} AS scale_weight FROM ms_hits",
+)
+def search_by_severity_hits(spark, sf):
+    """Each query to its own depth; undecided ones again in wider scales."""
+    return _two_rounds(spark, sf).hits
+
+
+@register(
+    "match_by_severity",
+    f"SELECT query_id, cand_id, {r6('combined_score')} AS combined_score, {r6('mean_similarity')} AS mean_similarity, rank_1_count, match_count, num_segments, "
+    "row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, mean_similarity DESC, cand_id) AS rank FROM ms_scores",
+)
+def match_by_severity(spark, sf):
+    """Votes of both rounds, with the threshold of each query."""
+    found = _two_rounds(spark, sf)
+    kept = cut_lineage(Q.filter_segments(found.hits, severity_thresholds(found)))
+    scored = Q.combined_score(Q.aggregate_candidates(kept), Q.temporal_runs(kept))
+    return scored.select("query_id", "cand_id", "combined_score", "mean_similarity", "rank_1_count", "match_count", "num_segments", "rank")
 
 
 P.add("seg_tops", "SELECT query_id, scale, segment_idx, cand_id AS top_id FROM seg_hits WHERE rank = 1")

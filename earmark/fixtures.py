@@ -79,6 +79,18 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.l2_normalize(both)
 
 
+def wider_scales(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
+    """Means of as many neighbouring segments as a scale has seconds, for the queries that ask for them."""
+    single = masked(spark, sf_dir).select(F.col("query_id").alias("track_id"), "segment_idx", "vector")
+    parts = [
+        V.pool_vectors(single.join(wanted.where(F.col("scale") == 1000 * n).select(F.col("query_id").alias("track_id")), "track_id", "left_semi"), n, 1).select(
+            F.col("track_id").alias("query_id"), F.lit(1000 * n).alias("scale"), F.col("window_idx").alias("segment_idx"), "vector"
+        )
+        for n in (3, 5)
+    ]
+    return V.l2_normalize(parts[0].unionByName(parts[1]))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each query was made from: `(query_id, track_id, transform_type, severity)`."""
     severity = F.create_map(*[x for m, s in MASKS.items() for x in (F.lit(m), F.lit(s))])

@@ -464,12 +464,13 @@ def merge_scales(parts: Sequence[DataFrame], weights: Sequence[float]) -> DataFr
     return reduce(DataFrame.unionByName, labelled)
 
 
-def scale_decision(hits: DataFrame, variants: DataFrame, initial_k: int = 20) -> DataFrame:
+def scale_decision(hits: DataFrame, variants: DataFrame, initial_k: int | Column = 20) -> DataFrame:
     """Which queries deserve more scales and a deeper search.
 
     The trigger is how many segments agree with the most frequent top hit.
-    `variants(query_id, transform_type, severity)` may hold NULLs.
+    `variants(query_id, transform_type, severity)` may hold NULLs; `initial_k` is a number or one of its columns.
     """
+    first = F.lit(initial_k) if isinstance(initial_k, int) else initial_k
     agree = top_hits(hits).groupBy("query_id", "top_id").agg(F.count(F.lit(1)).alias("_votes"))
     share = agree.groupBy("query_id").agg((F.max("_votes") / F.sum("_votes")).alias("agreement"))
     severity = F.coalesce(F.col("severity"), F.lit("mild"))
@@ -493,12 +494,15 @@ def scale_decision(hits: DataFrame, variants: DataFrame, initial_k: int = 20) ->
         "agreement",
         more.alias("needs_scales"),
         F.when(more, extra).alias("extra_scales"),
-        F.when(more, F.least(F.lit(initial_k * 2), cap)).otherwise(F.lit(initial_k)).alias("k"),
+        F.when(more, F.least(first * 2, cap)).otherwise(first).alias("k"),
     )
 
 
-def confident_match(hits: DataFrame) -> DataFrame:
-    """Candidates that lead so clearly that no further search is needed."""
+def confident_match(hits: DataFrame, by_scale: bool = False) -> DataFrame:
+    """Candidates that lead so clearly that no further search is needed; with `by_scale` in each scale alone."""
+    if by_scale:
+        alone = confident_match(hits.withColumn("query_id", F.struct("query_id", "scale")))
+        return alone.select("query_id.query_id", "query_id.scale", *[c for c in alone.columns if c != "query_id"])
     led = top_hits(hits).groupBy("query_id", F.col("top_id").alias("cand_id")).agg(
         F.count(F.lit(1)).alias("rank_1_count"),
         F.max("top_similarity").alias("max_similarity"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from earmark.functions import registry
 from earmark.operators import evaluate as E
 from earmark.operators import fusion as Q
 from earmark.operators import vectors as V
+from earmark.operators.distribution import join_hot
+from earmark.plans import variants as T
 from earmark.session import cut_lineage
 from earmark.sources import sinks
 
@@ -64,6 +67,75 @@ def match(
     return found
 
 
+# ---------------------------------------------------------------- settings by severity
+
+
+class TwoRounds(NamedTuple):
+    """Hits of both rounds with weights that sum to 1 over the scales of a query, the settings, and the queries searched again."""
+
+    hits: DataFrame
+    settings: DataFrame
+    again: DataFrame
+
+
+def severity_settings(variants: DataFrame, k: int, profile: str = "default") -> DataFrame:
+    """`(query_id, transform_type, severity, k)`: how deep each query is searched at first, at least to `k`.
+
+    `variants(query_id, transform_type)` may bring a `severity`, or a `path` that helps to tell it.
+    """
+    has = lambda c: F.col(c) if c in variants.columns else F.lit(None).cast("string")
+    told = T.detect_severity(F.col("transform_type"), has("path"), profile)
+    named = variants.select("query_id", "transform_type", F.coalesce(has("severity"), told).alias("severity"))
+    return named.withColumn("k", F.greatest(F.lit(k), T.adaptive_topk(F.col("transform_type"), F.col("severity"))))
+
+
+def search_by_severity(
+    queries: DataFrame, corpus: DataFrame, variants: DataFrame, more_scales: Callable[[DataFrame], DataFrame], k: int = 20, profile: str = "default"
+) -> TwoRounds:
+    """Search each query as deep as its severity asks, and undecided queries again in more scales.
+
+    A query is settled after the first round if a candidate leads clearly in one of its scales, or if its
+    segments agree as its severity demands. For the others `more_scales(wanted)` makes the vectors
+    `(query_id, scale, segment_idx, vector)` of the scales in `wanted(query_id, scale)`, and only these are
+    searched, deeper than before. Scales that a query has already are not searched again.
+    """
+    settings = cut_lineage(severity_settings(variants, k, profile))
+    deep = join_hot(queries, settings.select("query_id", "k"), ["query_id"], F.col("segment_idx")).fillna(k, ["k"])
+    first = cut_lineage(Q.to_track_grain(V.knn_cosine(deep, corpus, "k").drop("k")))
+    settled = Q.confident_match(first, by_scale=True).where("confident").select("query_id").distinct()
+    decided = Q.scale_decision(first, settings, F.col("k"))
+    again = cut_lineage(decided.where("needs_scales").join(settled, "query_id", "left_anti"))
+    held = queries.select("query_id", "scale").distinct()
+    wanted = again.select("query_id", "k", F.inline("extra_scales")).join(held, ["query_id", "scale"], "left_anti")
+    wanted = cut_lineage(wanted.withColumnRenamed("weight", "scale_weight"))
+    made = join_hot(more_scales(wanted.select("query_id", "scale")), wanted, ["query_id", "scale"], F.col("segment_idx"), "inner")
+    second = Q.to_track_grain(V.knn_cosine(made, corpus, "k").drop("k"))
+    both = cut_lineage(first.unionByName(second))
+    weights = T.scale_weights(both.select("query_id", "scale", F.col("scale_weight").alias("weight")).distinct())
+    hits = join_hot(both.drop("scale_weight"), weights.withColumnRenamed("weight", "scale_weight"), ["query_id", "scale"], F.col("segment_idx"), "inner")
+    return TwoRounds(hits, settings, again)
+
+
+def severity_thresholds(found: TwoRounds) -> DataFrame:
+    """`(query_id, threshold)`: adapted to the mean top similarity, with the floor of the severity."""
+    adapted = Q.adaptive_threshold(found.hits).join(found.settings, "query_id")
+    return T.severity_adjust(adapted.withColumns({"fusion_ratio": F.lit(1.0), "temporal_weight": F.lit(0.0)})).select("query_id", "threshold")
+
+
+def match_by_severity(
+    queries: DataFrame, corpus: DataFrame, variants: DataFrame, more_scales: Callable[[DataFrame], DataFrame],
+    config: MatchConfig = MatchConfig(), profile: str = "default", gate: bool = False,
+) -> DataFrame:
+    """`match` with settings by severity: depth, threshold, scales and, with `gate`, the least similarity of a candidate.
+
+    `variants` is described in `severity_settings`, the search in `search_by_severity`.
+    """
+    found = search_by_severity(queries, corpus, variants, more_scales, config.k, profile)
+    found = found._replace(hits=cut_lineage(found.hits))
+    candidates = Q.fuse(found.hits, replace(config.votes, threshold=cut_lineage(severity_thresholds(found))))
+    return Q.similarity_gate(candidates, found.settings) if gate else candidates
+
+
 @dataclass(frozen=True)
 class Run:
     """Tables of a judged run."""
