@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earmark import fixtures as X
+from earmark.checks import signal
 from earmark.checks.matching_sql import FILTER_THRESHOLD, P, run_parts, vote_parts
 from earmark.checks.support import Query, r6, tidy
 from earmark.operators import fusion as Q
+from earmark.operators import signal as A
 from earmark.pipeline import search_by_severity, severity_thresholds
 from earmark.session import cut_lineage
 
@@ -202,18 +204,21 @@ def run_boost(spark, sf):
     return Q.run_boost(X.hits(spark, sf)).drop("scale_weight")
 
 
-_RATIO = "(CAST(substr(track_id, 6) AS BIGINT) * 13) % 100 / 100.0"
+for _name in ("samples", "framed", "spectrum", "band8", "ratios"):
+    P.add(_name, signal.P.parts[_name])
 
 
 @register(
     "band_reweight",
     f"SELECT query_id, scale, segment_idx, cand_id, rank, {r6('CASE WHEN b > 0.4 THEN least(1.0, s1 * (1 + 0.1 * b)) ELSE s1 END')} AS similarity FROM ("
-    "SELECT h.*, r.b, CASE WHEN r.l > 0.6 THEN least(1.0, similarity * 1.05) ELSE similarity END AS s1 FROM hits h JOIN ("
-    f"SELECT query_id, CAST({_RATIO} AS DOUBLE) AS l, CAST({_RATIO} AS DOUBLE) / 2 AS b FROM truth) r USING (query_id))",
+    "SELECT h.*, r.b, CASE WHEN r.l > 0.6 THEN least(1.0, similarity * 1.05) ELSE similarity END AS s1 FROM hits h LEFT JOIN ("
+    "SELECT query_id, low_ratio AS l, bass_ratio AS b FROM truth t JOIN ratios r ON t.track_id = 'track' || r.track_id) r USING (query_id))",
 )
 def band_reweight(spark, sf):
-    low = (F.regexp_extract("track_id", "([0-9]+)", 1).cast("bigint") * 13) % 100 / 100.0
-    ratios = X.truth(spark, sf).select("query_id", low.alias("low_ratio"), (low / 2).alias("bass_ratio"))
+    """Ratios from the samples of the track that a query was made from; queries without samples stay as they are."""
+    measured = A.band_ratios(X.samples(spark, sf), signal.WIDE, frame=signal.FRAME, top_hz=signal.WIDE / 2)
+    named = measured.withColumn("track_id", F.concat(F.lit("track"), F.col("track_id").cast("string")))
+    ratios = X.truth(spark, sf).join(named, "track_id").select("query_id", "low_ratio", "bass_ratio")
     return Q.band_reweight(X.hits(spark, sf), ratios).drop("scale_weight")
 
 

@@ -61,7 +61,11 @@ P.add(
     + " ".join(f"WHEN {m} THEN '{s}'" for m, s in MASKS.items())
     + " END AS severity FROM mask WHERE segment_idx = 0",
 )
-P.add("lat", "SELECT query_id, CAST(200 + (CAST(substr(track_id, 6) AS BIGINT) * 37) % 900 AS DOUBLE) AS latency_ms FROM truth")
+_place = "CASE m " + " ".join(f"WHEN {m} THEN {i}" for i, m in enumerate(MASKS)) + " END"
+P.add(
+    "lat",
+    f"SELECT query_id, 200.0::DOUBLE + value * 8 AS latency_ms FROM (SELECT query_id, CAST(substr(track_id, 6) AS BIGINT) * {len(MASKS)} + {_place} AS event_id FROM mask WHERE segment_idx = 0) JOIN events USING (event_id)",
+)
 
 _t = 0.45
 P.add(

@@ -389,3 +389,59 @@ def segment_samples(s):
 )
 def segment_features(s):
     return A.segment_features(s, 2.0, 0.5, 8, SR).select("track_id", "segment_idx", F.posexplode("vector").alias("d", "x")).withColumn("d", F.col("d") + 1)
+
+
+# Frames of eight samples, as if there were 44,100 of them in a second; bins by band as `signal.mel_edges` cuts them.
+FRAME, WIDE = 8, 44100
+
+
+def _bins(bands: int, top: float) -> list[list[int]]:
+    edges = A.mel_edges(bands, top)
+    out = [[] for _ in range(bands)]
+    for k in range(FRAME // 2 + 1):
+        hz = k * WIDE / FRAME
+        b = next((b for b in range(bands) if edges[b] <= hz < edges[b + 1]), bands - 1 if abs(hz - edges[-1]) < 1e-6 else None)
+        if b is not None:
+            out[b].append(k)
+    return out
+
+
+P.add("framed", f"SELECT a.track_id, a.idx AS start, list(b.value ORDER BY b.idx) AS x FROM samples a JOIN samples b ON a.track_id = b.track_id AND b.idx BETWEEN a.idx AND a.idx + {FRAME - 1} WHERE a.idx % {FRAME // 2} = 0 GROUP BY ALL HAVING count(*) = {FRAME}")
+_wave = lambda f: f"list_sum([x[t + 1] * (0.5 - 0.5 * cos(2 * pi() * t / {FRAME})) * {f}(2 * pi() * k * t / {FRAME}) FOR t IN range(0, {FRAME})])"
+P.add("spectrum", f"SELECT track_id, start, k, pow({_wave('cos')}, 2) + pow({_wave('sin')}, 2) AS power FROM framed, (SELECT unnest(range(0, {FRAME // 2 + 1})) AS k)")
+
+
+def _bands(bands: int, top: float) -> str:
+    """Energy of each frame in each band; bands without a bin have none."""
+    listed = ", ".join(f"({b}, {[k for k in ks]}::BIGINT[])" for b, ks in enumerate(_bins(bands, top)))
+    return f"SELECT f.track_id, f.start, b, coalesce(sum(s.power), 0.0) AS e FROM framed f CROSS JOIN (VALUES {listed}) v(b, ks) LEFT JOIN spectrum s ON s.track_id = f.track_id AND s.start = f.start AND list_contains(ks, s.k) GROUP BY ALL"
+
+
+P.add("band4", _bands(4, WIDE / 2))
+P.add("band8", _bands(8, WIDE / 2))
+_SIZE, _HOP = 32, 16
+
+
+@register(
+    "spectral_features",
+    f"SELECT track_id, segment_idx, unnest(range(0, 8)) AS d, {r6('unnest(v) / sqrt(list_dot_product(v, v))')} AS x FROM (SELECT track_id, segment_idx, list_concat(list(m ORDER BY b), list(sd ORDER BY b))::DOUBLE[] AS v FROM ("
+    "SELECT track_id, segment_idx, b, avg(l) AS m, sqrt(greatest(0.0, avg(l * l) - avg(l) * avg(l))) AS sd FROM ("
+    f"SELECT g.track_id, g.segment_idx, b, ln(greatest(e, 1e-10)) AS l FROM (SELECT track_id, unnest(range(0, (n - {_SIZE}) // {_HOP} + 1)) AS segment_idx FROM sz WHERE n >= {_SIZE}) g "
+    f"JOIN band4 f ON f.track_id = g.track_id AND f.start >= g.segment_idx * {_HOP} AND f.start + {FRAME} <= g.segment_idx * {_HOP} + {_SIZE}) GROUP BY ALL) GROUP BY ALL)",
+)
+def spectral_features(s):
+    """Mean and spread of the energy in four bands, at 44.1 kHz."""
+    found = A.spectral_features(s, (_SIZE + 0.5) / WIDE, 0.5, 8, WIDE, frame=FRAME)
+    return found.select("track_id", "segment_idx", F.posexplode("vector").alias("d", "x"))
+
+
+P.add(
+    "ratios",
+    "SELECT track_id, CASE WHEN t > 0 THEN (l / 4) / (t / 8) ELSE 0.0 END AS low_ratio, CASE WHEN a + v / 3 > 0 THEN a / (a + v / 3) ELSE 0.0 END AS bass_ratio FROM ("
+    "SELECT track_id, sum(e) AS t, sum(e) FILTER (WHERE b < 4) AS l, sum(e) FILTER (WHERE b = 0) AS a, sum(e) FILTER (WHERE b BETWEEN 1 AND 3) AS v FROM band8 GROUP BY track_id)",
+)
+
+
+@register("band_ratios", f"SELECT track_id, {r6('low_ratio')} AS low_ratio, {r6('bass_ratio')} AS bass_ratio FROM ratios")
+def band_ratios(s):
+    return A.band_ratios(s, WIDE, frame=FRAME, top_hz=WIDE / 2)

@@ -720,3 +720,116 @@ def segment_features(
     )
     padded = F.slice(F.concat(F.array(*FEATURES), F.array_repeat(F.lit(0.0), max(0, dim - len(FEATURES)))), 1, dim)
     return l2_normalize(stats.select("track_id", "segment_idx", padded.alias("vector")))
+
+
+# ---------------------------------------------------------------- frequency content
+
+# Samples of a frame; frames overlap by half.
+FRAME = 2048
+# Energies below this count as it, so that silence has a logarithm.
+LEAST_ENERGY = 1e-10
+
+
+def mel(hz: float) -> float:
+    return 2595.0 * math.log10(1.0 + hz / 700.0)
+
+
+def mel_edges(bands: int, top_hz: float) -> list[float]:
+    """Edges in Hz of bands that are equally wide on the mel scale, from 0 to `top_hz`."""
+    return [700.0 * (10.0 ** (mel(top_hz) * i / bands / 2595.0) - 1.0) for i in range(bands + 1)]
+
+
+def frame_energies(frames: np.ndarray, edges: Sequence[float], sample_rate: int) -> np.ndarray:
+    """Energy of each frame in each band, after a Hann window. Bins at the last edge belong to the last band."""
+    size = frames.shape[1]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
+    band = np.searchsorted(np.asarray(edges), np.fft.rfftfreq(size, 1.0 / sample_rate), "right") - 1
+    hz = np.fft.rfftfreq(size, 1.0 / sample_rate)
+    band[np.isclose(hz, edges[-1])] = len(edges) - 2
+    out = np.zeros((len(frames), len(edges) - 1))
+    for b in range(len(edges) - 1):
+        out[:, b] = power[:, band == b].sum(axis=1)
+    return out
+
+
+def _by_frames(samples: DataFrame, frame: int, block: int, sums: Callable[[np.ndarray, np.ndarray], Mapping[str, np.ndarray]], made: str) -> DataFrame:
+    """What `sums` makes of the frames that begin in each block: it gets their starts and samples.
+
+    A block brings the samples that its last frame reaches beyond it. Frames begin at multiples of half their size
+    and lie within their track.
+    """
+    hop = max(1, frame // 2)
+    reach = F.expr(f"sequence(greatest(0L, bigint((idx - {frame - 1}) div {block})), bigint(idx div {block}))")
+    schema = T.StructType([samples.schema["track_id"], *T.StructType.fromDDL(made).fields])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        idx, values = rows["idx"].to_numpy(), rows["value"].to_numpy()
+        low = key[1].as_py() * block
+        starts = np.arange(-(-low // hop) * hop, low + block, hop)
+        starts = starts[starts + frame <= idx[-1] + 1]
+        offset = int(idx[0])
+        out = sums(starts, values[(starts - offset)[:, None] + np.arange(frame)[None, :]]) if len(starts) else None
+        n = len(next(iter(out.values()))) if out else 0
+        columns = {"track_id": pa.array([key[0].as_py()] * n, rows["track_id"].type)}
+        for f in schema.fields[1:]:
+            columns[f.name] = pa.array(out[f.name]) if n else pa.array([], pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.int64())
+        return pa.table(columns)
+
+    return samples.select("track_id", "idx", "value").withColumn("_blk", F.explode(reach)).groupBy("track_id", "_blk").applyInArrow(run, schema)
+
+
+def spectral_features(
+    samples: DataFrame, length_sec: float, overlap: float = 0.0, dim: int = 64, sample_rate: int = SAMPLE_RATE, block: int = BLOCK, frame: int = FRAME
+) -> DataFrame:
+    """One unit vector for each segment: mean and spread of the logarithmic energy in `dim / 2` mel bands over its frames.
+
+    Frames lie within the segment. Each block sums what its frames add to each segment; only these sums are
+    shuffled again. A segment shorter than a frame has no vector.
+    """
+    if dim < 2 or dim % 2:
+        raise ValueError("half of the elements are means, half spreads: dim must be even")
+    size, hop = _grid(length_sec, overlap, sample_rate)
+    bands = dim // 2
+    edges = mel_edges(bands, sample_rate / 2)
+
+    def sums(starts: np.ndarray, frames: np.ndarray) -> Mapping[str, np.ndarray]:
+        energy = np.log(np.maximum(frame_energies(frames, edges, sample_rate), LEAST_ENERGY))
+        first, last = np.maximum(0, -(-(starts + frame - size) // hop)), starts // hop
+        n = np.maximum(last - first + 1, 0)
+        row = np.repeat(np.arange(len(starts)), n)
+        segment = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        seen, of = np.unique(segment, return_inverse=True)
+        add = lambda v: np.bincount(of, v[row], len(seen))
+        out = {"segment_idx": seen.astype(np.int64), "frames": np.bincount(of, minlength=len(seen)).astype(np.int64)}
+        for b in range(bands):
+            out[f"s{b}"], out[f"q{b}"] = add(energy[:, b]), add(energy[:, b] ** 2)
+        return out
+
+    made = "segment_idx bigint, frames bigint, " + ", ".join(f"s{b} double, q{b} double" for b in range(bands))
+    added = _by_frames(samples, frame, block, sums, made).groupBy("track_id", "segment_idx").agg(
+        F.sum("frames").alias("frames"), *[F.sum(f"{c}{b}").alias(f"{c}{b}") for b in range(bands) for c in "sq"]
+    )
+    whole = added.join(samples.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")), "track_id").where(F.col("segment_idx") * hop + size <= F.col("n"))
+    mean = [F.col(f"s{b}") / F.col("frames") for b in range(bands)]
+    spread = [F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{b}") / F.col("frames") - m * m)) for b, m in enumerate(mean)]
+    return l2_normalize(whole.select("track_id", "segment_idx", F.array(*mean, *spread).alias("vector")))
+
+
+def band_ratios(samples: DataFrame, sample_rate: int = SAMPLE_RATE, block: int = BLOCK, frame: int = FRAME, top_hz: float = 2000.0) -> DataFrame:
+    """`(track_id, low_ratio, bass_ratio)` of whole tracks, from the energy below `top_hz`.
+
+    The range is cut into eight mel bands. `low_ratio` is the mean energy of the lower four over that of all,
+    `bass_ratio` the mean of the lowest over its sum with the mean of the next three. Silence has ratios 0.
+    """
+    edges = mel_edges(8, min(top_hz, sample_rate / 2))
+
+    def sums(starts: np.ndarray, frames: np.ndarray) -> Mapping[str, np.ndarray]:
+        total = frame_energies(frames, edges, sample_rate).sum(axis=0)
+        return {f"e{b}": total[b : b + 1] for b in range(8)}
+
+    energy = _by_frames(samples, frame, block, sums, ", ".join(f"e{b} double" for b in range(8))).groupBy("track_id").agg(*[F.sum(f"e{b}").alias(f"e{b}") for b in range(8)])
+    mean = lambda lo, hi: sum((F.col(f"e{b}") for b in range(lo + 1, hi)), F.col(f"e{lo}")) / (hi - lo)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return energy.select("track_id", ratio(mean(0, 4), mean(0, 8)).alias("low_ratio"), ratio(mean(0, 1), mean(0, 1) + mean(1, 4)).alias("bass_ratio"))
