@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from earmark import fixtures as X
 from earmark.checks.support import Parts, Query, r6, tidy
+from earmark.operators import recursive as R
 from earmark.operators import signal as A
 
 SR = 10
@@ -445,3 +446,49 @@ P.add(
 @register("band_ratios", f"SELECT track_id, {r6('low_ratio')} AS low_ratio, {r6('bass_ratio')} AS bass_ratio FROM ratios")
 def band_ratios(s):
     return A.band_ratios(s, WIDE, frame=FRAME, top_hz=WIDE / 2)
+
+
+# One section of a recursive low-pass, and the attack and release of an envelope.
+LOW_B, LOW_A = R.butterworth("low_pass", 1.5, SR, 2)[0]
+ATTACK_MS, RELEASE_MS = 150.0, 400.0
+_b0, _b1, _b2, _a1, _a2 = (repr(x / LOW_A[0]) + "::DOUBLE" for x in (*LOW_B, *LOW_A[1:]))
+
+
+def _recursive(source: str) -> str:
+    """The section over a table of samples, from rest."""
+    return (
+        f"WITH RECURSIVE r AS (SELECT track_id, idx, value AS x1, 0.0::DOUBLE AS x2, {_b0} * value AS y1, 0.0::DOUBLE AS y2 FROM {source} WHERE idx = 0 UNION ALL "
+        f"SELECT s.track_id, s.idx, s.value, r.x1, {_b0} * s.value + {_b1} * r.x1 + {_b2} * r.x2 - {_a1} * r.y1 - {_a2} * r.y2, r.y1 "
+        f"FROM r JOIN {source} s ON s.track_id = r.track_id AND s.idx = r.idx + 1) SELECT track_id, idx, y1 AS value FROM r"
+    )
+
+
+P.add("iir", _recursive("samples"))
+P.add("iir_turned", "SELECT track_id, n - 1 - idx AS idx, i.value FROM iir i JOIN sz USING (track_id)")
+P.add("iir_back", _recursive("iir_turned"))
+
+
+@register("recursive_filter", f"{_OUT} iir")
+def recursive_filter(s):
+    return R.recursive_filter(s, LOW_B, LOW_A, block=16, fan=3)
+
+
+@register("recursive_zero_phase", f"SELECT track_id, n - 1 - idx AS idx, {r6('i.value')} AS value FROM iir_back i JOIN sz USING (track_id)")
+def recursive_zero_phase(s):
+    """Forwards and backwards."""
+    return R.recursive_pass(s, "low_pass", 1.5, SR, 2)
+
+
+_at, _re = (f"exp(-1000.0::DOUBLE / ({ms} * {SR}))" for ms in (ATTACK_MS, RELEASE_MS))
+_limit = "pow(10.0::DOUBLE, -12.0::DOUBLE / 20)"
+P.add(
+    "envelope",
+    f"WITH RECURSIVE e AS (SELECT track_id, idx, value, abs(value) - abs(value) * (CASE WHEN abs(value) > 0 THEN {_at} ELSE {_re} END) AS env FROM samples WHERE idx = 0 UNION ALL "
+    f"SELECT s.track_id, s.idx, s.value, abs(s.value) + (e.env - abs(s.value)) * (CASE WHEN abs(s.value) > e.env THEN {_at} ELSE {_re} END) FROM e JOIN samples s ON s.track_id = e.track_id AND s.idx = e.idx + 1) SELECT * FROM e",
+)
+
+
+@register("follow_compress", f"{_OUT} ({_norm(f'SELECT track_id, idx, CASE WHEN env > {_limit} THEN value * (({_limit} + (env - {_limit}) / 4.0::DOUBLE) / env) ELSE value END AS value FROM envelope', 1.0, 0.99)})")
+def follow_compress(s):
+    """Attack and release instead of the sliding peak."""
+    return R.follow_compress(s, -12.0, 4.0, ATTACK_MS, RELEASE_MS, SR)
