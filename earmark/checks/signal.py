@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from earmark import fixtures as X
 from earmark.checks.support import Parts, Query, r6, tidy
+from earmark.operators import programs
 from earmark.operators import recursive as R
 from earmark.operators import signal as A
 
@@ -335,6 +336,35 @@ def apply_variants(s):
     return A.apply_variants(s, _VARIANTS, SR, overlays={"square": square})
 
 
+_own_cut = _cut("least((track_id % 3) * 5, n)", "greatest(a0, n - 10)")
+_mixed_quiet = _norm(f"SELECT a.track_id, a.idx, a.value + b.value * b.value * 6 * pow(10, 0.3 / 20) AS value FROM ({_quiet}) a JOIN samples b ON a.track_id = b.track_id AND a.idx = b.idx")
+
+
+@register(
+    "apply_programs",
+    f"SELECT track_id, variant_id, idx, {r6('value')} AS value FROM (SELECT track_id, idx, value * pow(10, (-1 - track_id % 5) / 20.0) AS value, 'own_gain' AS variant_id FROM samples "
+    f"UNION ALL BY NAME SELECT *, 'own_cut' AS variant_id FROM ({_own_cut}) UNION ALL BY NAME SELECT *, 'fast' AS variant_id FROM ({_resampled('SELECT * FROM samples', 1.1)}) "
+    f"UNION ALL BY NAME SELECT *, 'limited' AS variant_id FROM ({_limited(f'SELECT * FROM ({_quiet})', -9.0)}) UNION ALL BY NAME SELECT *, 'quiet_mixed' AS variant_id FROM ({_mixed_quiet}))",
+)
+def apply_programs(s):
+    def step(kind: str, **params):
+        given = F.create_map(*[c for k, v in params.items() for c in (F.lit(k), F.lit(v).cast("string"))])
+        return F.struct(F.lit(kind).alias("type"), given.alias("params"))
+
+    quiet = step("gain", db=-6.0)
+    made = {
+        "own_gain": [step("gain", db=-1 - F.col("track_id") % 5)],
+        "own_cut": [step("slice_chop", remove_start=F.col("track_id") % 3 * 0.5, remove_end=1.0)],
+        "fast": [step("speed_change", speed=1.1)],
+        "limited": [quiet, step("apply_limiting", ceiling_db=-9.0)],
+        "quiet_mixed": [quiet, step("overlay_vocals", overlay_path="square", level_db=0.3)],
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("variant_id"), F.array(*steps).alias("steps")) for name, steps in made.items()]))
+    variants = s.select("track_id").distinct().select("track_id", rows.alias("v")).select("track_id", "v.*")
+    square = s.withColumn("value", F.col("value") * F.col("value") * 6)
+    return programs.apply_programs(s, variants, SR, overlays={"square": square})
+
+
 def _long_fir(kernel: list[float], source: str = "samples") -> str:
     """Convolution with a kernel too long to be written as terms."""
     rows = ", ".join(f"({i - len(kernel) // 2}, {c!r}::DOUBLE)" for i, c in enumerate(kernel))

@@ -225,7 +225,7 @@ def overlay_mix(samples: DataFrame, other: DataFrame, level_db: float = -6.0, bl
     return peak_normalize(_plain(mixed), 1.0, block=block)
 
 
-def _uniforms(*key: Column | str) -> tuple[Column, Column]:
+def uniforms(*key: Column | str) -> tuple[Column, Column]:
     """Two numbers in (0, 1) from the digest of a key, the same on every run and partitioning."""
     digest = F.md5(F.concat_ws("|", *key).cast("binary"))
     number = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
@@ -234,7 +234,7 @@ def _uniforms(*key: Column | str) -> tuple[Column, Column]:
 
 def hashed_normal(*key: Column | str) -> Column:
     """A standard normal number from a key (Box-Muller)."""
-    u1, u2 = _uniforms(*key)
+    u1, u2 = uniforms(*key)
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 
@@ -294,7 +294,7 @@ def add_colored_noise(
 def _clicks(samples: DataFrame, seed: int, sample_rate: int, per_second: float, click_ms: float) -> DataFrame:
     """Decaying 8 kHz bursts at hashed places; bursts that meet add up."""
     half = int(sample_rate * click_ms / 1000.0) // 2
-    place, size = _uniforms(F.lit(str(seed)), F.col("track_id").cast("string"), F.lit("click"), F.col("_j").cast("string"))
+    place, size = uniforms(F.lit(str(seed)), F.col("track_id").cast("string"), F.lit("click"), F.col("_j").cast("string"))
     count = (F.col("n") / sample_rate * per_second).cast("bigint")
     starts = (
         samples.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
@@ -564,7 +564,7 @@ def _played(samples: DataFrame, speed: float, preserve_pitch: bool | str, block:
     return speed_resample(samples, speed, block)
 
 
-def _typed(value: object) -> object:
+def typed(value: object) -> object:
     """Numbers of a plan come as text; other text stays."""
     if not isinstance(value, str):
         return value
@@ -620,7 +620,7 @@ def apply_chain(
         if transform is None:
             continue
         # Most steps read their input more than once.
-        given = {k: _typed(v) for k, v in dict(step.get("params") or {}).items()}
+        given = {k: typed(v) for k, v in dict(step.get("params") or {}).items()}
         out = transform(cut_lineage(out) if applied else out, **given)
         applied += 1
     return out
