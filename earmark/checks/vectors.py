@@ -11,6 +11,7 @@ from earmark.checks.matching_sql import P, unit
 from earmark.checks.support import Query, r6, tidy
 from earmark.functions.columns import index_of_segment, segment_id, track_of_segment
 from earmark.operators import cells as C
+from earmark.operators import slots as S
 from earmark.operators import vectors as V
 from earmark.session import shared_folder
 
@@ -252,6 +253,15 @@ def ann_search_probes(spark, sf):
     return V.ann_search(_single(spark, sf), X.corpus(spark, sf), K, PROJECTIONS, BUCKET, probes=3)
 
 
+@register(
+    "slot_pairs",
+    "SELECT CAST(split_part(slot, ':', 1) AS INTEGER) AS \"table\", count(*) AS slots, CAST(sum(q.n * c.n) AS BIGINT) AS pairs, max(q.n * c.n) AS largest "
+    "FROM (SELECT slot, count(*) AS n FROM q_probe GROUP BY slot) q JOIN (SELECT slot, count(*) AS n FROM c_slot GROUP BY slot) c USING (slot) GROUP BY ALL",
+)
+def slot_pairs(spark, sf):
+    return S.slot_pairs(_single(spark, sf), X.corpus(spark, sf), PROJECTIONS, BUCKET, probes=3)
+
+
 @register(
     "build_index",
     f"SELECT cand_id, split_part(cand_id, '_seg_', 1) AS track_id, len(vector) AS dimension, {r6('list_dot_product(vector, vector)')} AS squared_norm, "

@@ -556,6 +556,35 @@ def random_projections(dim: int, tables: int, width: int = 1, seed: int = 11) ->
     return [[[round(float(x), 6) for x in row / np.linalg.norm(row)] for row in table] for table in directions]
 
 
+def slotted(vectors: DataFrame, projections: Sequence[Sequence[Sequence[float]]], bucket_length: float, probes: int = 1) -> DataFrame:
+    """Unit vectors, once for each slot `_bucket` that they belong to or are looked for in."""
+    literal = [[F.array(*map(F.lit, d)) for d in table] for table in projections]
+
+    def moved(cells: Column, j: int, step: int) -> Column:
+        return F.transform(cells, lambda c, at: F.when(at == j, c + step).otherwise(c))
+
+    def named(slots: Column, i: int) -> Column:
+        return F.transform(slots, lambda s: F.struct(F.lit(i).alias("table"), s["cells"].alias("slot")))
+
+    unit = l2_normalize(vectors)
+    buckets = []
+    for i, table in enumerate(literal):
+        along = F.array(*[dot(F.col("vector"), d) / bucket_length for d in table])
+        # Bound once: the cells, and how far inside its cell the vector is along each direction.
+        place = F.transform(along, lambda x: F.struct(F.floor(x).alias("cell"), (x - F.floor(x)).alias("inside")))
+        cells = F.transform(place, lambda p: p["cell"])
+        slots = F.array(F.struct(F.lit(-1.0).alias("d"), cells.alias("cells")))
+        if probes > 1:
+            inside = [F.get(place, F.lit(j))["inside"] for j in range(len(table))]
+            near = [
+                F.struct((inside[j] if step < 0 else 1 - inside[j]).alias("d"), moved(cells, j, step).alias("cells"))
+                for j in range(len(table)) for step in (-1, 1)
+            ]
+            slots = F.slice(F.array_sort(F.concat(slots, F.array(*near))), 1, probes)
+        buckets.append(named(slots, i))
+    return unit.withColumn("_bucket", F.explode(F.flatten(F.array(*buckets))))
+
+
 def ann_search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -575,34 +604,9 @@ def ann_search(
     numbered = _number(queries)
     keys = [*_query_keys(queries), ROW]
     schema = _hit_schema(numbered, keys, corpus)
-    literal = [[F.array(*map(F.lit, d)) for d in table] for table in projections]
-
-    def moved(cells: Column, j: int, step: int) -> Column:
-        return F.transform(cells, lambda c, at: F.when(at == j, c + step).otherwise(c))
-
-    def named(slots: Column, i: int) -> Column:
-        return F.transform(slots, lambda s: F.struct(F.lit(i).alias("table"), s["cells"].alias("slot")))
-
-    def hashed(df: DataFrame, probes: int) -> DataFrame:
-        unit = l2_normalize(df)
-        buckets = []
-        for i, table in enumerate(literal):
-            along = F.array(*[dot(F.col("vector"), d) / bucket_length for d in table])
-            # Bound once: the cells, and how far inside its cell the vector is along each direction.
-            place = F.transform(along, lambda x: F.struct(F.floor(x).alias("cell"), (x - F.floor(x)).alias("inside")))
-            cells = F.transform(place, lambda p: p["cell"])
-            slots = F.array(F.struct(F.lit(-1.0).alias("d"), cells.alias("cells")))
-            if probes > 1:
-                inside = [F.get(place, F.lit(j))["inside"] for j in range(len(table))]
-                near = [
-                    F.struct((inside[j] if step < 0 else 1 - inside[j]).alias("d"), moved(cells, j, step).alias("cells"))
-                    for j in range(len(table)) for step in (-1, 1)
-                ]
-                slots = F.slice(F.array_sort(F.concat(slots, F.array(*near))), 1, probes)
-            buckets.append(named(slots, i))
-        return unit.withColumn("_bucket", F.explode(F.flatten(F.array(*buckets))))
-
-    q, c = _bucket_blocks(hashed(numbered, probes), keys, hashed(corpus.select("cand_id", "vector"), 1), block_rows)
+    q, c = _bucket_blocks(
+        slotted(numbered, projections, bucket_length, probes), keys, slotted(corpus.select("cand_id", "vector"), projections, bucket_length), block_rows
+    )
     found = _blocked_topk(q, keys, c, schema, k, metric)
     # A pair that met in several tables or probes counts once.
     return _finish(found.groupBy(*keys, "cand_id").agg(F.max("score").alias("score")), k, metric)
