@@ -7,13 +7,13 @@ the exact differences in wording between the region and the template.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -87,7 +87,8 @@ class Scanner:
             for t in self.templates
         ]
         self.reach = 2 * max(len(t.text) for t in self.templates)
-        self.cached = lru_cache(maxsize=4096)(self._found)
+        # By digest, as stretches may be long.
+        self.known: dict[bytes, tuple] = {}
 
     def regions(self, text: str) -> list[tuple[int, int]]:
         """Stretches around licensing words, as far as the longest template could reach."""
@@ -168,6 +169,14 @@ class Scanner:
                 return template.name, *at, saving, alone, given
         return ()
 
+    def cached(self, around: str, start: int, end: int) -> tuple:
+        key = hashlib.blake2b(f"{start}:{end}:{around}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[key] = self._found(around, start, end)
+        return self.known[key]
+
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, missing, added, saving, bytes alone, bytes given) of confirmed notices."""
         found: list[tuple] = []
