@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earmark.operators.vectors import (
-    BLOCK_ROWS, BROADCAST_BYTES, METRICS, QUERY_CHUNK, ROW, W, _Best, _blocked_topk, _bucket_blocks, _depths, _few_cells, _few_queries, _finish, _hit_schema,
+    BLOCK_ROWS, BROADCAST_BYTES, METRICS, QUERY_CHUNK, ROW, W, _Best, _blocked_topk, _depths, _few_cells, _few_queries, _finish, _hit_schema,
     _matrix, _number, _query_keys, _unit, assign_cells, l2_normalize, train_cells,
 )
 from earmark.session import cut_lineage
@@ -227,8 +227,8 @@ def search_cells(
     def hits_in(pairs: DataFrame, floor: np.ndarray | None) -> DataFrame:
         if few is not None:
             return _scan(spark, few, keys, placed, pairs, schema, k, metric, floor)
-        q, c = _bucket_blocks(pairs, keys, placed.select("cand_id", "vector", F.col("cell_id").cast("bigint").alias("_bucket")), block_rows)
-        return _blocked_topk(q, keys, c, schema, k, metric)
+        members = placed.select("cand_id", "vector", F.col("cell_id").cast("bigint").alias("_bucket"))
+        return _blocked_topk(pairs, keys, members, schema, k, metric, block_rows)
 
     opening = cut_lineage(_chosen(numbered, shared, k, keys, None, False, few is None))
     near = cut_lineage(hits_in(opening, None))
