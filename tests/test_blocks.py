@@ -47,6 +47,39 @@ def test_most_pairs_are_compared_in_single_precision(monkeypatch):
     assert len(best.found) == 1000 and sum(made) < 0.05 * 100 * 20_000
 
 
+def best_and_compared(q, c, depth, metric, monkeypatch):
+    """The best ids of each row, those by brute force, and the share of pairs that were compared."""
+    compared = []
+    for name in ("_above", "_all"):
+        real = getattr(V._Best, name)
+        at = -2 if name == "_above" else -1
+        monkeypatch.setattr(V._Best, name, lambda self, *a, real=real, at=at: compared.append(len(a[0]) * len(a[at])) or real(self, *a))
+    best = V._Best(q, depth, metric)
+    ids = pa.array([f"c{i}" for i in np.random.default_rng(1).permutation(len(c))])
+    for lo in range(0, len(c), 9000):
+        best.offer(ids.slice(lo, 9000), c[lo : lo + 9000])
+    got = {}
+    for r in best.found.to_pylist():
+        got.setdefault(r["row"], []).append(r["id"])
+    s, names = V._scores(V._unit(q) if metric == "cosine" else q, V._unit(c) if metric == "cosine" else c, metric), ids.to_pylist()
+    depth = np.broadcast_to(depth, len(q))
+    want = {i: [names[j] for j in sorted(range(len(c)), key=lambda j: (-s[i, j], names[j]))[: depth[i]]] for i in range(len(q)) if depth[i]}
+    return got, want, sum(compared) / (len(q) * len(c))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip"])
+@pytest.mark.parametrize("lead", [1, 4])
+def test_rows_that_end_in_zeros_meet_few_candidates(metric, lead, monkeypatch):
+    rng = np.random.default_rng(9)
+    c = V._unit(rng.normal(size=(18_000, 48)))
+    c[6000:12_000] = c[:6000]  # ties, and with one element a product is just the length that bounds it
+    q = rng.normal(size=(60, 48))
+    q[:, lead:] = 0.0
+    got, want, share = best_and_compared(q, c, 10, metric, monkeypatch)
+    assert got == want
+    assert share < 0.4
+
+
 def test_memory_does_not_grow_with_what_is_offered():
     rng = np.random.default_rng(6)
     best = V._Best(rng.normal(size=(1000, 4)), 3, "cosine")
