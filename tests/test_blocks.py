@@ -80,6 +80,32 @@ def test_rows_that_end_in_zeros_meet_few_candidates(metric, lead, monkeypatch):
     assert share < 0.4
 
 
+@pytest.mark.parametrize("lead", [1, 4])
+def test_rows_that_end_in_zeros_meet_few_candidates_by_distance(lead, monkeypatch):
+    rng = np.random.default_rng(10)
+    c = V._unit(rng.normal(size=(18_000, 48)))
+    c[6000:12_000] = c[:6000]
+    c[7] = 0.0
+    q = V._unit(rng.normal(size=(60, 48)))
+    q[:, lead:] = 0.0
+    q[3] = 0.0
+    got, want, share = best_and_compared(q, c, 10, "l2", monkeypatch)
+    assert got == want
+    assert share < 0.6
+
+
+def test_rows_of_many_depths_meet_few_candidates(monkeypatch):
+    rng = np.random.default_rng(11)
+    c = V._unit(rng.normal(size=(18_000, 48)))
+    q = rng.normal(size=(90, 48))
+    q[30:60, 5:] = 0.0
+    q[60:, 2:] = 0.0
+    depth = np.array([20, 0, 35] * 30)
+    got, want, share = best_and_compared(q, c, depth, "cosine", monkeypatch)
+    assert got == want
+    assert share < 0.45
+
+
 def test_memory_does_not_grow_with_what_is_offered():
     rng = np.random.default_rng(6)
     best = V._Best(rng.normal(size=(1000, 4)), 3, "cosine")
