@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earmark.llm.jobs import bound_batches, input_bytes, shared_folder, take_columns
+from earmark.llm.jobs import bound_batches, cut_lineage, input_bytes, shared_folder, take_columns
 from earmark.llm.words import Words, chunks
 
 MAGIC = b"EMTOKEF1"
@@ -39,6 +39,9 @@ PARTITION_BYTES = 32 << 20
 # Above so many words or ids a worker forgets its words and begins anew.
 CACHE_WORDS = 1 << 21
 CACHE_IDS = 1 << 24
+# New words are tokenized so many at a time; the mark parts those that are not of letters alone.
+JOINED = 1 << 10
+MARK = "\x1f"
 
 
 class EliasFano:
@@ -120,58 +123,120 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, cut=cut)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `np.unique` gives with index and inverse; only the distinct values are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    code, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank, first = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # Of equal places the last one written stays, so the first value of each.
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return found[order], first[order], rank[code]
+
+
 class WordCache:
     """Token ids of words already seen, so each is tokenized once for a worker.
 
     The tokenizer never joins characters across ASCII white space, nor letters or digits with stops,
     so the ids of a text are those of its pieces one after another. Pieces are told apart by a 64-bit
-    hash.
+    hash. New ones are joined by blanks and tokenized many at a time.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        vocabulary, suffix = tokenizer.get_vocab(), getattr(tokenizer.model, "end_of_word_suffix", None)
+        single = [c for c in vocabulary if len(c) == 1]
+        # Ids that end a word, where every word has one; and the id of a mark that stands alone.
+        self.closing = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        if suffix and single and all(c + suffix in vocabulary for c in single):
+            self.closing[[i for c, i in vocabulary.items() if c.endswith(suffix)]] = True
+        self.mark = np.zeros_like(self.closing)
+        alone = self._ids(MARK)
+        if len(alone) == 1:
+            self.mark[alone] = True
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.ids = np.zeros(0, np.uint32)
-
-    def add(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self.clear()
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        size = np.fromiter(map(len, made), np.uint32, len(made))
-        at = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())))
-        # Both sides are sorted: new keys go in where they belong.
-        place = np.searchsorted(self.keys, keys)
+        # The first n_ids of `ids` are in use.
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def tokenize(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, where those of each piece begin and how many it has.
+
+        Pieces of letters are one word each: a piece ends where an id ends a word. Others have a mark
+        behind them. As each piece has one end at least, as many ends as pieces mean that all were
+        found. Else, as a piece holds the mark or letters that part when normalized, the pieces
+        are tokenized one by one.
+        """
+        plain = np.array([t.isalpha() and (t.isascii() or t.lower().isalpha()) for t in texts], bool)
+        made, size = [], np.zeros(len(texts), np.int64)
+        order = np.argsort(~plain, kind="stable")
+        n_plain = int(plain.sum())
+        bounds = [*range(0, n_plain, JOINED), *range(n_plain, len(texts), JOINED), len(texts)]
+        for a, b in zip(bounds, bounds[1:]):
+            part = [texts[i] for i in order[a:b].tolist()]
+            between, closing = (" ", self.closing) if a < n_plain else (f" {MARK} ", self.mark)
+            ids = self._ids(between.join([*part, ""]))
+            ends = np.flatnonzero(closing[ids]) + 1
+            if len(ends) != len(part):
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids, counts = np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+            else:
+                counts = np.diff(ends, prepend=0)
+                if a >= n_plain:
+                    ids, counts = np.delete(ids, ends - 1), counts - 1
+            made.append(ids)
+            size[order[a:b]] = counts
+        at = np.empty_like(size)
+        at[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([np.zeros(0, np.uint32), *made]), at, size
+
+    def add(self, place: np.ndarray, keys: np.ndarray, texts: list[bytes]) -> None:
+        """Take in new words: `keys` ascend and belong before the words numbered `place`."""
+        ids, at, size = self.tokenize([t.decode() for t in texts])
+        total = self.n_ids + len(ids)
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(total, 2 * len(self.ids)) - self.n_ids, np.uint32)])
+        self.ids[self.n_ids : total] = ids
         self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, at)
-        self.size = np.insert(self.size, place, size)
+        self.at = np.insert(self.at, place, (self.n_ids + at).astype(np.uint32))
+        self.size = np.insert(self.size, place, size.astype(np.uint32))
+        self.n_ids = total
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some whole texts, each with the end id, and where each text ends."""
         words = pieces(data, offsets)
-        text = data.tobytes()
-        h, first, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        missing = np.flatnonzero(~np.isin(h, self.keys, assume_unique=True))
-        if len(missing):
-            known = len(h) - len(missing)
-            if known and len(self.keys) + len(missing) > CACHE_WORDS:
+        h, first, where = distinct(words.hashes())
+        k, new = self._find(h)
+        if new.any():
+            if len(self.keys) + int(new.sum()) > CACHE_WORDS and len(self.keys):
                 self.clear()
-                missing = np.arange(len(h))
-            self.add(h[missing], [text[words.start[i] : words.end[i]] for i in first[missing].tolist()])
-        k = np.searchsorted(self.keys, h)
+                k, new = self._find(h)
+            text = data.tobytes()
+            self.add(k[new], h[new], [text[a:b] for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())])
+            # New words before a word move it up.
+            k += np.cumsum(new) - new
         at, size = self.at[k][where].astype(np.int64), self.size[k][where].astype(np.int64)
         ends = np.cumsum(size)
-        out = np.full(int(size.sum()) + len(offsets) - 1, end_id, np.uint32)
-        step = np.arange(int(size.sum()))
-        out[step + np.repeat(words.doc, size)] = self.ids[step - np.repeat(ends - size - at, size)]
+        ids = self.ids[np.arange(int(size.sum())) + np.repeat(at - (ends - size), size)]
         last = np.append(0, ends)[words.first[1:]]
-        if len(self.ids) > CACHE_IDS:
+        if self.n_ids > CACHE_IDS:
             self.clear()
-        return out, last + np.arange(1, len(offsets))
+        return np.insert(ids, last, end_id), last + np.arange(1, len(offsets))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ascending keys stand among those known, or belong, and which of them are new."""
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != keys[inside]
+        return place, new
 
 
 @lru_cache(maxsize=1)
@@ -292,7 +357,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """
     bound_batches(spark)
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    heads = files.mapInArrow(_heads, "part long, number long, tokens long")
+    # Only headers go to Python, once for both sums.
+    heads = cut_lineage(files.select(F.substring("content", 1, HEADER.size)).mapInArrow(_heads, "part long, number long, tokens long"))
     sums = heads.groupBy("part").agg(F.sum("tokens").alias("part_tokens"))
     before_part = sums.select("part", (F.sum("part_tokens").over(Window.orderBy("part")) - F.col("part_tokens")).alias("part_start"))
     in_part = Window.partitionBy("part").orderBy("number")

@@ -474,3 +474,63 @@ def test_cache_starts_anew_when_full(monkeypatch):
         ids, at = cache.encode(data, np.append(0, ends), 1)
         want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
         assert ids.tolist() == sum(want, []) and at.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+class Counted:
+    """A tokenizer that notes how many texts it is given at each call."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.given.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def flat(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(t) for t in data])).astype(np.int64)
+
+
+def test_new_words_are_tokenized_as_few_texts():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    counted = Counted(tokenizer)
+    texts = [" ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzéñüß'[i // 100 % 10]}{'ab'[i // 1000]} n-{i} q{i}$" for i in range(a, a + 50)) for a in range(0, 2000, 50)]
+    ids, ends = tokens.WordCache(counted).encode(*flat(texts), 1)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert sum(counted.given) < 6000 / 200
+
+
+def test_words_that_cannot_be_told_apart_are_tokenized_alone(monkeypatch):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    odd = ["İstanbul", "İ", "क़लम", "क़", "\x1f", "a\x1fb", "\x1f\x1f", "\xa0", "x\xa0y", "\u3000", "\x85", "각", "ꟊ", "K", "Å", "ﬁ", "Σας", "ΑΣ", "́", "é", "don't", "'s", "x's.", "</w>", "a</w>", "<|endoftext|>"]
+    odd += ["<|ENDOFTEXT|>", "<|startoftext|>x", "12,345", "٣٤", "²", "ǅ", "ŉ", "ẞ", "你好", "👍🏽", "\u200b", "\ufeff", "\x00", ";", "≠", "≠", "plain", "Words", "été", "$$$", "1"]
+    rng = random.Random(11)
+    for joined in (1, 3, 1024):
+        monkeypatch.setattr(tokens, "JOINED", joined)
+        for words in (odd, odd[-5:]):
+            cache = tokens.WordCache(tokenizer)
+            for _ in range(12):
+                texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\t ", "\r\n"]) for _ in range(rng.randint(0, 25))) for _ in range(4)] + [rng.choice(words)]
+                ids, ends = cache.encode(*flat(texts), 1)
+                want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+                assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_distinct_values_with_first_place_and_rank():
+    rng = np.random.default_rng(5)
+    for values in (rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 40, 3000).astype(np.uint64), np.zeros(0, np.uint64), np.array([(1 << 64) - 1, 0, 1 << 63], np.uint64)):
+        for got, want in zip(tokens.distinct(values), np.unique(values, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
+def test_headers_go_to_python_once(spark, documents, tmp_path):
+    tokens.write_files(documents, VOCABULARY, str(tmp_path / "out"), file_tokens=5000)
+    read = tokens.read_files(spark, str(tmp_path / "out"))
+    assert read._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = sorted(read.collect(), key=lambda r: r.start)
+    assert rows[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:])) and len(rows) == documents.count()
