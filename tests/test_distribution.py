@@ -91,3 +91,16 @@ def test_join_hot_keeps_every_row(skewed):
     joined = join_hot(skewed, stats, ["k"], F.col("i"))
     assert joined.count() == skewed.count()
     assert joined.where("n IS NOT NULL").count() == skewed.where("k = 'hot'").count()
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_statistics_read_from_a_file_are_not_broadcast(spark, tmp_path, how):
+    """A row for each of many groups takes little room in a file, and sixteen copies of each row a lot of the driver's memory."""
+    spark.createDataFrame([(f"q{i}", i) for i in range(400)] + [(None, -1), ("q7", 700)], "q string, s int").write.parquet(f"{tmp_path}/stats")
+    stats = spark.read.parquet(f"{tmp_path}/stats")
+    rows = [("q7" if i % 3 else f"q{i}", i) for i in range(600)] + [(None, 600)]
+    joined = join_hot(spark.createDataFrame(rows, "q string, i int"), stats, ["q"], F.col("i"), how)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    known = {f"q{i}": [i] for i in range(400)} | {"q7": [7, 700]}
+    want = [(q, i, s) for q, i in rows for s in known.get(q, [None] if how == "left" else [])]
+    assert sorted(map(repr, map(tuple, joined.collect()))) == sorted(map(repr, want))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from earmark import fixtures as X
 from earmark import pipeline
+from earmark.operators import fusion as Q
 from earmark.operators import signal as A
 from earmark.operators import vectors as V
 
@@ -72,6 +73,51 @@ def test_queries_without_a_variant_are_searched_too(spark):
     assert found.hits.groupBy("scale", "segment_idx").count().count() == one.count() and found.again.count() == 0
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Twelve tracks of five vectors in a folder of tables, and what is known of their masked copies in a file."""
+    sf = str(tmp_path_factory.mktemp("small"))
+    vectors = np.random.default_rng(3).normal(size=(60, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+    X.truth(spark, sf).select("query_id", "transform_type", "severity").write.parquet(f"{sf}/variants")
+    return sf, spark.read.parquet(f"{sf}/variants")
+
+
+def test_depths_reach_the_search_without_a_broadcast(spark, small, monkeypatch):
+    """What is written by both rounds: no table with a row for each query, read from a file, is sent to the driver."""
+    sf, variants = small
+    written, cut = [], pipeline.cut_lineage
+    monkeypatch.setattr(pipeline, "cut_lineage", lambda df: (written.append(plan(df)), cut(df))[1])
+    knn = V.knn
+    monkeypatch.setattr(V, "knn", lambda queries, *a, **o: (written.append(plan(queries)), knn(queries, *a, **o))[1])
+    found = pipeline.search_by_severity(X.queries(spark, sf), X.corpus(spark, sf), variants, lambda w: X.wider_scales(spark, sf, w), 10)
+    written.append(plan(found.hits))
+    salted = [p for p in written if "_salt" in p]
+    assert len(salted) >= 4 and found.again.count() > 0
+    assert not [p for p in salted if any("Broadcast" in line and "_salt" in line for line in p.splitlines())]
+    depth = {r.query_id: r.k for r in found.settings.collect()}
+    per_segment = found.hits.where("scale = 1000").groupBy("query_id", "segment_idx").count().collect()
+    assert len(per_segment) == 180 and all(1 <= r["count"] <= depth[r.query_id] for r in per_segment)
+
+
+def test_agreement_and_wider_scales_meet_queries_without_a_broadcast(spark, small):
+    sf, variants = small
+    hits = spark.createDataFrame([(q, 1000, i, 1.0, t, 1, 0.5) for q, i, t in [("track1_m6", 0, "a"), ("track1_m6", 1, "b"), ("track2_m60", 0, "a"), ("none", 0, "a")]], "query_id string, scale int, segment_idx long, scale_weight double, cand_id string, rank int, similarity double")
+    decided = Q.scale_decision(hits, variants, 20)
+    assert "Broadcast" not in plan(decided)
+    assert {r.query_id: (r.agreement, r.needs_scales, r.k) for r in decided.collect()} == {"track1_m6": (0.5, True, 40), "track2_m60": (1.0, False, 20), "none": (1.0, False, 20)}
+    wanted = pipeline.cut_lineage(spark.createDataFrame([("track1_m6", 3000), ("track1_m6", 5000), ("track2_m10", 3000)], "query_id string, scale int"))
+    wide = X.wider_scales(spark, sf, wanted)
+    assert "Broadcast" not in plan(wide)
+    got = wide.groupBy("query_id", "scale").count().collect()
+    assert {(r.query_id, r.scale): r["count"] for r in got} == {("track1_m6", 3000): 3, ("track1_m6", 5000): 1, ("track2_m10", 3000): 3}
+
+
 # ---------------------------------------------------------------- frequency content
 
 
