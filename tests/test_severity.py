@@ -118,6 +118,19 @@ def test_agreement_and_wider_scales_meet_queries_without_a_broadcast(spark, smal
     assert {(r.query_id, r.scale): r["count"] for r in got} == {("track1_m6", 3000): 3, ("track1_m6", 5000): 1, ("track2_m10", 3000): 3}
 
 
+def test_thresholds_meet_settings_without_a_broadcast(spark, tmp_path):
+    """The settings have a row for each query. Votes get the threshold of their query, by its severity and mean top similarity."""
+    spark.createDataFrame([("mild", "x", "mild", 20), ("low", "x", "moderate", 22), ("hard", "x", "severe", 26), ("unasked", "x", "mild", 20)], "query_id string, transform_type string, severity string, k int").write.parquet(f"{tmp_path}/s")
+    rows = [(q, 1000, i, 1.0, c, r, s) for q, s in (("mild", 1.0), ("low", 1.0), ("hard", 0.9), ("unknown", 1.0)) for i in range(2) for r, c in ((1, "a"), (2, "b"))]
+    hits = spark.createDataFrame(rows, "query_id string, scale int, segment_idx long, scale_weight double, cand_id string, rank int, similarity double")
+    settings = spark.read.parquet(f"{tmp_path}/s")
+    limits = pipeline.severity_thresholds(pipeline.TwoRounds(hits, settings, settings))
+    assert "Broadcast" not in plan(limits)
+    assert {r.query_id: round(r.threshold, 6) for r in limits.collect()} == {"mild": 0.15, "low": 0.22, "hard": 0.18}
+    kept = Q.filter_segments(hits, limits)
+    assert sorted({r.query_id for r in kept.collect()}) == ["hard", "low", "mild"]
+
+
 # ---------------------------------------------------------------- frequency content
 
 
