@@ -1,6 +1,7 @@
 """Group helpers against brute force, with one group that holds most rows and many ties."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earmark.functions.columns import value_bin
 from earmark.operators.distribution import exact_quantiles, join_hot, number_all, number_rows, rank_within, runs
+from earmark.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +106,19 @@ def test_statistics_read_from_a_file_are_not_broadcast(spark, tmp_path, how):
     known = {f"q{i}": [i] for i in range(400)} | {"q7": [7, 700]}
     want = [(q, i, s) for q, i in rows for s in known.get(q, [None] if how == "left" else [])]
     assert sorted(map(repr, map(tuple, joined.collect()))) == sorted(map(repr, want))
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    written = cut_lineage(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.collect_list("id").alias("ids")))
+    for _ in range(100):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert sorted((r.k, len(r.ids)) for r in written.collect()) == [(k, 100) for k in range(50)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

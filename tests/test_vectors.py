@@ -191,3 +191,12 @@ def test_searches_of_nothing_and_in_nothing_are_empty(data, options):
     queries, corpus = data
     assert V.knn(queries.limit(0), corpus, 3, **options).count() == 0
     assert V.knn(queries, corpus.limit(0), 3, **options).count() == 0
+
+
+def test_a_large_table_is_counted_before_it_is_collected(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "i long, vector array<double>")
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+    assert sorted(V._bounded(rows, 20)["i"].to_pylist()) == list(range(20))
+    collected = []
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: collected.append(df))
+    assert V._bounded(rows, 19) is None and V._bounded(rows, 0) is None and not collected
